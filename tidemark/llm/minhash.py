@@ -120,20 +120,20 @@ def _set_blobs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([part.column("id"), _blobs([raw[8 * s : 8 * e] for s, e in zip(ends, ends[1:])])], ["rep", "set"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs inside each small node, between documents that are not yet in one class.
 
     Rows come sorted by (node, i, j); a node split over blocks compares block i with block j. Only one node's rows are
     held at a time, and a node has at most 2 * leaf rows.
     """
 
-    def compare(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, i: int, j: int, sig: np.ndarray):
+    def compare(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, i: int, j: int, sig: np.ndarray):
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
         found = []
         for x in left:
             y = right[right > x] if i == j else right
-            y = y[comp[y] != comp[x]]
+            y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))]
             if len(y):
                 y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
                 found += [(min(rep[x], rep[z]), max(rep[x], rep[z])) for z in y]
@@ -147,7 +147,7 @@ def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             return []
         get = lambda name: np.array([r[name] for r in rest])
         sig = np.frombuffer(b"".join(r["sig"] for r in rest), np.uint32).reshape(-1, COORDINATES)
-        return compare(get("rep"), get("comp"), get("block"), key[1], key[2], sig)
+        return compare(get("rep"), get("comp"), get("size"), get("block"), key[1], key[2], sig)
 
     def out(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
@@ -163,16 +163,15 @@ def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield out(pairs)
 
 
-def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp): the least id reachable from each of `vertices` (id) over undirected `links` (a, b).
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp): the least id reachable, for every id that undirected `links` (a, b) touch.
 
     Labels fall by neighbours' least label and then by pointer jumping until none moves; every round is written, so a
     round's cost is its joins over links and labels, and no link or label is gathered in one place. Hub vertices cost
     one pre-aggregated row a task.
     """
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    touched = both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("comp"))
-    labels = cut(touched)
+    labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("comp")))
     while True:
         near = both.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("comp").alias("m"))
         down = labels.join(near, F.col("id") == F.col("x"), "left").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
@@ -180,12 +179,11 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         moved = cut(down.join(up, F.col("comp") == F.col("up"), "left").select("id", F.least("comp", "over").alias("comp"), (F.least("comp", "over") != F.col("was")).alias("moved")))
         labels = moved.select("id", "comp")
         if moved.where("moved").isEmpty():
-            break
-    return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+            return labels
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, trees: int = 20, depth: int = 4, leaf: int = 200
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, trees: int = 20, depth: int = 4, leaf: int = 200, rounds: int = 3
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable over links) and kept (id = component_id).
 
@@ -193,49 +191,62 @@ def near_duplicates(
     and links with nothing; fewer than `width` words make one shingle. A null id is never linked: component_id is null,
     kept true. Rows that share an id are one vertex with the links of each. Extra columns are not read.
 
-    How groups of copies stay cheap: equal sets meet by a grouped key; documents of one node are first linked with the
-    node's least document (a row a member), so a large group of near copies falls into one class before any pairs are
-    made; pairs inside nodes are then made between different classes only, by blocks of at most `leaf` documents, and
-    none is dropped. Only sketches (512 bytes) visit nodes; full sets are read for documents in surviving pairs.
+    How groups of copies stay cheap: equal sets meet by a grouped key; then in up to `rounds` rounds every document is
+    held against one head of its nodes that is not yet in its class (a pair a document and round), so a large group of
+    near copies falls into few classes before pairs are made; pairs inside nodes are then made between different classes
+    only, by blocks of at most `leaf` documents, and none is dropped. Only sketches (512 bytes) visit nodes; full sets are read for documents in surviving pairs.
     """
     need = percent / 100
     guess = need - 5 * (need * (1 - need) / COORDINATES) ** 0.5
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = cut(own.mapInArrow(lambda b: _sketch(b, width), "id long, n_shingles long, set_key binary, sig binary"))
     keyed = sketches.where("set_key is not null and id is not null")
-    classes = cut(keyed.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    reps = classes.select("rep", "sig")
+    classes = cut(keyed.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").cast("int").alias("size")))
+    reps = classes.select("rep", "sig", "size")
 
     def populated(nodes: DataFrame) -> DataFrame:
-        many = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last")
+        many = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("node", "n")
         return cut(nodes.join(many, "node"))
 
-    level = populated(reps.mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))
+    level = populated(reps.select("rep", "sig").mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))
     ended = level.where(F.col("n") <= leaf)
     for _ in range(depth - 1):
         large = level.where(F.col("n") > leaf)
         if large.isEmpty():
             level = large
             break
-        level = populated(large.select("node", "rep").join(reps, "rep").mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))
+        level = populated(large.select("node", "rep").join(reps.select("rep", "sig"), "rep").mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))
         ended = ended.unionByName(level.where(F.col("n") <= leaf))
     ended = ended.unionByName(level.where(F.col("n") > leaf))
 
     def confirm(pairs: DataFrame, estimate: bool) -> DataFrame:
         if estimate:
-            a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-            pairs = cut(pairs.join(a, "a").join(b, "b").mapInArrow(lambda x: _estimated(x, guess), "a long, b long"))
+            a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"))
+            pairs = cut(pairs.join(a, "a").join(b, "b").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).mapInArrow(lambda x: _estimated(x, guess), "a long, b long"))
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = cut(own.join(asked, "id", "left_semi").mapInArrow(lambda x: _set_blobs(x, width), "rep long, set binary"))
         a, b = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
         return cut(pairs.join(a, "a").join(b, "b").mapInArrow(lambda x: _confirmed(x, percent), "a long, b long"))
 
-    star = ended.where("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    first = confirm(star, True)
+    spark = docs.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    comp = spark.createDataFrame([], "id long, comp long")
+    same = lambda df, by, to: df.join(comp.select(F.col("id").alias(by), F.col("comp").alias(to)), by, "left").withColumn(to, F.coalesce(to, by))
+    for round_ in range(rounds):
+        # one head a node, another one each round; of its nodes' heads in other classes, a document asks for one
+        order = F.col("rep") if round_ == 0 else F.xxhash64("rep", F.lit(round_))
+        heads = ended.groupBy("node").agg(F.min_by("rep", order).alias("head"))
+        star = ended.select("node", "rep").join(heads, "node").where("head <> rep").select("rep", "head").distinct()
+        apart = same(same(star, "rep", "comp_rep"), "head", "comp_head").where("comp_rep <> comp_head")
+        first = F.col("head") if round_ == 0 else F.xxhash64("head", "rep", F.lit(round_))
+        asked = apart.groupBy("rep").agg(F.min_by("head", first).alias("head"))
+        found = confirm(asked.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct(), True)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        comp = components(links)
     same_id = keyed.join(classes.select("set_key", "rep"), "set_key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    ids = reps.select(F.col("rep").alias("id")).distinct()
-    comp = cut(components(ids, first))
-    placed = ended.join(comp.withColumnRenamed("id", "rep"), "rep")
+    placed = cut(same(ended.select("node", "rep", "n"), "rep", "comp"))
     mixed = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
     open_nodes = placed.join(mixed, "node", "left_semi").withColumn("blocks", F.ceil(F.col("n") / leaf).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     dealt = open_nodes.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
@@ -243,11 +254,12 @@ def near_duplicates(
     )
     pairs = (
         dealt.join(reps, "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "rep")
-        .mapInArrow(lambda b: _across(b, guess), "a long, b long").distinct()
+        .mapInArrow(lambda b: _across(b, guess, percent), "a long, b long").distinct()
     )
     second = confirm(pairs, False)
-    links = first.unionByName(second).unionByName(same_id)
-    final = components(sketches.where("id is not null").select("id").distinct(), links)
-    return sketches.select("id", "n_shingles").join(final, "id", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept")
-    )
+    final = components(links.unionByName(second).unionByName(same_id))
+    return (
+        sketches.select("id", "n_shingles").join(final, "id", "left")
+        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    )
