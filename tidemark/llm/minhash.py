@@ -97,17 +97,9 @@ def _estimated(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets meet 100 * intersection >= percent * union."""
+    """Pairs that are linked on their full sets."""
     for batch in batches:
-        good = []
-        for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            small, large = min(len(x), len(y)), max(len(x), len(y))
-            if 100 * small < percent * large:
-                continue
-            both = small + large - len(np.union1d(x, y))
-            if 100 * both >= percent * (small + large - both):
-                good.append(i)
+        good = [i for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))) if _linked(x.as_buffer(), y.as_buffer(), percent)]
         yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
@@ -120,47 +112,82 @@ def _set_blobs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([part.column("id"), _blobs([raw[8 * s : 8 * e] for s, e in zip(ends, ends[1:])])], ["rep", "set"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs inside each small node, between documents that are not yet in one class.
-
-    Rows come sorted by (node, i, j); a node split over blocks compares block i with block j. Only one node's rows are
-    held at a time, and a node has at most 2 * leaf rows.
-    """
-
-    def compare(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, i: int, j: int, sig: np.ndarray):
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        found = []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))]
-            if len(y):
-                y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-                found += [(min(rep[x], rep[z]), max(rep[x], rep[z])) for z in y]
-        return found
-
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Rows of one key at a time, from batches sorted by it. A key has a bounded number of rows."""
     rest: list[dict] = []
-    key = None
-
-    def flush():
-        if len(rest) < 2:
-            return []
-        get = lambda name: np.array([r[name] for r in rest])
-        sig = np.frombuffer(b"".join(r["sig"] for r in rest), np.uint32).reshape(-1, COORDINATES)
-        return compare(get("rep"), get("comp"), get("size"), get("block"), key[1], key[2], sig)
-
-    def out(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
     for batch in batches:
         for row in batch.to_pylist():
-            if (now := (row["node"], row["i"], row["j"])) != key:
-                if pairs := flush():
-                    yield out(pairs)
-                rest, key = [], now
+            if rest and any(row[k] != rest[0][k] for k in keys):
+                yield rest
+                rest = []
             rest.append(row)
-    if pairs := flush():
-        yield out(pairs)
+    if rest:
+        yield rest
+
+
+def _alike(rows: list[dict], left: np.ndarray, right: np.ndarray, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of left, the rows of right in another class that its sketch and set size allow to be linked with it."""
+    get = lambda name: np.array([r[name] for r in rows])
+    comp, size = get("comp"), get("size")
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, COORDINATES)
+    for x in left:
+        y = right[right > x] if left is right else right
+        y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))]
+        if len(y):
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+            if len(y):
+                yield x, y
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Small nodes, each compared exhaustively by sketches. Not the pairs go on but who is in one, (rep, ga = block), and
+    which blocks meet, (null, ga, gb): at most a row a member and a row for each two blocks, however large a group is.
+    """
+    for rows in _grouped(batches, ("node", "i", "j")):
+        part = np.array([r["part"] for r in rows])
+        i, j = rows[0]["i"], rows[0]["j"]
+        left = np.flatnonzero(part == i)
+        right = left if i == j else np.flatnonzero(part == j)
+        who, met = set(), set()
+        for x, ys in _alike(rows, left, right, least, percent):
+            who.update((x, *ys.tolist()))
+            met.update((min(rows[x]["block"], rows[y]["block"]), max(rows[x]["block"], rows[y]["block"])) for y in ys)
+        if who:
+            reps, blocks = [rows[x]["rep"] for x in sorted(who)], [rows[x]["block"] for x in sorted(who)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*reps, *[None] * len(met)], pa.int64()), pa.array([*blocks, *[a for a, _ in met]], pa.int64()), pa.array([*[None] * len(reps), *[b for _, b in met]], pa.int64())], ["rep", "ga", "gb"]
+            )
+
+
+def _linked(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether full sets (sorted, as bytes) meet 100 * intersection >= percent * union."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _between(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links on full sets between two blocks; those that join what is joined already need no row."""
+    for rows in _grouped(batches, ("ga", "gb")):
+        own = np.array([r["block"] for r in rows])
+        left = np.flatnonzero(own == rows[0]["ga"])
+        right = left if rows[0]["ga"] == rows[0]["gb"] else np.flatnonzero(own == rows[0]["gb"])
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (p := up.get(c, c)) != c:
+                c = p
+            return c
+
+        found = []
+        for x, ys in _alike(rows, left, right, least, percent):
+            for y in ys.tolist():
+                a, b = root(rows[x]["comp"]), root(rows[y]["comp"])
+                if a != b and _linked(rows[x]["set"], rows[y]["set"], percent):
+                    up[max(a, b)] = min(a, b)
+                    found.append((rows[x]["rep"], rows[y]["rep"]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,8 +220,9 @@ def near_duplicates(
 
     How groups of copies stay cheap: equal sets meet by a grouped key; then in up to `rounds` rounds every document is
     held against one head of its nodes that is not yet in its class (a pair a document and round), so a large group of
-    near copies falls into few classes before pairs are made; pairs inside nodes are then made between different classes
-    only, by blocks of at most `leaf` documents, and none is dropped. Only sketches (512 bytes) visit nodes; full sets are read for documents in surviving pairs.
+    near copies falls into few classes; nodes are then compared exhaustively between different classes only, in parts of
+    `leaf` documents, and what comes out is not pairs but who is alike and which blocks of documents meet, so that full
+    sets are compared block by block, every pair that the sketches allow, and only links leave the task. Only sketches (512 bytes) visit nodes; full sets are read for documents in surviving pairs.
     """
     need = percent / 100
     guess = need - 5 * (need * (1 - need) / COORDINATES) ** 0.5
@@ -219,14 +247,16 @@ def near_duplicates(
         ended = ended.unionByName(level.where(F.col("n") <= leaf))
     ended = ended.unionByName(level.where(F.col("n") > leaf))
 
-    def confirm(pairs: DataFrame, estimate: bool) -> DataFrame:
-        if estimate:
-            a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b"))
-            pairs = cut(pairs.join(a, "a").join(b, "b").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).mapInArrow(lambda x: _estimated(x, guess), "a long, b long"))
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(own.join(asked, "id", "left_semi").mapInArrow(lambda x: _set_blobs(x, width), "rep long, set binary"))
-        a, b = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-        return cut(pairs.join(a, "a").join(b, "b").mapInArrow(lambda x: _confirmed(x, percent), "a long, b long"))
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return cut(own.join(asked, "id", "left_semi").mapInArrow(lambda x: _set_blobs(x, width), "rep long, set binary"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        a, b = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        close = cut(sized.mapInArrow(lambda x: _estimated(x, guess), "a long, b long"))
+        sets = sets_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        a, b = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+        return cut(close.join(a, "a").join(b, "b").mapInArrow(lambda x: _confirmed(x, percent), "a long, b long"))
 
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -240,23 +270,33 @@ def near_duplicates(
         apart = same(same(star, "rep", "comp_rep"), "head", "comp_head").where("comp_rep <> comp_head")
         first = F.col("head") if round_ == 0 else F.xxhash64("head", "rep", F.lit(round_))
         asked = apart.groupBy("rep").agg(F.min_by("head", first).alias("head"))
-        found = confirm(asked.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct(), True)
+        found = confirm(asked.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
         if found.isEmpty():
             break
         links = links.unionByName(found)
         comp = components(links)
     same_id = keyed.join(classes.select("set_key", "rep"), "set_key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    placed = cut(same(ended.select("node", "rep", "n"), "rep", "comp"))
+    # blocks: documents by the least head of their nodes, dealt so that a block has about `leaf` of them
+    anchors = ended.join(ended.groupBy("node").agg(F.min("rep").alias("head")), "node").groupBy("rep").agg(F.min("head").alias("anchor"))
+    counts = anchors.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("deal"))
+    blocks = anchors.join(counts, "anchor").select("rep", F.expr("xxhash64(anchor, pmod(xxhash64(rep), deal))").alias("block"))
+    about = cut(same(blocks, "rep", "comp").join(reps, "rep"))
+    placed = ended.select("node", "rep", "n").join(about.select("rep", "comp"), "rep")
     mixed = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-    open_nodes = placed.join(mixed, "node", "left_semi").withColumn("blocks", F.ceil(F.col("n") / leaf).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    dealt = open_nodes.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "node", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    pairs = (
-        dealt.join(reps, "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "rep")
-        .mapInArrow(lambda b: _across(b, guess, percent), "a long, b long").distinct()
+    parts = placed.join(mixed, "node", "left_semi").withColumn("parts", F.ceil(F.col("n") / leaf).cast("int")).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
+    dealt = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("node", "rep", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    alike = cut(
+        dealt.join(about, "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "rep")
+        .mapInArrow(lambda b: _across(b, guess, percent), "rep long, ga long, gb long").distinct()
+    )
+    asked = alike.where("rep is not null").select("rep").distinct()
+    known = about.join(asked, "rep", "left_semi").join(sets_of(asked.withColumnRenamed("rep", "id")), "rep")
+    meet = alike.where("rep is null").select("ga", "gb")
+    sides = meet.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("block"))
+    second = cut(
+        sides.join(known, "block").repartition("ga", "gb").sortWithinPartitions("ga", "gb", "rep")
+        .mapInArrow(lambda b: _between(b, guess, percent), "a long, b long")
     )
-    second = confirm(pairs, False)
     final = components(links.unionByName(second).unionByName(same_id))
     return (
         sketches.select("id", "n_shingles").join(final, "id", "left")
