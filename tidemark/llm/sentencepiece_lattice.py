@@ -198,7 +198,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """tokens with `text_col`, the text of their ids: pieces joined, byte runs read as UTF-8, marks back to spaces, and
-    the one leading space of the format taken off. Null ids give null; ids outside the table and control ids give nothing.
+    the one leading space of the format taken off (so a mark that stood in a text comes back as a space). Null ids give null; ids outside the table and control ids give nothing.
     """
     _, pieces, _, plain, byte_ids = vocabulary(model_path)
     raw = [p.replace(SPACE, " ").encode() if ok else b"" for p, ok in zip(pieces, plain)]
