@@ -14,6 +14,7 @@ from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,7 +165,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     kind, pieces, scores, plain, byte_ids = vocabulary(model_path)
     longest = max(map(len, pieces))
     own = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
-    counted = own.select(F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).alias("word")).groupBy("word").count()
+    # words at the head of a line have no mark and are left to the tasks; those after a space are nearly all
+    spaced = own.select(F.explode(F.split(F.translate("text", "\n", SPACE), SPACE)).alias("w")).where("w <> ''")
+    counted = spaced.groupBy("w").count().select(F.concat(F.lit(SPACE), "w").alias("word"), "count")
     common = cut(counted.where(F.length("word") <= WORD_CHARS).orderBy(F.desc("count"), "word").limit(frequent).select("word").repartition(64))
     known = encode_words(common, piece_table(spark, model_path), kind, longest, byte_ids).collect()
     shared = spark.sparkContext.broadcast(({r["word"]: list(r["ids"]) for r in known}, {p: s for p, s, ok in zip(pieces, scores, plain) if ok}, {p: i for i, (p, ok) in enumerate(zip(pieces, plain)) if ok}))
@@ -204,18 +207,25 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", text_col: s
     raw = [p.replace(SPACE, " ").encode() if ok else b"" for p, ok in zip(pieces, plain)]
     for b, i in enumerate(byte_ids):
         raw[i] = bytes([b])
-    shared = tokens.sparkSession.sparkContext.broadcast(raw)
+    sizes = np.array([len(x) for x in raw], np.int64)
+    shared = tokens.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        letters, heads, sizes = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = []
                 for ids in part.column(ids_col):
-                    ids = ids.values
-                    text = None if ids is None else b"".join([table[i] for i in ids.to_numpy(zero_copy_only=False).tolist() if 0 <= i < len(table)]).decode("utf-8", "replace")
-                    texts.append(text[1:] if text and text[0] == " " else text)
+                    if ids.values is None:
+                        texts.append(None)
+                        continue
+                    a = ids.values.to_numpy(zero_copy_only=False)
+                    a = a[(a >= 0) & (a < len(sizes))]
+                    n = sizes[a]
+                    at = np.repeat(heads[a] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    text = letters[at].tobytes().decode("utf-8", "replace")
+                    texts.append(text[1:] if text[:1] == " " else text)
                 arrays = [part.column(c) for c in part.schema.names if c != text_col]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())], [*[c for c in part.schema.names if c != text_col], text_col])
 
