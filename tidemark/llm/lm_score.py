@@ -174,7 +174,7 @@ def score(docs: DataFrame, ids: dict[str, int], flat: np.ndarray, id_col: str =
                 mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(count, pa.int64()), pa.array(total), mean], ["id", "n_tokens", "log_prob", "mean_log_prob"])
 
-    schema = own.select("id").withColumns({"n_tokens": F.lit(0).cast("long"), "log_prob": F.lit(0.0), "mean_log_prob": F.lit(0.0)}).schema
+    schema = own.select("id").withColumns({"n_tokens": F.lit(0).cast("long"), "log_prob": F.lit(0.0), "mean_log_prob": F.lit(None).cast("double")}).schema
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

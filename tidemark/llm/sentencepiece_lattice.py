@@ -230,4 +230,4 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", text_col: s
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())], [*[c for c in part.schema.names if c != text_col], text_col])
 
     rest = tokens.drop(text_col)
-    return rest.mapInArrow(run, rest.withColumn(text_col, F.lit("")).schema)
+    return rest.mapInArrow(run, rest.withColumn(text_col, F.lit(None).cast("string")).schema)
