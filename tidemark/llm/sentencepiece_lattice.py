@@ -9,6 +9,7 @@ format's encoder gives. Characters without a piece fall back to their UTF-8 byte
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -25,7 +26,7 @@ SPACE = "▁"
 #: A word of the lattice: no piece crosses its ends, as none holds a line break or a space mark after another character.
 WORD_CHARS = 24
 #: A worker's words met so far outside the dictionary, by model; emptied when full.
-_RARE: dict[str, dict[str, list[int]]] = {}
+_RARE: dict[str, dict[str, bytes]] = {}
 WORD = f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
 
 
@@ -153,6 +154,11 @@ def _path_one(word: str, score: dict[str, float], ids: dict[str, int], byte_ids:
     return [x for j, i, k in best[-1][2] for x in ([k] if k >= 0 else [byte_ids[b] for b in word[j:i].encode()])]
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers, which join and convert without a Python object each."""
+    return array("i", ids).tobytes()
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 20_000) -> DataFrame:
     """Per row of docs: id, n_tokens and ids, as the format's encoder gives them. Null and empty text have no tokens.
 
@@ -170,7 +176,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     counted = spaced.groupBy("w").count().select(F.concat(F.lit(SPACE), "w").alias("word"), "count")
     common = cut(counted.where(F.length("word") <= WORD_CHARS).orderBy(F.desc("count"), "word").limit(frequent).select("word").repartition(64))
     known = encode_words(common, piece_table(spark, model_path), kind, longest, byte_ids).collect()
-    shared = spark.sparkContext.broadcast(({r["word"]: list(r["ids"]) for r in known}, {p: s for p, s, ok in zip(pieces, scores, plain) if ok}, {p: i for i, (p, ok) in enumerate(zip(pieces, plain)) if ok}))
+    shared = spark.sparkContext.broadcast(({r["word"]: _packed(r["ids"]) for r in known}, {p: s for p, s, ok in zip(pieces, scores, plain) if ok}, {p: i for i, (p, ok) in enumerate(zip(pieces, plain)) if ok}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, score, ids = shared.value
@@ -180,19 +186,19 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for part in slices(batch, "text"):
                 out = []
                 for text in part.column("text").to_pylist():
-                    tokens: list[int] = []
+                    tokens = []
                     for w in split(text or ""):
                         got = told.get(w) or rare.get(w)
                         if got is None:
-                            got = _merge_one(w, score, ids, byte_ids) if kind == "bpe" else _path_one(w, score, ids, byte_ids, longest)
+                            got = _packed(_merge_one(w, score, ids, byte_ids) if kind == "bpe" else _path_one(w, score, ids, byte_ids, longest))
                             if len(rare) >= 300_000:
                                 rare.clear()
                             rare[w] = got
-                        tokens += got
-                    out.append(pa.array(tokens, pa.int32()))
-                sizes = [len(x) for x in out]
+                        tokens.append(got)
+                    out.append(b"".join(tokens))
+                sizes = [len(x) // 4 for x in out]
                 offsets = pa.array([0, *accumulate(sizes)], pa.int32())
-                flat = pa.concat_arrays(out) if out else pa.array([], pa.int32())
+                flat = pa.array(np.frombuffer(b"".join(out), np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["id", "n_tokens", "ids"])
 
     schema = own.select("id").withColumn("n_tokens", F.lit(0).cast("long")).withColumn("ids", F.array(F.lit(0))).schema
