@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
-from tidemark.operators import graph, state, times
+from tidemark.operators import evidence, graph, state, times
 from tidemark.sources import records
 
 
@@ -69,3 +69,27 @@ def test_record_scans(spark, tmp_path):
     assert [(r["event_id"], r["text"]) for r in records.read_group_chat(spark, str(tmp_path / "g.json")).collect()] == [("t:2025-01-10:g:1", "a b")]
     (tmp_path / "b.txt").write_text("Chapter 1\n\nOne.\nChapter 2\n\nTwo.")
     assert [(r["chapter_id"], r["text"]) for r in records.read_chapters(spark, str(tmp_path / "b.txt")).collect()] == [(1, "One."), (2, "Two.")]
+
+
+def test_evidence_columns(spark):
+    words = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    assert one(spark, evidence.scope_labels(words("Work", " ", "work", "Home.", "a", "b", "c"))) == ["Work", "Home", "a", "b"]
+    assert one(spark, evidence.scope_labels(F.lit(None).cast("array<string>"))) == []
+    assert [one(spark, evidence.gold_items(F.lit(x))) for x in ('["a", "b"]', "['a', 'b']", "[]", "", " plain, text ", None)] == [["a", "b"], ["a", "b"], [], [], ["plain, text"], []]
+    assert one(spark, evidence.cited_sentences(words("s1", "s2", "s3"), F.array(*[F.lit(i) for i in (3, 9, 0, 1, 3, 2)]), 2)) == ["s1", "s2"]
+    assert one(spark, evidence.retrieval_queries(F.lit("q"), words("b", "q", "", "c", "d", "e"), F.lit("count"))) == ["q", "b", "c", "d"]
+    assert one(spark, evidence.retrieval_queries(F.lit("q"), words("b"), F.lit("lookup"))) == ["q"]
+    two = F.array(words("new", "york"), words("rome"))
+    assert one(spark, F.round(evidence.multi_answer_f1(F.array(words("york")), two), 6)) == round((2 / 3 + 0) / 2, 6)
+    assert one(spark, evidence.multi_answer_f1(F.array(words("york")), F.slice(two, 1, 0))) == 0
+    scores = lambda *xs: F.array(*[F.lit(float(x)) for x in xs])
+    judged = lambda s, n, g: [one(spark, F.round(evidence.judged_f1(s, F.lit(n), F.lit(g))[k], 6)) for k in ("lenient", "harsh")]
+    assert judged(scores(1, 2), 4, 2) == [1.0, round(2 * 0.5 / 1.5, 6)] and judged(scores(), 0, 0) == [1.0, 1.0] and judged(scores(), 3, 0) == [0.0, 0.0] and judged(scores(), 0, 2) == [0.0, 0.0]
+
+
+def test_handles_and_constraints(spark):
+    units = spark.createDataFrame([(1, "C2"), (1, "S1"), (1, "C9"), (1, "C0"), (1, "D1"), (1, None)], "query_id int, handle string")
+    assert [r["id"] for r in evidence.handles(units, F.array(F.lit("c1"), F.lit("c2")), F.array(F.lit("s1"))).collect()] == ["c2", "s1", None, None, None, None]
+    pairs = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = evidence.constrained(pairs([(1, "a", 7), (1, "b", 7), (1, "a", 8), (2, "a", 8)], "query_id int, constraint string, event_id int"), pairs([(1, "a"), (1, "b"), (2, "a"), (2, "b")], "query_id int, constraint string"), pairs([(1, 9), (2, 9)], "query_id int, event_id int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, "exact"), (2, 9, "routed")]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import folds, graphs, retrieval, scores, texts
+from . import evidence, folds, graphs, retrieval, scores, texts
 
-MODULES = (retrieval, texts, folds, graphs, scores)
+MODULES = (retrieval, texts, folds, graphs, scores, evidence)
 
 
 def queries() -> dict:
