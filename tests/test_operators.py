@@ -3,9 +3,10 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
-from tidemark.operators import evidence, graph, state, times
+from tidemark.operators import answers, claims, evidence, graph, state, times
 from tidemark.sources import records
 
 
@@ -93,3 +94,71 @@ def test_handles_and_constraints(spark):
     pairs = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     got = evidence.constrained(pairs([(1, "a", 7), (1, "b", 7), (1, "a", 8), (2, "a", 8)], "query_id int, constraint string, event_id int"), pairs([(1, "a"), (1, "b"), (2, "a"), (2, "b")], "query_id int, constraint string"), pairs([(1, 9), (2, 9)], "query_id int, event_id int"))
     assert sorted(map(tuple, got.collect())) == [(1, 7, "exact"), (2, 9, "routed")]
+
+
+def test_claim_columns(spark):
+    role = lambda r, t: one(spark, claims.time_role(F.lit(r), F.lit(t)))
+    assert [role("planned for", "yesterday"), role("planned_for", "May"), role("due_at", None), role(None, None), role("odd", "x")] == ["occurred_at", "planned_for", "deadline_at", "", ""]
+    assert [tuple(one(spark, claims.role_and_time(F.lit(r), F.lit(t)))) for r, t in ((None, "May"), ("updated_at", "none"), ("odd", "May"))] == [("occurred_at", "May"), ("", ""), ("occurred_at", "May")]
+    lasting = lambda f, r, v: one(spark, claims.lasting(F.lit(f), F.lit(r), F.lit(v)))
+    assert [lasting("work", None, None), lasting("work", "", "used to work"), lasting("work", "", "used to, now not"), lasting("activity", "", "x"), lasting("activity", "started_at", "x"), lasting("event", "", "x")] == [True, False, True, False, True, False]
+    topics = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    about = lambda f, v, t: one(spark, claims.dimension(F.lit(f), F.lit(v), t, F.lit("Ann"), F.lit("c1")))
+    assert about("place", "moved to Rome", topics()) == "location:residence" and about("work", "x", topics()) == "occupation:primary"
+    assert about("health", "x", topics("Knee", "knee ")) == "health:knee" and about("health", "x", topics("Ann's condition")).startswith("health:claim_local_x_")
+    assert about("health", None, F.lit(None).cast("array<string>")).startswith("health:claim_local_unresolved_")
+
+
+def test_sentence_claims_of_odd_texts(spark):
+    rows = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "Nothing here.", "s"), (4, "who is responsible? Plan B has a risk. now", None)], "event_id int, text string, speaker string")
+    got = [tuple(r) for r in claims.from_sentences(rows, 2).select("event_id", "number", "subject", "facet", "role").collect()]
+    assert got == [(4, 1, None, "owner", "mentioned_at"), (4, 2, "Plan B", "risk", "mentioned_at")]
+
+
+def test_relations_and_expansion(spark):
+    known = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "claim_id string, at int")
+    raw = spark.createDataFrame([("supersedes", "b", "a"), ("SUPERSEDES", "a", "b"), ("CONFLICTS_WITH", "c", "b"), ("CONFLICTS_WITH", "b", "c"), ("CORRECTS", "c", "a"), ("SUPERSEDES", "c", "a"), ("CORRECTS", "a", "a"), ("CORRECTS", "a", "z"), (None, "a", "b")], "type string, src string, dst string")
+    good, bad = claims.relations(raw, known)
+    assert {tuple(r) for r in good.collect()} == {("SUPERSEDES", "b", "a"), ("CONFLICTS_WITH", "b", "c")}
+    assert sorted(r["reason"] for r in bad.collect()) == ["mixed_types", "mixed_types", "reversed", "same_end", "unknown_end", "unknown_type"]
+    keyed = spark.createDataFrame([("a", "s", "d"), ("b", "s", "d"), ("c", "s", "other"), ("d", None, None), ("e", None, None)], "claim_id string, subject string, dimension string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d"), ("e", "d")], "src string, dst string")
+    seeds = spark.createDataFrame([(1, "a", 1.0), (1, "a", 0.5), (2, "d", 1.0)], "query_id int, claim_id string, relevance double")
+    assert sorted(tuple(r) for r in claims.expand_related(seeds, edges, keyed, 3).collect()) == [(1, "a", 0, 1.0), (1, "b", 1, 0.7), (2, "d", 0, 1.0), (2, "e", 1, 0.7)]
+    assert claims.leaks(spark.range(1).select(F.struct(F.lit(1).alias("gold"), F.array(F.struct(F.lit(1).alias("Answer"))).alias("x")).alias("p")), ("gold", "answer")) == ["Answer", "gold"]
+
+
+def test_answers(spark):
+    say = lambda x: one(spark, answers.abstains(F.lit(x)))
+    assert [say(None), say(""), say("I dont know"), say("No."), say("no"), say("no room"), say("in Rome")] == [False, False, True, False, True, False, False]
+    assert one(spark, answers.participant_key(F.lit("Ann’s  Brother's"))) == "ann brother" and one(spark, answers.participant_key(F.lit(None))) == ""
+    roles = lambda q: one(spark, answers.wanted_roles(F.lit(q)))
+    assert (roles("What has he been doing recently?")["all"], roles("What has he been doing recently?")["newest_first"]) == (["occurred_at", "started_at", "updated_at"], True)
+    assert roles("When was the project completed?")["all"] == ["completed_at"] and roles("Who?")["all"] == []
+    slots = lambda c, t: [tuple(p) for p in one(spark, answers.cue_slots(F.lit(c), F.lit(t)))]
+    assert slots("(t, *, e, c)", "{May 1} of { Ann }") == [("t", "May 1"), ("e", "Ann")] and slots("(t)", "none") == [] and slots(None, None) == [] and slots("(t,s,e,c)", "{a}{b}{c}{d}{e}") == []
+    assert one(spark, answers.folded_terms(F.lit("Alerts, testing the buses of us"), {"alerts": "alarm"}, ("the",))) == ["alarm", "test", "buse"]
+    terms = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    assert [one(spark, answers.content_match(q, d, ("b",))) for q, d in ((terms(), terms("a")), (terms("a", "b"), terms("b")), (terms("a"), F.lit(None).cast("array<string>")))] == [0.0, 10.0, -8.0]
+
+
+def test_question_scans(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"sample_id": "s", "qa": [{"question": "Q", "answer": "A", "category": 2, "evidence": ["(D1:2)", "D1:2; D3:1"]}, {"question": "R", "adversarial_answer": "B", "category": 5}]}]))
+    a, b = records.read_questions(spark, str(tmp_path / "q.json")).orderBy("qa_index").collect()
+    assert (a["question_id"], a["question_type"], a["evidence_dialog_ids"], a["evidence_session_ids"]) == ("s::qa_0000", "temporal", ["D1:2", "D3:1"], ["session_1", "session_3"])
+    assert (b["answer"], b["question_type"], b["evidence_dialog_ids"]) == ("B", "adversarial", [])
+    (tmp_path / "c.json").write_text(json.dumps([{"id": str(i), "Q": "q", "A": x, "options": {"B": "red", "A": "blue"}} for i, x in enumerate(("b", "A. blue", "Red", "none"))] + [{"id": "9", "Q": "q", "A": "x"}]))
+    got = records.read_choices(spark, str(tmp_path / "c.json")).orderBy("question_id").collect()
+    assert [r["correct"] for r in got] == ["B", "A", "B", None, None] and got[0]["options"] == ["A. blue", "B. red"] and got[4]["question_type"] == "open_ended"
+    for n, body in (("r1", {"rows": [{"question_id": "1", "question": "q", "answer": "a"}, {"question": "q"}]}), ("r2", {"items": [{"question_id": "2", "question": "q", "answer": "a"}]})):
+        (tmp_path / f"{n}.json").write_text(json.dumps(body))
+    rows = records.read_results(spark, str(tmp_path / "r*.json")).collect()
+    assert sorted((r["question_id"], r["source"][-7:]) for r in rows) == [("1", "r1.json"), ("2", "r2.json")]
+    book = spark.createDataFrame([("q", "c", "t", "g", None, [1], "1")], "question string, cue string, retrieval_type string, get string, correct_answer array<string>, correct_answer_chapters array<int>, bins_items_correct_answer string")
+    book.write.parquet(str(tmp_path / "b"))
+    assert [(r["q_idx"], r["correct_answer"]) for r in records.read_book_questions(spark, str(tmp_path / "b")).collect()] == [(0, [])]
+    book.drop("get").write.parquet(str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="without get"):
+        records.read_book_questions(spark, str(tmp_path / "m"))
+    records.write_report(spark.range(2), str(tmp_path / "out"), "csv")
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, folds, graphs, retrieval, scores, texts
+from . import claims, evidence, folds, graphs, retrieval, scores, texts
 
-MODULES = (retrieval, texts, folds, graphs, scores, evidence)
+MODULES = (retrieval, texts, folds, graphs, scores, evidence, claims)
 
 
 def queries() -> dict:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import any_time
 
 SCHEMA_VERSION = "1"
+#: Categories of dialogue questions by number.
+CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop", 5: "adversarial"}
+#: Columns of a book's question table.
+BOOK_COLUMNS = ("question", "cue", "retrieval_type", "get", "correct_answer", "correct_answer_chapters", "bins_items_correct_answer")
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
@@ -56,3 +60,52 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if (found := spark.read.json(f"{path}/manifest").first()["schema_version"]) != SCHEMA_VERSION:
         raise ValueError(f"graph schema {found}, not {SCHEMA_VERSION}")
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions of a JSON array of samples: id by sample and place, category named, evidence ids without brackets, each once, and their sessions."""
+    item = "struct<question: string, answer: string, adversarial_answer: string, category: int, evidence: array<string>>"
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<sample_id: string, qa: array<{item}>>>")).alias("s"))
+    rows = raw.select("s.sample_id", F.posexplode("s.qa").alias("qa_index", "q"))
+    ids = F.array_distinct(F.flatten(F.transform(F.coalesce("q.evidence", F.array().cast("array<string>")), lambda x: F.regexp_extract_all(x, F.lit(r"(D\d+:\d+)"), 1))))
+    kind = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])[F.col("q.category")]
+    out = rows.select("sample_id", F.format_string("%s::qa_%04d", "sample_id", "qa_index").alias("question_id"), "qa_index", "q.category", kind.alias("question_type"), "q.question", F.coalesce("q.answer", "q.adversarial_answer").alias("answer"), ids.alias("evidence_dialog_ids"))
+    return out.withColumn("evidence_session_ids", F.array_distinct(F.transform("evidence_dialog_ids", lambda x: F.concat(F.lit("session_"), F.regexp_extract(x, r"^D(\d+)", 1)))))
+
+
+def read_choices(spark: SparkSession, path: str) -> DataFrame:
+    """Questions {id, Q, A, options, topic_id} of a JSON array: options sorted as 'K. text', the right letter by letter, prefix or text; open-ended ones have none."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<struct<id: string, topic_id: string, Q: string, A: string, options: map<string, string>>>")).alias("q"))
+    options = F.array_sort(F.transform(F.map_entries(F.coalesce("q.options", F.create_map().cast("map<string,string>"))), lambda e: F.concat_ws(". ", e["key"], e["value"])))
+    rows = raw.select(F.col("q.id").alias("question_id"), "q.topic_id", F.col("q.Q").alias("question"), F.trim("q.A").alias("answer"), options.alias("options"))
+    letter = lambda test: F.substring(F.get(F.filter("options", test), F.lit(0)), 1, 1)
+    said = F.lower("answer")
+    right = F.coalesce(letter(lambda o: F.lower(F.substring(o, 1, 1)) == said), letter(lambda o: F.startswith(said, F.lower(F.substring(o, 1, 2)))), letter(lambda o: F.lower(F.trim(F.substring(o, 4, 1_000_000))) == said))
+    return rows.withColumn("question_type", F.when(F.size("options") > 0, "multiple_choice").otherwise("open_ended")).withColumn("correct", right)
+
+
+def read_book_questions(spark: SparkSession, path: str) -> DataFrame:
+    """A book's question table (Parquet): its columns must be there; null lists become empty, q_idx, where missing, rises with the row order of the files (not gapless)."""
+    df = spark.read.parquet(path)
+    if missing := sorted(set(BOOK_COLUMNS) - set(df.columns)):
+        raise ValueError(f"question table without {', '.join(missing)}")
+    lists = {c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for c in ("correct_answer", "correct_answer_chapters")}
+    if "q_idx" in df.columns:
+        return df.withColumns(lists)
+    return df.withColumns(lists).withColumn("q_idx", F.monotonically_increasing_id())
+
+
+def read_results(spark: SparkSession, path: str, keys: tuple[str, ...] = ("rows", "results", "items")) -> DataFrame:
+    """Rows (question_id, question, answer, source) of result files: JSON objects that hold them under one of the keys; rows without question or answer go."""
+    row = "array<struct<question_id: string, question: string, answer: string>>"
+    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("source"))
+    held = F.from_json("value", "struct<" + ", ".join(f"`{k}`: {row}" for k in keys) + ">")
+    rows = raw.select("source", held.alias("h")).select("source", F.explode(F.coalesce(*[F.col("h")[k] for k in keys])).alias("r"))
+    return rows.select("r.*", "source").where("question <> '' and answer <> ''")
+
+
+def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """A report as JSON lines or CSV with a header, in as many files as the table has partitions."""
+    if fmt not in ("json", "csv"):
+        raise ValueError(f"no report format: {fmt}")
+    df.write.mode("overwrite").options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).save(path)
