@@ -169,6 +169,35 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_score.pseudo_likelihood(empty).count() == 0
 
 
+def test_lm_words_all_count(spark):
+    """Rare words are told apart, scored by their own counts, and every word is trained on once."""
+    import pyarrow as pa
+
+    common, seldom = [f"c{i:04d}s" for i in range(1100)], [f"q{i:03d}s" for i in range(60)]
+    texts = [" ".join(common)] * 3 + [" ".join(seldom)] * 2 + [" ".join(["zzxqs", "jqvxs"] * 10), "zzxqs"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counted = lm_score.counted_words(df)
+    assert counted.count() == 1162
+    known, others = lm_score.vocabulary(counted)
+    lp = {r["h"]: (r["n"], r["lp"]) for r in others.collect()}
+    assert len(lp) == 1162 - lm_score.HEAD and len({x for _, x in lp.values()}) > 1
+    h = lambda w: int(lm_score.words(pa.array([w]))[0].view(np.int64)[0])
+    assert h("q007s") in lp and h("q008s") in lp and all(x < 0 for _, x in lp.values())
+    assert lp[h("q007s")][0] == 2 and lp[h("q007s")][1] < max(x for n, x in lp.values() if n == 3)
+    flat = lm_score.train(df, known)
+    plain = {r["doc_id"]: r["log_prob"] for r in lm_score.score(df, known, others, flat).collect()}
+    bare = known._replace(hot=known.hot[:0], hot_log=known.hot_log[:0])
+    joined = {r["doc_id"]: r["log_prob"] for r in lm_score.score(df, bare, others, flat).collect()}
+    assert all(abs(plain[i] - joined[i]) < 1e-3 for i in plain)
+    new = spark.createDataFrame([(0, "q007s"), (1, "q0zys")], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.score(new, known, others, flat).collect()}
+    assert got[1] < got[0] < 0
+    t = lm_score._words(pa.array(texts), known.heads)
+    key = np.arange(len(texts), dtype=np.uint64) * np.uint64(1 << 40)
+    parts = [lm_score.taken(key, t, r, 2) for r in range(2)]
+    assert min(map(len, parts)) > 0 and sorted(np.concatenate(parts)) == list(range(len(t.row)))
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 

@@ -1,28 +1,37 @@
 """LM scoring by masked pseudo-likelihood: a window network predicts each token from both sides, trained in numpy.
 
-The network: embeddings of the two tokens before and the two after, one tanh layer, and a two-level softmax (class of the
-token, then the token in its class). Training is data-parallel: every task takes one pass over its own documents from
-the same weights, predicting a masked share of their tokens; weights are averaged by token count, and the next round
-starts from the average. Vocabulary counts and training rounds cover all documents.
+The network: embeddings of the two tokens before and the two after, one tanh layer, and a two-level softmax (group of the
+outcome, then the outcome in its group). Outcomes are the HEAD commonest words and, for every other word, the class of its
+ending; a word's probability within its class comes from the table of all words and their counts, which grows with the
+corpus, with a share kept back for words spelled byte by byte, so that no two words fall to one unknown id. As context,
+other words are the sum of two rows, by ending and by whole word. Training is data-parallel: every task takes one pass
+over its own documents from the same weights; weights are averaged by token count, and the next round starts from the
+average. The rounds share all tokens out among them by hash: each token is predicted in one round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix, slices
+from .common import SPACES, cut, mix, slices, words
 
 SIDE = (-2, -1, 1, 2)
 CLASSES = 32
 VOCAB = CLASSES * CLASSES
+REST = 64  # classes of the words that are not among the commonest
+HEAD = VOCAB - REST
+PIECES = 1024  # rows for endings, and as many for whole words, that make up the context of a rarer word
 DIM, HIDDEN = 16, 32
-SHAPES = {"e": (VOCAB + 1, DIM), "w": (len(SIDE) * DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "d": (CLASSES,), "u": (CLASSES, HIDDEN, CLASSES), "v": (CLASSES, CLASSES)}
-MASK = 15  # per cent of the tokens predicted in a training round
+SHAPES = {"e": (VOCAB + 1 + 2 * PIECES, DIM), "w": (len(SIDE) * DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "d": (CLASSES,), "u": (CLASSES, HIDDEN, CLASSES), "v": (CLASSES, CLASSES)}
+HELD = 0.5  # taken from each word's count and given to spelling
+HOT = 1 << 16  # commonest words of the table that tasks hold; the others are joined
+BYTES = 257  # byte values and the edge of a word
 
 
 def _fresh() -> dict[str, np.ndarray]:
@@ -44,23 +53,81 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _tokens(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts with two pads around each, and the text of each token (-1 for pads)."""
-    get, out, sizes = ids.get, [VOCAB, VOCAB], []
-    for t in texts:
-        now = [get(w, 0) for w in t.split()] if t else []
-        sizes.append(len(now))
-        out += now
-        out += (VOCAB, VOCAB)
-    sizes = np.array(sizes, np.int64)
-    row = np.full(len(out), -1, np.int64)
-    heads = 2 + np.cumsum(sizes + 2) - sizes - 2
-    row[np.repeat(heads - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = np.repeat(np.arange(len(sizes)), sizes)
-    return np.array(out, np.int32), row
+class Words(NamedTuple):
+    """The words of some texts in order, and the same with two pads around each text."""
 
+    hashed: np.ndarray
+    row: np.ndarray  # text of each word
+    head: np.ndarray  # id below HEAD, or -1
+    kind: np.ndarray  # outcome: head id, or HEAD + class
+    at: np.ndarray  # place of each word in own and other
+    own: np.ndarray  # context row (VOCAB for pads)
+    other: np.ndarray  # second context row, or -1
+    data: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
 
-def _context(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return tokens[at[:, None] + np.array(SIDE)]
+
+def _bytes(text: pa.Array) -> np.ndarray:
+    text = text.cast(pa.large_string())
+    bounds = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    return np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+
+
+def _found(sorted_: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Place of each hash in sorted_, or -1."""
+    if not len(sorted_):
+        return np.full(len(hashed), -1, np.int64)
+    i = np.minimum(np.searchsorted(sorted_, hashed), len(sorted_) - 1)
+    return np.where(sorted_[i] == hashed, i, -1)
+
+
+def _endings(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class by the last two bytes, piece by the last three)."""
+    tail = [np.where(end - j >= first, data[np.maximum(end - j, 0)], 0).astype(np.uint64) for j in (1, 2, 3)] if len(first) else [np.zeros(0, np.uint64)] * 3
+    two = tail[0] | tail[1] << np.uint64(8)
+    return (mix(two) % np.uint64(REST)).astype(np.int64), (mix(two | tail[2] << np.uint64(16)) % np.uint64(PIECES)).astype(np.int64)
+
+
+def _words(text: pa.Array, heads: np.ndarray) -> Words:
+    hashed, row, first, end = words(text)
+    data = _bytes(text)
+    head = _found(heads, hashed)
+    class_, piece = _endings(data, first, end)
+    rare = head < 0
+    at = np.arange(len(row)) + 2 + 2 * row
+    own, other = np.full(len(row) + 2 * len(text) + 2, VOCAB, np.int32), np.full(len(row) + 2 * len(text) + 2, -1, np.int32)
+    own[at] = np.where(rare, VOCAB + 1 + piece, head)
+    other[at] = np.where(rare, VOCAB + 1 + PIECES + (hashed % np.uint64(PIECES)).astype(np.int64), -1)
+    return Words(hashed, row, head, np.where(rare, HEAD + class_, head), at, own, other, data, first, end)
+
+
+def _context(w: dict[str, np.ndarray], t: Words, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input of the network, context rows, second rows) of the words `here`."""
+    near = t.at[here][:, None] + np.array(SIDE)
+    own, other = t.own[near].ravel(), t.other[near].ravel()
+    x = w["e"][own]
+    two = np.flatnonzero(other >= 0)
+    x[two] += w["e"][other[two]]
+    return x.reshape(len(here), -1), own, other
+
+
+def _pairs(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(successive bytes of each word as numbers, the first of them per word, last byte and edge)."""
+    size = end - first
+    heads = np.cumsum(size) - size
+    cur = data[np.repeat(first - heads, size) + np.arange(size.sum())].astype(np.int64)
+    prev = np.concatenate(([BYTES - 1], cur[:-1]))
+    prev[heads] = BYTES - 1
+    return prev * BYTES + cur, heads, cur[heads + size - 1] * BYTES + BYTES - 1
+
+
+def _spelled(t: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Log-probability of each word byte by byte."""
+    if not len(first):
+        return np.zeros(0)
+    inner, heads, last = _pairs(data, first, end)
+    return np.add.reduceat(t[inner], heads) + t[last]
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -68,13 +135,13 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def log_probs(w: dict[str, np.ndarray], tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of each token at `at` given its window."""
-    out = np.zeros(len(at), np.float32)
-    for lo in range(0, len(at), 16384):
-        here = at[lo : lo + 16384]
-        h = np.tanh(w["e"][_context(tokens, here)].reshape(len(here), -1) @ w["w"] + w["b"])
-        kind, place = tokens[here] % CLASSES, tokens[here] // CLASSES
+def log_probs(w: dict[str, np.ndarray], t: Words) -> np.ndarray:
+    """Log-probability of each word's outcome given its window."""
+    out = np.zeros(len(t.row), np.float32)
+    for lo in range(0, len(out), 16384):
+        here = np.arange(lo, min(lo + 16384, len(out)))
+        h = np.tanh(_context(w, t, here)[0] @ w["w"] + w["b"])
+        kind, place = t.kind[here] % CLASSES, t.kind[here] // CLASSES
         p = _log_softmax(h @ w["c"] + w["d"])[np.arange(len(here)), kind]
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
@@ -86,15 +153,16 @@ def log_probs(w: dict[str, np.ndarray], tokens: np.ndarray, at: np.ndarray) -> n
     return out
 
 
-def _train(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarray, at: np.ndarray, rate: float = 0.08, batch: int = 1024) -> None:
-    """Adagrad steps over the tokens at `at`; w and seen (squared gradients) change in place."""
-    for lo in range(0, len(at), batch):
-        here = at[lo : lo + batch]
+def _train(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], t: Words, at: np.ndarray, done: int = 0, rate: float = 0.08) -> None:
+    """Adagrad steps over the words `at`, larger ones as more words are done; w and seen (squared gradients) change in place."""
+    lo = 0
+    while lo < len(at):
+        here = at[lo : lo + min(4096, max(512, (done + lo) // 8))]
         n = len(here)
-        ctx = _context(tokens, here)
-        x = w["e"][ctx].reshape(n, -1)
+        lo += n
+        x, own, other = _context(w, t, here)
         h = np.tanh(x @ w["w"] + w["b"])
-        kind, place = tokens[here] % CLASSES, tokens[here] // CLASSES
+        kind, place = t.kind[here] % CLASSES, t.kind[here] // CLASSES
         g = {}
         dz = np.exp(_log_softmax(h @ w["c"] + w["d"]))
         dz[np.arange(n), kind] -= 1
@@ -115,41 +183,104 @@ def _train(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.nda
         da = dh * (1 - h * h)
         g["w"], g["b"] = x.T @ da, da.sum(axis=0)
         dx = (da @ w["w"].T).reshape(n * len(SIDE), DIM)
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], ctx.ravel(), dx)
+        two = other >= 0
+        cell = np.concatenate((own, other[two]))[:, None] * DIM + np.arange(DIM)
+        g["e"] = np.bincount(cell.ravel(), np.concatenate((dx, dx[two])).ravel(), w["e"].size).reshape(w["e"].shape).astype(np.float32)
         for k in SHAPES:
             seen[k] += g[k] ** 2
             w[k] -= rate * g[k] / (np.sqrt(seen[k]) + 1e-6)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """The VOCAB - 1 commonest words over all texts, from 1 by falling count; 0 stands for every other word."""
-    counted = docs.select(F.explode(F.split(F.col(text_col), SPACES)).alias("w")).where("w <> ''").groupBy("w").count()
-    return {r["w"]: i for i, r in enumerate(counted.orderBy(F.desc("count"), "w").limit(VOCAB - 1).collect(), 1)}
+def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every word of the texts with its count: w, n."""
+    return cut(docs.select(F.explode(F.split(F.col(text_col), SPACES)).alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
 
 
-def train(docs: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> np.ndarray:
-    """Weights after `rounds` rounds over all documents. The driver holds one model, about 52,000 numbers."""
+class Vocabulary(NamedTuple):
+    """What tasks hold: hashes of the head words, totals and spelling of the others, and the commonest of the table."""
+
+    heads: np.ndarray
+    left: np.ndarray  # per class, log of the share that goes to spelling
+    spelling: np.ndarray
+    hot: np.ndarray
+    hot_log: np.ndarray
+
+
+def vocabulary(counted: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of a table of counts, and the table of all words outside the head: h (hash), n, lp (log-probability
+    of the word within its class). The HEAD commonest words have outcomes of their own."""
+    top = [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(HEAD).collect()]
+    heads = np.sort(words(pa.array(top, pa.string()))[0])
+    shared = counted.sparkSession.sparkContext.broadcast(heads)
+
+    def rare(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        text = batch.column("w")
+        hashed, row, first, end = words(text)
+        i = np.flatnonzero(_found(shared.value, hashed) < 0)
+        data = _bytes(text)
+        return hashed[i], np.asarray(batch.column("n"))[row[i]], _endings(data, first[i], end[i])[0], data, first[i], end[i]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * REST + BYTES * BYTES, np.int64)
+        for batch in batches:
+            _, n, class_, data, first, end = rare(batch)
+            if len(n):
+                inner, _, last = _pairs(data, first, end)
+                np.add.at(sums, class_, n)
+                sums += np.bincount(np.concatenate((class_ + REST, inner + 2 * REST, last + 2 * REST)), minlength=len(sums))
+        i = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(sums[i])], ["i", "x"])
+
+    got = counted.mapInArrow(add, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    sums = np.zeros(2 * REST + BYTES * BYTES)
+    sums[got["i"].to_numpy(np.int64)] = got["x"].to_numpy(float)
+    total, kinds = sums[:REST], sums[REST : 2 * REST]
+    pairs = sums[2 * REST :].reshape(BYTES, BYTES) + 0.01
+    spelling = np.log(pairs / pairs.sum(axis=1, keepdims=True)).ravel()
+    # A class without words leaves all to spelling.
+    left = np.log(np.where(total > 0, HELD * kinds / np.maximum(total, 1), 1.0))
+    told = counted.sparkSession.sparkContext.broadcast((total, left, spelling))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, left, spelling = told.value
+        for batch in batches:
+            hashed, n, class_, data, first, end = rare(batch)
+            lp = np.logaddexp(np.log((n - HELD) / total[class_]), left[class_] + _spelled(spelling, data, first, end))
+            yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(n), pa.array(lp)], ["h", "n", "lp"])
+
+    others = cut(counted.mapInArrow(weigh, "h long, n long, lp double"))
+    hot = others.orderBy(F.desc("n"), "h").limit(HOT).toPandas()
+    keys = hot["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Vocabulary(heads, left, spelling, keys[order], hot["lp"].to_numpy(float)[order]), others
+
+
+def taken(key: np.ndarray, t: Words, round_: int, rounds: int) -> np.ndarray:
+    """The words predicted in a round, by hash of text and place: every word in one of the rounds."""
+    place = np.arange(len(t.row)) - np.searchsorted(t.row, t.row)
+    return np.flatnonzero(mix(key[t.row] + place.astype(np.uint64)) % np.uint64(rounds) == np.uint64(round_))
+
+
+def train(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> np.ndarray:
+    """Weights after `rounds` rounds over all documents. The driver holds one model, about 85,000 numbers."""
     own = docs.select(F.xxhash64(id_col).alias("k"), F.col(text_col).alias("text")).where("text is not null")
     flat = _flat(_fresh())
     for round_ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, flat))
+        shared = docs.sparkSession.sparkContext.broadcast((known.heads, flat))
 
         def run(batches: Iterator[pa.RecordBatch], round_: int = round_, shared=shared) -> Iterator[pa.RecordBatch]:
-            known, start = shared.value
+            heads, start = shared.value
             w = _shaped(start)
             seen = {k: np.full(s, 0.01, np.float32) for k, s in SHAPES.items()}
-            taken = 0
+            done = 0
             for batch in batches:
                 for part in slices(batch, "text"):
-                    tokens, row = _tokens(part.column("text").to_pylist(), known)
-                    at = np.flatnonzero(row >= 0)
-                    key = np.asarray(part.column("k")).view(np.uint64)[row[at]] + at.astype(np.uint64) - np.searchsorted(row[at], row[at]).astype(np.uint64)
-                    at = at[mix(key + np.uint64(round_ * 7919)) % np.uint64(100) < np.uint64(MASK)]
-                    _train(w, seen, tokens, at)
-                    taken += len(at)
-            if taken:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start)), pa.int32()), pa.array(_flat(w) * taken), pa.array(np.full(len(start), taken), pa.int64())], ["i", "x", "n"])
+                    t = _words(part.column("text"), heads)
+                    at = taken(np.asarray(part.column("k")).view(np.uint64), t, round_, rounds)
+                    _train(w, seen, t, at, done)
+                    done += len(at)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start)), pa.int32()), pa.array(_flat(w) * done), pa.array(np.full(len(start), done), pa.int64())], ["i", "x", "n"])
 
         rows = own.mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(rows):
@@ -157,30 +288,42 @@ def train(docs: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_col
     return flat
 
 
-def score(docs: DataFrame, ids: dict[str, int], flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_tokens, log_prob (sum over all tokens) and mean_log_prob (null without tokens)."""
+def score(docs: DataFrame, known: Vocabulary, others: DataFrame, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id, n_tokens, log_prob (sum over all tokens) and mean_log_prob (null without tokens). Words that
+    tasks do not hold are joined to the table `others`; what is in no table is spelled."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((ids, flat))
+    shared = docs.sparkSession.sparkContext.broadcast((known, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = shared.value[0], _shaped(shared.value[1])
+        v, w = shared.value[0], _shaped(shared.value[1])
         for batch in batches:
             for part in slices(batch, "text"):
                 n = part.num_rows
-                tokens, row = _tokens(part.column("text").to_pylist(), known)
-                at = np.flatnonzero(row >= 0)
-                count = np.bincount(row[at], minlength=n)
-                total = np.bincount(row[at], weights=log_probs(w, tokens, at), minlength=n)
-                mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(count, pa.int64()), pa.array(total), mean], ["id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    schema = own.select("id").withColumns({"n_tokens": F.lit(0).cast("long"), "log_prob": F.lit(0.0), "mean_log_prob": F.lit(None).cast("double")}).schema
-    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                t = _words(part.column("text"), v.heads)
+                lp = log_probs(w, t).astype(np.float64)
+                rare = np.flatnonzero(t.head < 0)
+                hot = _found(v.hot, t.hashed[rare])
+                lp[rare[hot >= 0]] += v.hot_log[hot[hot >= 0]]
+                total = np.bincount(t.row, weights=lp, minlength=n)
+                cold = rare[hot < 0]
+                bare = v.left[t.kind[cold] - HEAD] + _spelled(v.spelling, t.data, t.first[cold], t.end[cold])
+                bounds = np.searchsorted(t.row[cold], np.arange(n + 1))
+                far = pa.StructArray.from_arrays([pa.array(t.hashed[cold].view(np.int64)), pa.array(bare.astype(np.float32))], ["h", "bare"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.bincount(t.row, minlength=n), pa.int64()), pa.array(total), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), far)], ["id", "n_tokens", "log_prob", "far"])
+
+    schema = own.select("id").withColumns({"n_tokens": F.lit(0).cast("long"), "log_prob": F.lit(0.0), "far": F.lit(None).cast("array<struct<h: bigint, bare: float>>")}).schema
+    near = cut(own.mapInArrow(run, schema).withColumn("k", F.monotonically_increasing_id()))
+    far = near.select("k", F.inline("far")).join(others.select("h", "lp"), "h", "left")
+    sums = far.groupBy("k").agg(F.sum(F.coalesce("lp", F.col("bare").cast("double"))).alias("more"))
+    whole = near.select("k", "id", "n_tokens", "log_prob").join(sums, "k", "left")
+    log_prob = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    return whole.select(F.col("id").alias(id_col), "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """score of docs under a network trained on docs. Words are split at white space; null and empty texts have no
-    tokens, log_prob 0 and a null mean; a null id stays null; extra columns are not read; an empty table gives no rows.
+    """score of docs under a network and a table of words made from docs. Words are split at ASCII white space; null and
+    empty texts have no tokens, log_prob 0 and a null mean; a null id stays null; extra columns are not read; an empty
+    table gives no rows.
     """
-    ids = vocabulary(docs, text_col)
-    return score(docs, ids, train(docs, ids, id_col, text_col, rounds), id_col, text_col)
+    known, others = vocabulary(counted_words(docs, text_col))
+    return score(docs, known, others, train(docs, known, id_col, text_col, rounds), id_col, text_col)
