@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import answers, claims, evidence, graph, state, times
+from tidemark.plans import evidence as plans_evidence
+from tidemark.plans import texts
 from tidemark.sources import records
 
 
@@ -162,3 +164,14 @@ def test_question_scans(spark, tmp_path):
         records.read_book_questions(spark, str(tmp_path / "m"))
     records.write_report(spark.range(2), str(tmp_path / "out"), "csv")
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    late = "漢字 " * 120 + "Late words"
+    spark.createDataFrame([(1, late), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["key"] for r in texts.t5_bucket_keys(spark, str(tmp_path)).collect()} == {1: "late_words", 2: "unknown"}
+    turn = "So, so - SO so! so ... so so so so so so so Ann met Bob and Cy"
+    spark.createDataFrame([(1, 1, turn), (1, 2, None)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["turn"]: r["labels"] for r in plans_evidence.t7_scope_labels(spark, str(tmp_path)).collect()} == {1: "So|Ann|met|Bob", 2: ""}
+    spark.createDataFrame([(1, "a " * 100_003), (2, "a"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["item_id"]: (r["entity"], r["n_others"]) for r in texts.t19_primary_other(spark, str(tmp_path)).collect()} == {1: ("a", 100_002), 2: ("a", 0), 3: (None, 0)}

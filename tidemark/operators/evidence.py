@@ -15,9 +15,13 @@ LIFECYCLE = ("SUPERSEDES", "CORRECTS")
 
 def scope_labels(labels: Column, most: int = 4) -> Column:
     """Labels trimmed, without empty ones, each once whatever its case, in order, the first `most`; null gives none."""
-    clean = F.filter(F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: label(x)), lambda x: x != "")
-    first = lambda x, i: F.array_position(F.transform(clean, lambda y: F.lower(y)), F.lower(x)) == i + 1
-    return F.slice(F.filter(clean, first), 1, most)
+    none = F.array().cast("array<string>")
+
+    def step(kept, x):
+        new = (F.size(kept) < most) & (x != "") & ~F.exists(kept, lambda y: F.lower(y) == F.lower(x))
+        return F.when(new, F.concat(kept, F.array(x))).otherwise(kept)
+
+    return F.aggregate(F.transform(F.filter(F.coalesce(labels, none), lambda x: x.isNotNull()), lambda x: label(x)), none, step)
 
 
 def gold_items(text: Column) -> Column:

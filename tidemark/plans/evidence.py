@@ -22,8 +22,7 @@ def _states(spark, d) -> DataFrame:
 
 
 def t7_scope_labels(spark, d) -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, 12)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(E.scope_labels(words), "|").alias("labels"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(E.scope_labels(F.split("text", " ")), "|").alias("labels"))
 
 
 def t21_gold_items(spark, d) -> DataFrame:
