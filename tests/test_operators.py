@@ -175,3 +175,36 @@ def test_whole_texts_are_read(spark, tmp_path):
     assert {r["turn"]: r["labels"] for r in plans_evidence.t7_scope_labels(spark, str(tmp_path)).collect()} == {1: "So|Ann|met|Bob", 2: ""}
     spark.createDataFrame([(1, "a " * 100_003), (2, "a"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["item_id"]: (r["entity"], r["n_others"]) for r in texts.t19_primary_other(spark, str(tmp_path)).collect()} == {1: ("a", 100_002), 2: ("a", 0), 3: (None, 0)}
+
+
+def test_ruled_sentences(spark):
+    split = lambda x: one(spark, T.ruled_sentences(F.lit(x).cast("string")))
+    assert split("Dr. Smith met J. Doe. He left... Slowly, e.g. by bus.\nDone!") == ["Dr. Smith met J. Doe.", "He left... Slowly, e.g. by bus.", "Done!"]
+    assert split('He said "Stop. Now." Then he went.') == ['He said "Stop. Now."', "Then he went."] and split("“A. Bc. D” e. End") == ["“A. Bc. D” e. End"]
+    assert split("It was v. good. yes. No") == ["It was v. good. yes.", "No"] and split(None) == [] and split(" ") == []
+
+
+def test_judgments(spark):
+    same = lambda g, s: one(spark, times.same_date(F.lit(g).cast("string"), F.lit(s).cast("string")))
+    assert same("7 May 2023", "May 7th, 2023.") and same("May 2023", "2023-05-07") and same("2023", "May 2023") and not same("7 May 2023", "2023") and not same(None, "2023")
+    assert same("the friday before 15 July 2023", "14 July 2023") and same("Monday after 17 July 2023", "24 July 2023") and same("the week before 9 June 2023", "2 June 2023")
+    assert same("a few days after 9 June 2023", "12 June 2023") and not same("a few days after 9 June 2023", "14 June 2023") and same("5/7/2023", "7 May 2023") and not same("31 June 2023", "31 June 2023")
+    rows = [("a", "s1", "adversarial", 0.0, "Not mentioned in the conversation", "x"), ("b", "s1", "adversarial", 0.0, "Rome", "x"), ("c", "s1", "single-hop", 1.0, "x", "x"), ("d", "s1", "single-hop", 0.0, "no information available", "x"), ("e", "s1", "temporal", 0.2, "7 May 2023", "May 2023"), ("f", "s1", None, None, "three dogs", "3 dogs"), ("g", "s2", "open-domain", 0.3, "a dog", "hound"), ("h", "s2", "open-domain", 0.3, None, "hound")]
+    df = spark.createDataFrame(rows, "key string, sample_id string, question_type string, answer_f1 double, hypothesis string, gold_answer string")
+    labels = lambda *x: spark.createDataFrame(list(x), "key string, label string")
+    out = answers.rescored(df, labels(("g", "equivalent"), ("h", "wrong"), ("a", "wrong")), labels(("g", "wrong")))
+    assert {r["key"]: (r["label"], r["reason"]) for r in out.collect()} == {
+        "a": ("equivalent", "adversarial_abstention"), "b": ("wrong", "adversarial_not_abstained"), "c": ("equivalent", "official_f1_exact"), "d": ("wrong", "abstained_with_available_gold"),
+        "e": ("equivalent", "date_format_or_granularity"), "f": ("equivalent", "number_format"), "g": ("wrong", "verified"), "h": ("wrong", "judged"),
+    }
+    got = {(r["level"], r["value"]): (r["n"], r["score"]) for r in answers.rescored_summary(out).collect()}
+    assert got["overall", None] == (8, 0.5) and got["non_adversarial", None] == (6, 0.5) and got["sample", "s2"] == (2, 0.0) and got["type", "adversarial"] == (2, 0.5) and got["type", None] == (1, 1.0)
+    with pytest.raises(ValueError, match="no label"):
+        answers.rescored(df, labels(("g", "equivalent")), labels())
+    assert one(spark, answers.judgment_key(F.lit("a"), F.lit(None))) != one(spark, answers.judgment_key(F.lit("a"), F.lit("")))
+
+
+def test_newest_first(spark):
+    hits = spark.createDataFrame([(1, "a", 1.0, "2023-01-01"), (1, "b", 1.0, "2023-01-03"), (1, "c", 1.0, None), (2, "a", 1.0, "2023-01-01")], "query_id int, doc_id string, score double, at string")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in times.rerank(hits, F.array(F.lit("x")), F.array(F.lit("y")), at=F.col("at")).collect()}
+    assert got == {(1, "a"): 1.1, (1, "b"): 1.2, (1, "c"): 1.0, (2, "a"): 1.0}

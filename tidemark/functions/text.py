@@ -11,6 +11,10 @@ NO_TIME = ("none", "n/a", "na", "unknown", "null", "unspecified")
 TIME_LAYOUTS = ("h:mm a 'on' d MMMM, yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd", "MMMM d, yyyy")
 
 
+#: Abbreviations that end no sentence.
+ABBREVIATIONS = ("dr", "e.g", "i.e", "jr", "mr", "mrs", "ms", "prof", "sr", "st", "vs")
+
+
 def plain_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null gives none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), F.array().cast("array<string>"))
@@ -64,6 +68,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def ruled_sentences(text: Column) -> Column:
+    """Sentences by end marks before a space, white space as one space. An ellipsis, an abbreviation, an initial, a small
+    letter that follows or an open quotation ends none; pieces between marks are merged in one pass.
+    """
+    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    pieces = F.regexp_extract_all(bare, F.lit(r"""(?s).*?[.!?]+["”’']*(?:\s+|$)|.+$"""), F.lit(0))
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    start = F.expr("named_struct('out', cast(array() as array<string>), 'open', '', 'last', '', 'plain', 0, 'curly', 0)")
+
+    def step(a, x):
+        mark = F.regexp_extract(a["last"], r"""([.!?]+)["”’']*\s*$""", 1)
+        word = F.lower(F.regexp_extract(a["last"], r"""([A-Za-z]+(?:\.[A-Za-z]+)*)[.!?]+["”’']*\s*$""", 1))
+        goes_on = mark.startswith("...") | (mark.startswith(".") & (word.isin(*ABBREVIATIONS) | (F.length(word) == 1))) | x.rlike(r"^\p{Ll}")
+        ends = (a["open"] != "") & ~goes_on & (a["plain"] % 2 == 0) & (a["curly"] <= 0)
+        keep = lambda new, old: F.when(ends, new).otherwise(old)
+        curly = count(x, "“") - count(x, "”")
+        return F.struct(
+            keep(F.concat(a["out"], F.array(F.trim(a["open"]))), a["out"]).alias("out"), keep(x, F.concat(a["open"], x)).alias("open"), x.alias("last"),
+            (keep(F.lit(0), a["plain"]) + count(x, '"')).alias("plain"), (keep(F.lit(0), a["curly"]) + curly).alias("curly"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda a: F.when(F.trim(a["open"]) != "", F.concat(a["out"], F.array(F.trim(a["open"])))).otherwise(a["out"]))
+
+
 def any_time(text: Column) -> Column:
     """A timestamp by the first layout that fits."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_LAYOUTS])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import answer_tokens, plain_tokens
 from .evidence import multi_answer_f1
 from .metrics import token_f1
+from .times import clean_text, same_date
 
 #: What a question may ask for, and how it counts.
 OPERATIONS = ("lookup", "enumerate", "count", "intersection", "compare", "boolean", "inference")
@@ -20,6 +21,9 @@ DOUBT = ("unknown", "unclear", "uncertain", "unsure", "no", "none", "nothing")
 PLACES = ("located", "place", "area", "building", "room", "street", "city", "country")
 #: Categories of questions by number.
 CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop", 5: "adversarial"}
+#: How a judged answer says that there is none, and numbers written as words.
+NO_ANSWER_GIVEN = r"(?i)no information available|not mentioned in the conversation"
+NUMBER_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20"}
 
 _NONE = "array<string>"
 
@@ -90,6 +94,61 @@ def category_score(category: Column, said: Column, gold: Column) -> Column:
     return F.when(category == 5, no.cast("double")).when(category == 3, one(F.trim(F.split(whole, ";")[0]))).when(category == 1, multi_answer_f1(parts(said), parts(whole))).when(category.isin(2, 4), one(whole))
 
 
+def plain_numbers(text: Column) -> Column:
+    """Words of an answer without articles, numbers as digits, joined by spaces."""
+    known = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, n)])
+    words = F.filter(F.split(F.regexp_replace(clean_text(text), "[^a-z0-9]+", " "), " "), lambda w: ~w.isin("", "a", "an", "the"))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+
+
+def judgment(question_type: Column, f1: Column, said: Column, gold: Column) -> Column:
+    """(label, reason) by rules in order: adversarial questions by abstention, an exact answer, abstention, one date, one
+    number; null where no rule decides."""
+    f1, gave_up = F.coalesce(f1, F.lit(0.0)), F.coalesce(said, F.lit("")).rlike(NO_ANSWER_GIVEN)
+    adversarial, a, b = F.coalesce(question_type == "adversarial", F.lit(False)), plain_numbers(gold), plain_numbers(said)
+    number = (a == b) & a.rlike("[0-9]") & (clean_text(gold) != clean_text(said))
+    told = lambda label, reason: F.struct(F.lit(label).alias("label"), F.lit(reason).alias("reason"))
+    return F.coalesce(
+        F.when(adversarial & ((f1 >= 1.0) | gave_up), told("equivalent", "adversarial_abstention")), F.when(adversarial, told("wrong", "adversarial_not_abstained")),
+        F.when(f1 >= 1.0, told("equivalent", "official_f1_exact")), F.when(gave_up, told("wrong", "abstained_with_available_gold")),
+        F.when(same_date(gold, said), told("equivalent", "date_format_or_granularity")), F.when(number, told("equivalent", "number_format")),
+    )
+
+
+def judgment_key(*parts: Column) -> Column:
+    """Hash of what a judge saw; null differs from an empty text."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def rescored(rows: DataFrame, judged: DataFrame, verified: DataFrame | None = None) -> DataFrame:
+    """rows (key, question_type, answer_f1, hypothesis, gold_answer, ...) with label and reason: by rule, else the judged
+    label (key, label), and for judged equivalents the verified one where that table is given. A row left without a
+    label is an error."""
+    one = lambda t, name: t.groupBy("key").agg(F.min("label").alias(name))
+    ruled = rows.withColumn("rule", judgment(F.col("question_type"), F.col("answer_f1"), F.col("hypothesis"), F.col("gold_answer"))).join(one(judged, "judged"), "key", "left")
+    label, reason = F.col("judged"), F.lit("judged")
+    if verified is not None:
+        ruled = ruled.join(one(verified, "verified"), "key", "left")
+        again = label == "equivalent"
+        label, reason = F.when(again, F.col("verified")).otherwise(label), F.when(again, F.lit("verified")).otherwise(reason)
+    out = ruled.withColumns({"label": F.coalesce(F.col("rule")["label"], label), "reason": F.coalesce(F.col("rule")["reason"], reason)})
+    missing = [r["key"] for r in out.where("label is null").select("key").limit(3).collect()]
+    if missing:
+        raise ValueError(f"no label for {missing}")
+    return out.drop("rule", "judged", "verified")
+
+
+def rescored_summary(rows: DataFrame) -> DataFrame:
+    """n and share of equivalent labels: overall, by type, by sample, and without adversarial questions."""
+    rows = rows.withColumn("ok", F.when(F.col("label") == "equivalent", 1.0).otherwise(0.0))
+    scores = (F.count(F.lit(1)).alias("n"), F.avg("ok").alias("score"))
+    level = F.when(F.grouping("question_type") == 0, "type").when(F.grouping("sample_id") == 0, "sample").otherwise("overall")
+    every = rows.groupingSets([["question_type"], ["sample_id"], []], "question_type", "sample_id").agg(level.alias("level"), *scores)
+    every = every.select("level", F.coalesce(F.col("question_type").cast("string"), F.col("sample_id").cast("string")).alias("value"), "n", "score")
+    rest = rows.where(~F.coalesce(F.col("question_type") == "adversarial", F.lit(False))).agg(*scores)
+    return every.unionByName(rest.select(F.lit("non_adversarial").alias("level"), F.lit(None).cast("string").alias("value"), "n", "score"))
+
+
 def stratified(rows: DataFrame, bin_: str, key: str, targets: dict[str, int], seed: int = 42) -> DataFrame:
     """As many rows of each bin as its target says, by least hash of key and seed: the same rows at any partitioning. Bins without a target go."""
     due = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])[F.col(bin_)]

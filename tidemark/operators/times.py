@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Numbers written as words.
@@ -55,6 +55,81 @@ def ground(rows: DataFrame, text_col: str, anchor_col: str) -> DataFrame:
     return found.withColumn("start", start).where("start is not null").withColumn("end", end).withColumn("normalised", said)
 
 
-def rerank(hits: DataFrame, roles: Column, asked: Column, boost: float = 0.25) -> DataFrame:
-    """hits with `boost` added where a document's roles meet those asked for."""
-    return hits.withColumn("score", F.round(F.col("score") + F.when(F.arrays_overlap(roles, asked), boost).otherwise(0.0), 6))
+MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_YEAR = r"((?:19|20)\d{2})"
+
+
+def clean_text(text: Column) -> Column:
+    """Small letters without ordinal endings, a first 'on' or 'the', repeated spaces and stops around."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"(\d)(?:st|nd|rd|th)\b", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"^(?:on|the)\s+", ""), r"\s+", " ")
+    return F.regexp_replace(t, r"^[ .]+|[ .]+$", "")
+
+
+def _read(t: Column, pattern: str, order: tuple[int, int, int] | tuple[int, int]) -> Column:
+    """The date of a whole text, its parts (year, month, day) by group; the first of the month without a day."""
+    g = lambda i: F.regexp_extract(t, f"^{pattern}$", i)
+    name = g(order[1])
+    number = F.when(name.rlike("^[a-z]"), F.date_format(F.try_to_timestamp(F.concat(F.lit("2000 "), F.substring(name, 1, 3)), F.lit("yyyy MMM")), "M")).otherwise(name)
+    parts = F.concat_ws("-", g(order[0]), number, g(order[2]) if len(order) == 3 else F.lit("1"))
+    return F.to_date(F.try_to_timestamp(parts, F.lit("yyyy-M-d")))
+
+
+def _days(t: Column) -> Column:
+    sign = r"[-/.]"
+    first, last = rf"{_YEAR}{sign}(\d{{1,2}}){sign}(\d{{1,2}})", rf"(\d{{1,2}}){sign}(\d{{1,2}}){sign}{_YEAR}"
+    tries = (_read(t, rf"(\d{{1,2}}) {MONTH} {_YEAR}", (3, 2, 1)), _read(t, rf"{MONTH} (\d{{1,2}}),? {_YEAR}", (3, 1, 2)), _read(t, first, (1, 2, 3)), _read(t, first, (1, 3, 2)), _read(t, last, (3, 1, 2)), _read(t, last, (3, 2, 1)))
+    return F.array_distinct(F.filter(F.array(*tries), lambda x: x.isNotNull()))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value) with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def date_constraint(text: Column) -> Column:
+    """(precision, dates) that a whole text names: day, month or year, also by weekday, day, week or a few days before or
+    after a day; null without. Number dates are read both ways round; a year and a month without a day are a month."""
+    week = F.array(*[F.lit(x) for x in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")])
+    found = lambda name, dates: F.struct(F.lit(name).alias("precision"), dates.alias("dates"))
+
+    def near(t):
+        part = lambda i: F.regexp_extract(t, r"^(monday|tuesday|wednesday|thursday|friday|saturday|sunday|day|week|(?:a )?few days) (before|after) (.+)$", i)
+
+        def moved(unit, back, d):
+            target = F.array_position(week, unit).cast("int")  # 0 for other units
+            off = F.when(back, F.weekday(d) + 1 - target).otherwise(target - 1 - F.weekday(d))
+            step = F.when(target > 0, F.pmod(off + 6, F.lit(7)) + 1).when(unit == "week", 7).otherwise(1)
+            one = lambda k: F.date_add(d, F.when(back, -k).otherwise(k).cast("int"))
+            return F.when(unit.endswith("days"), F.array(*[one(F.lit(k)) for k in (2, 3, 4)])).otherwise(F.array(one(step)))
+
+        return _let(clean_text(part(3)), lambda x: F.flatten(F.transform(_days(x), lambda d: moved(part(1), part(2) == "before", d))))
+
+    def named(t):
+        month = F.coalesce(_read(t, rf"{MONTH} {_YEAR}", (2, 1)), _read(t, rf"{_YEAR}[-/.](\d{{1,2}})", (1, 2)))
+        year = F.to_date(F.try_to_timestamp(F.concat(F.regexp_extract(t, f"^{_YEAR}$", 1), F.lit("-1-1")), F.lit("yyyy-M-d")))
+        days = lambda x: F.when(F.size(x) > 0, found("day", x))
+        coarse = lambda name, x: _let(x, lambda d: F.when(d.isNotNull(), found(name, F.array(d))))
+        return F.coalesce(_let(_days(t), days), coarse("month", month), coarse("year", year), _let(near(t), days))
+
+    return _let(F.regexp_replace(clean_text(text), r"^(?:around|approximately|about) ", ""), named)
+
+
+def same_date(gold: Column, said: Column) -> Column:
+    """Whether two texts name one date, where the gold text may be the coarser one."""
+
+    def same(g, s):
+        cut = lambda unit: F.transform(s["dates"], lambda x: F.to_date(F.date_trunc(unit, x)))
+        near = F.when(g["precision"] == s["precision"], s["dates"]).when(g["precision"] == "year", cut("year")).when((g["precision"] == "month") & (s["precision"] == "day"), cut("month"))
+        return F.coalesce(F.arrays_overlap(g["dates"], near), F.lit(False))
+
+    return _let(date_constraint(gold), lambda g: _let(date_constraint(said), lambda s: same(g, s)))
+
+
+def rerank(hits: DataFrame, roles: Column, asked: Column, boost: float = 0.25, at: Column | None = None, recency: float = 0.2) -> DataFrame:
+    """hits with `boost` added where a document's roles meet those asked for; with `at`, up to `recency` more for the
+    newest of a question's documents (those without a time first)."""
+    score = F.col("score") + F.when(F.arrays_overlap(roles, asked), boost).otherwise(0.0)
+    if at is not None:
+        score = score + recency * F.percent_rank().over(Window.partitionBy("query_id").orderBy(at.asc_nulls_first(), "doc_id"))
+    return hits.withColumn("score", F.round(score, 6))
