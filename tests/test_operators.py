@@ -4,10 +4,12 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import answers, claims, evidence, graph, state, times
 from tidemark.plans import evidence as plans_evidence
+from tidemark.plans import retrieval as plans_retrieval
 from tidemark.plans import texts
 from tidemark.sources import records
 
@@ -208,3 +210,14 @@ def test_newest_first(spark):
     hits = spark.createDataFrame([(1, "a", 1.0, "2023-01-01"), (1, "b", 1.0, "2023-01-03"), (1, "c", 1.0, None), (2, "a", 1.0, "2023-01-01")], "query_id int, doc_id string, score double, at string")
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in times.rerank(hits, F.array(F.lit("x")), F.array(F.lit("y")), at=F.col("at")).collect()}
     assert got == {(1, "a"): 1.1, (1, "b"): 1.2, (1, "c"): 1.0, (2, "a"): 1.0}
+
+
+def test_external_hits_in_runs(spark, tmp_path):
+    rows = [(i * 977, i % 3 % 2) for i in range(2000)] + [(None, 1), (-5, 1), (-40_005, None)]
+    spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = plans_retrieval.r27_external_hits(spark, str(tmp_path))
+    by = Window.partitionBy(F.col("doc_id") % 10).orderBy(F.desc("score"), "doc_id")
+    assert sorted(map(str, out.collect())) == sorted(map(str, out.select("doc_id", "score", F.row_number().over(by).alias("rank")).collect()))
+    assert out.count() == len(rows)
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
+    assert windows and all("_run" in x for x in windows) and sum("row_number" in x and "_run1" in x for x in windows) == 1

@@ -12,6 +12,22 @@ def top(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def ranked(df: DataFrame, by: list[str], run: list[Column], order: list[Column], name: str = "rank") -> DataFrame:
+    """Rows of each group numbered from 1 by `run` and then `order`, a group of any size in many tasks: rows are numbered
+    within each run and moved by the sizes of the runs before. Runs are columns that sort before all of `order`; only
+    their sizes, a row a run, meet in one task of a group.
+    """
+    keys = [f"_run{i}" for i in range(len(run))]
+    rows = df.withColumns(dict(zip(keys, run)))
+    group = [*by, *keys]
+    before = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select("_before", *[F.col(c).alias(f"_of_{c}") for c in group])
+    placed = rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    return placed.join(sizes, same).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).select(*df.columns, name)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None, weighted: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank from docs (doc_id, tokens) and queries (query_id, tokens).
 
