@@ -245,21 +245,63 @@ def test_near_duplicates(docs, texts, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_remove_repeats(docs, texts, empty):
-    seen, want = set(), {}
-    for i, t in enumerate(texts):
+def brute_repeats(rows, width=20):
+    """(n_words, n_removed, kept text) by id, for (id, text) in the order of ids."""
+    seen, out = set(), {}
+    for i, t in rows:
         w, gone = WORD.findall(t or ""), set()
-        for k in range(len(w) - 19):
-            key = tuple(w[k : k + 20])
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
             if key in seen:
-                gone.update(range(k, k + 20))
+                gone.update(range(k, k + width))
             seen.add(key)
-        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        want[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs).collect()} == want
+        out[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    return out
+
+
+def digests(want):
+    return {i: (n, m, hashlib.sha256(t.encode()).hexdigest()) for i, (n, m, t) in want.items()}
+
+
+def test_remove_repeats(docs, texts, empty):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs).collect()}
+    assert got == digests(brute_repeats(enumerate(texts)))
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_blocks(spark):
+    """Blocks that stand together here and apart there, so that paths end within windows in every way."""
+    g = np.random.default_rng(11)
+    blocks = [[f"b{b}x{i}" for i in range(int(n))] for b, n in enumerate(g.integers(6, 30, 12))] + [["s"] * 25, ["s", "t"] * 14]
+    rows, fresh = [], iter(range(10**6))
+    for i in range(120):
+        w = []
+        for _ in range(int(g.integers(1, 14))):
+            w += blocks[int(g.integers(0, len(blocks)))] if g.random() < 0.7 else [f"u{next(fresh)}" for _ in range(int(g.integers(1, 45)))]
+        rows.append((i, "  ".join(w[:9]) + "\n\t" + " ".join(w[9:])))
+    # two blocks four times each, together once only, with equal counts and sums of places
+    a, b = ([f"{x}{i}" for i in range(12)] for x in "AB")
+    w = [f"z{i}" for i in range(520)]
+    for block, at in ((a, (0, 160, 200, 400)), (b, (50, 90, 250, 412))):
+        for p in at:
+            w[p : p + 12] = block
+    rows += [(200, " ".join(w)), (201, " ".join(w[395:430])), (202, "end " + " ".join(w[400:423]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_repeats(rows)
+    assert want[200][1] == 0 and want[201][1] and sum(m for _, m, _ in want.values()) > 2000
+    out = substring.remove_repeats(df).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == digests(want)
+    assert all(r["kept_text"] == (want[r["doc_id"]][2] if r["n_removed"] else None) for r in out)
+
+
+def test_repeats_of_rows_that_share_an_id(spark, texts):
+    """Rows with a null id stay whole; rows of one id, also of unlike texts, neither fail nor lose words to each other alone."""
+    long = " ".join(f"q{i}" for i in range(60))
+    df = spark.createDataFrame([(None, long), (1, long), (1, long), (1, "short text"), (2, "other words " + long)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df).collect())
+    assert got == [(0, 60, 0), (1, 2, 0), (1, 60, 0), (1, 60, 0), (2, 62, 60)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
