@@ -240,7 +240,7 @@ def test_near_duplicates(docs, texts, empty):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     for leaf in (200, 3):  # small nodes, and nodes over the leaf size in parts
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, leaf=leaf, rounds=1 if leaf == 3 else 3).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, leaf=leaf, block=leaf, rounds=1 if leaf == 3 else 3).collect()}
         assert got == {i: (len(s), root(i), root(i) == i) for i, s in enumerate(sets)}
     assert minhash.near_duplicates(empty).count() == 0
 

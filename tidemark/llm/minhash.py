@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices, windows, words
+from .common import cut, mix, release, slices, windows, words
 
 COORDINATES = 128
 _SEEDS = np.random.Generator(np.random.PCG64(9)).integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -193,9 +193,9 @@ def _between(batches: Iterator[pa.RecordBatch], least: float, percent: int) -> I
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the least id reachable, for every id that undirected `links` (a, b) touch.
 
-    Labels fall by neighbours' least label and then by pointer jumping until none moves; every round is written, so a
-    round's cost is its joins over links and labels, and no link or label is gathered in one place. Hub vertices cost
-    one pre-aggregated row a task.
+    Labels fall by neighbours' least label and then by pointer jumping until none moves; every round is written and the
+    one before deleted, so a round's cost is its joins over links and labels, and no link or label is gathered in one
+    place. Hub vertices cost one pre-aggregated row a task.
     """
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     labels = cut(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("comp")))
@@ -204,25 +204,32 @@ def components(links: DataFrame) -> DataFrame:
         down = labels.join(near, F.col("id") == F.col("x"), "left").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         up = labels.select(F.col("id").alias("up"), F.col("comp").alias("over"))
         moved = cut(down.join(up, F.col("comp") == F.col("up"), "left").select("id", F.least("comp", "over").alias("comp"), (F.least("comp", "over") != F.col("was")).alias("moved")))
+        release(labels)
         labels = moved.select("id", "comp")
         if moved.where("moved").isEmpty():
+            release(both)
             return labels
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, trees: int = 20, depth: int = 4, leaf: int = 200, rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, trees: int = 20, depth: int = 6, leaf: int = 600, block: int = 200, rounds: int = 3
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id reachable over links) and kept (id = component_id).
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked. Empty or null text has no set
     and links with nothing; fewer than `width` words make one shingle. A null id is never linked: component_id is null,
-    kept true. Rows that share an id are one vertex with the links of each. Extra columns are not read.
-
-    How groups of copies stay cheap: equal sets meet by a grouped key; then in up to `rounds` rounds every document is
-    held against one head of its nodes that is not yet in its class (a pair a document and round), so a large group of
-    near copies falls into few classes; nodes are then compared exhaustively between different classes only, in parts of
-    `leaf` documents, and what comes out is not pairs but who is alike and which blocks of documents meet, so that full
-    sets are compared block by block, every pair that the sketches allow, and only links leave the task. Only sketches (512 bytes) visit nodes; full sets are read for documents in surviving pairs.
+    kept true. Ids are whole numbers; rows that share an id are one vertex with the links of each. Extra columns are not
+    read, whatever their names. An empty table gives no rows.
+
+    How groups of copies stay cheap: equal sets meet by a grouped key. Then, on the first level of the trees, in up to
+    `rounds` rounds every document is held against one head of its nodes that is not yet in its class (a pair a document
+    and round), so a large group of near copies falls into few classes. Links within a class are not needed, so only
+    nodes that still hold several classes go on, and of those only the ones with more than `leaf` documents outside their
+    largest class branch deeper. In a node that ends, the documents outside the largest class are held against each other
+    and against the class in parts of `leaf`, so each member of the class is there once however large it is. What comes
+    out is not pairs but who is alike and which blocks of documents meet, so full sets are compared block by block, every
+    pair that the sketches allow, and only links leave the task. Nodes that `depth` levels leave large are compared whole
+    in parts. Only sketches (512 bytes) visit nodes; full sets are read for documents in surviving pairs.
     """
     need = percent / 100
     guess = need - 5 * (need * (1 - need) / COORDINATES) ** 0.5
@@ -233,19 +240,8 @@ def near_duplicates(
     reps = classes.select("rep", "sig", "size")
 
     def populated(nodes: DataFrame) -> DataFrame:
-        many = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("node", "n")
-        return cut(nodes.join(many, "node"))
-
-    level = populated(reps.select("rep", "sig").mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))
-    ended = level.where(F.col("n") <= leaf)
-    for _ in range(depth - 1):
-        large = level.where(F.col("n") > leaf)
-        if large.isEmpty():
-            level = large
-            break
-        level = populated(large.select("node", "rep").join(reps.select("rep", "sig"), "rep").mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))
-        ended = ended.unionByName(level.where(F.col("n") <= leaf))
-    ended = ended.unionByName(level.where(F.col("n") > leaf))
+        many = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("node", "head")
+        return cut(nodes.join(cut(many), "node"))
 
     def sets_of(asked: DataFrame) -> DataFrame:
         return cut(own.join(asked, "id", "left_semi").mapInArrow(lambda x: _set_blobs(x, width), "rep long, set binary"))
@@ -256,41 +252,65 @@ def near_duplicates(
         close = cut(sized.mapInArrow(lambda x: _estimated(x, guess), "a long, b long"))
         sets = sets_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         a, b = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        return cut(close.join(a, "a").join(b, "b").mapInArrow(lambda x: _confirmed(x, percent), "a long, b long"))
+        found = cut(close.join(a, "a").join(b, "b").mapInArrow(lambda x: _confirmed(x, percent), "a long, b long"))
+        release(close, sets)
+        return found
 
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "id long, comp long")
     same = lambda df, by, to: df.join(comp.select(F.col("id").alias(by), F.col("comp").alias(to)), by, "left").withColumn(to, F.coalesce(to, by))
+    level = populated(reps.select("rep", "sig").mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))
     for round_ in range(rounds):
         # one head a node, another one each round; of its nodes' heads in other classes, a document asks for one
         order = F.col("rep") if round_ == 0 else F.xxhash64("rep", F.lit(round_))
-        heads = ended.groupBy("node").agg(F.min_by("rep", order).alias("head"))
-        star = ended.select("node", "rep").join(heads, "node").where("head <> rep").select("rep", "head").distinct()
+        heads = cut(level.groupBy("node").agg(F.min_by("rep", order).alias("now")))
+        star = level.select("node", "rep").join(heads, "node").where("now <> rep").select("rep", F.col("now").alias("head")).distinct()
         apart = same(same(star, "rep", "comp_rep"), "head", "comp_head").where("comp_rep <> comp_head")
         first = F.col("head") if round_ == 0 else F.xxhash64("head", "rep", F.lit(round_))
         asked = apart.groupBy("rep").agg(F.min_by("head", first).alias("head"))
         found = confirm(asked.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
+        release(heads)
         if found.isEmpty():
             break
         links = links.unionByName(found)
         comp = components(links)
+
+    def mixed(level: DataFrame) -> DataFrame:
+        """Members of nodes of several classes: node, rep, head, comp, big (the largest class), most (its members), less (the others)."""
+        placed = same(level, "rep", "comp")
+        counts = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
+        nodes = counts.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
+        return cut(placed.join(cut(nodes.select("node", F.col("top.comp").alias("big"), F.col("top.n").alias("most"), (F.col("all") - F.col("top.n")).alias("less"))), "node"))
+
+    now = mixed(level)
+    ended = now.where(F.col("less") <= leaf)
+    for _ in range(depth - 1):
+        large = now.where(F.col("less") > leaf)
+        if large.isEmpty():
+            break
+        now = mixed(populated(cut(large.select("node", "rep").join(reps.select("rep", "sig"), "rep").mapInArrow(lambda b: _branch(b, trees, need), "node long, rep long"))))
+        ended = ended.unionByName(now.where(F.col("less") <= leaf))
+    ended = ended.unionByName(now.where(F.col("less") > leaf))
     same_id = keyed.join(classes.select("set_key", "rep"), "set_key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    # blocks: documents by the least head of their nodes, dealt so that a block has about `leaf` of them
-    anchors = ended.join(ended.groupBy("node").agg(F.min("rep").alias("head")), "node").groupBy("rep").agg(F.min("head").alias("anchor"))
-    counts = anchors.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("deal"))
-    blocks = anchors.join(counts, "anchor").select("rep", F.expr("xxhash64(anchor, pmod(xxhash64(rep), deal))").alias("block"))
-    about = cut(same(blocks, "rep", "comp").join(reps, "rep"))
-    placed = ended.select("node", "rep", "n").join(about.select("rep", "comp"), "rep")
-    mixed = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-    parts = placed.join(mixed, "node", "left_semi").withColumn("parts", F.ceil(F.col("n") / leaf).cast("int")).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
-    dealt = parts.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("node", "rep", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    # blocks of about `block` documents by the least head of their nodes; a class of more than that there has its own
+    anchors = cut(ended.groupBy("rep", "comp").agg(F.min("head").alias("anchor")))
+    counts = anchors.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("n")).select("anchor", "comp", "n", F.when(F.col("n") > block, F.col("comp")).alias("of"))
+    sums = counts.groupBy("anchor", "of").agg(F.ceil(F.sum("n") / (2 * block)).alias("deal"))
+    deals = cut(counts.join(sums.withColumnRenamed("anchor", "a").withColumnRenamed("of", "o"), (F.col("anchor") == F.col("a")) & F.col("of").eqNullSafe(F.col("o"))).select("anchor", "comp", "of", "deal"))
+    blocks = anchors.join(deals, ["anchor", "comp"]).select("rep", "comp", F.expr("xxhash64(anchor, of, pmod(xxhash64(rep), deal))").alias("block"))
+    about = cut(blocks.join(reps, "rep"))
+    # parts of a node: first those of the documents outside its largest class, then those of the class
+    small = F.col("most") + F.col("less") <= leaf
+    parts = ended.withColumn("a", F.when(small, 1).otherwise(F.ceil(F.col("less") / leaf)).cast("int")).withColumn("p", F.when(small, 0).otherwise(F.ceil(F.col("most") / leaf)).cast("int"))
+    parts = parts.withColumn("minor", small | (F.col("comp") != F.col("big"))).withColumn("part", F.expr("cast(if(minor, pmod(xxhash64(rep), a), a + pmod(xxhash64(rep), p)) as int)"))
+    dealt = parts.withColumn("other", F.explode(F.expr("sequence(0, if(minor, a + p, a) - 1)"))).select("node", "rep", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     alike = cut(
         dealt.join(about, "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "rep")
         .mapInArrow(lambda b: _across(b, guess, percent), "rep long, ga long, gb long").distinct()
     )
     asked = alike.where("rep is not null").select("rep").distinct()
-    known = about.join(asked, "rep", "left_semi").join(sets_of(asked.withColumnRenamed("rep", "id")), "rep")
+    known = cut(about.join(asked, "rep", "left_semi").join(sets_of(asked.withColumnRenamed("rep", "id")), "rep"))
     meet = alike.where("rep is null").select("ga", "gb")
     sides = meet.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("block"))
     second = cut(
