@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import cut, unused
 
 WINDOW = 3
+#: Characters of the word rule's white space, without the line break that lines are split at.
+BLANK = " \t\x0b\x0c\r"
 
 
-def _lines(text):
-    """Lines of a text with their number, and which of them hold a word."""
-    return F.split(text, "\n", -1)
+def line_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, id, p): two independent hashes of three consecutive lines with a word, the id, and the numbers of the lines.
+
+    A row's lines are split and hashed once, in nested array functions, so nothing is evaluated again for a filter.
+    """
+    line = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), (F.btrim(x, F.lit(BLANK)) != "").alias("w"))
+    solid = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), line), lambda s: s["w"])
+
+    def window(v, j):
+        rows = [F.get(v, j + k) for k in range(WINDOW)]
+        return F.struct(*[F.xxhash64(*[r[c] for r in rows]).alias(c) for c in "ab"], F.array(*[r["i"] for r in rows]).alias("p"))
+
+    starts = lambda v: F.when(F.size(v) >= WINDOW, F.sequence(F.lit(0), F.size(v) - WINDOW)).otherwise(F.array().cast("array<int>"))
+    every = F.flatten(F.transform(F.array(solid), lambda v: F.transform(starts(v), lambda j: window(v, j))))
+    some = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return some.select(F.col(id_col).alias("id"), F.explode(every).alias("w")).select("w.a", "w.b", "id", "w.p")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,37 +37,28 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A window is a later one if the same three lines also start a window earlier: in a smaller id, or earlier in the same
     document. Every line that some later window covers goes, all others stay, joined by \\n as before.
 
-    Null or empty text has no windows and stays as it is. Rows with a null id are not compared and stay whole. Rows that
-    share an id are taken as one document seen twice: each loses what any of them would lose. Extra columns pass through.
+    Null or empty text has no windows and stays as it is (null: 0 lines). Rows with a null id are not compared and stay
+    whole. Rows that share an id are taken as one document seen twice: each loses what any of them would lose. Extra
+    columns pass through, whatever their names; input columns named `_n_lines` or `_n_removed` are replaced. An empty
+    table gives no rows.
 
-    Plan: windows travel as two 64-bit hashes and a coordinate, never as text. The first place of a window comes from a
-    min that combines before the shuffle, so a window held by a third of all rows costs one row a task; the join back is
-    an inner sort-merge join that adaptive execution may split. Text is shuffled once, to meet its covered lines.
+    Plan: windows are made once and written; they travel as two 64-bit hashes and a coordinate, never as text. The first
+    place of a window comes from an aggregate that combines before the shuffle, so a window held by a third of all rows
+    costs one row a task; it is written too, so that the join back, an inner sort-merge join of two exchanges, can be
+    split by adaptive execution. Text is shuffled once, to meet its covered lines.
     """
-    number = F.expr(f"filter(sequence(0, size(_l) - 1), i -> length(regexp_replace(_l[i], '{SPACES}', '')) > 0)".replace("\\", "\\\\"))
-    spread = (
-        docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("_l"))
-        .withColumn("_at", number)
-        .where(F.size("_at") >= WINDOW)
-        .withColumn("_h", F.expr("transform(_at, i -> struct(xxhash64(_l[i]) as a, xxhash64(_l[i], 'second') as b))"))
-        .select("_id", F.explode(F.expr(
-            "transform(sequence(0, size(_at) - 3), j -> struct("
-            "xxhash64(_h[j].a, _h[j+1].a, _h[j+2].a) as a, xxhash64(_h[j].b, _h[j+1].b, _h[j+2].b) as b, _at[j] as p0, _at[j+1] as p1, _at[j+2] as p2))"
-        )).alias("_w"))
-        .select("_id", "_w.*")
-    )
-    first = spread.groupBy("a", "b").agg(F.min(F.struct("_id", "p0")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    later = spread.join(first, ["a", "b"]).where(F.struct("_id", "p0") > F.col("_first"))
-    covered = later.select("_id", F.explode(F.array("p0", "p1", "p2")).alias("_p")).groupBy("_id").agg(F.collect_set("_p").alias("_gone"))
-    lines = _lines(F.col(text_col))
-    kept = F.filter(F.col("_all"), lambda line, i: ~F.array_contains("_gone", i))
+    spread = cut(line_windows(docs, id_col, text_col))
+    place = F.struct("id", F.get("p", F.lit(0)))
+    first = cut(spread.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("a", "b", "first"))
+    later = spread.join(first, ["a", "b"]).where(place > F.col("first"))
+    gone, key = unused(docs, "gone"), unused(docs, "key")
+    covered = later.select(F.col("id").alias(key), F.explode("p").alias("p")).groupBy(key).agg(F.collect_set("p").alias(gone))
+    text = F.col(text_col)
+    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(gone, i))
     return (
-        docs.join(covered.withColumnRenamed("_id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left")
-        .drop("_gone_id")
-        .withColumn("_all", F.when(F.col("_gone").isNotNull(), lines))
-        .withColumn("_n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1).cast("long"))
-        .withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .drop("_all", "_gone")
+        docs.join(covered, F.col(id_col) == F.col(key), "left")
+        .withColumn("_n_lines", F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"))
+        .withColumn("_n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n")))
+        .drop(key, gone)
     )
