@@ -186,13 +186,14 @@ def later_runs(docs: DataFrame, width: int = 20) -> DataFrame:
     bounded by its own length.
     """
     found = docs.where("id is not null and text is not null").mapInArrow(lambda b: _emit_anchors(b, width), "h long, id long, pos int, gap int")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # written first: a join side that is an exchange alone, not an aggregate over one, lets the other side be split
+    twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     repeated = cut(found.join(twice, "h", "left_semi"))
     paths = compacted(repeated, width // 2 + 1)
     spans = repeated.join(paths, F.col("h") == F.col("head")).select("id", F.struct("pos", "size").alias("s")).groupBy("id").agg(F.collect_list("s").alias("spans"))
     asked = cut(docs.join(spans, "id").mapInArrow(lambda b: _settle(b, width), "a long, b long, id long, pos int, size int"))
     place = F.struct("id", "pos")
-    first = asked.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("a", "b", "first")
+    first = cut(asked.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("a", "b", "first"))
     late = asked.join(first, ["a", "b"]).where(place > F.col("first"))
     return late.groupBy("id").agg(F.collect_list(F.struct("pos", "size")).alias("runs"))
 
