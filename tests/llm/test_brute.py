@@ -66,6 +66,42 @@ def test_html(spark):
     assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0), 4: ("plain words", 11)}
 
 
+LONG = "A sentence of the article, with commas, that goes on for quite a while, and says something of note. " * 3
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+SAID = "\n\n".join(["Title", LONG.strip(), LONG.strip()])
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<body><form id="aspnetForm"><nav><a href=x>m</a></nav><article>{BODY}</article><div class=footer>f</div></form>', SAID),
+        (f'<body><div class="page-header-area"><div>{BODY}</div></div><div class=comments><p>{LONG * 3}</p></div>', SAID),
+        (f'<body><header><p>Site</p></header><div>{BODY}</div><div class="comments"><p>{LONG * 30}</p></div>', SAID),
+        (f'<div class="text">{BODY}</div><div class="text"><p>The end.</p></div><div class="sidebar"><p>{LONG}</p></div>', SAID + "\n\nThe end."),
+        (f'<div>{BODY}<p title="x>{LONG}</p></div>', SAID + "\n\n" + LONG.strip()),
+        (f"<div><p><![CDATA[Plain & <text>, {LONG}]]></p>{BODY}</div>", f"Plain & <text>, {LONG.strip()}\n\n" + SAID),
+        (f"<div>{BODY}<p>{LONG}&<b>amp;</b> &amp;lt; &eacute;</p></div>", SAID + "\n\n" + LONG + "&amp; &lt; é"),
+        ("<p></p>", ""),
+        ("<div hidden><p>" + LONG + "</p></div>", ""),
+    ],
+)
+def test_html_frames_quotes_and_references(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_html_empty_table_and_repeats(spark):
+    rows = spark.createDataFrame([(1, "<p>Some words.</p>"), (1, "<p>Some words.</p>")], "page_id long, html string")
+    assert [r["text"] for r in html_extract.extract(rows).collect()] == ["Some words."] * 2
+    assert html_extract.extract(rows.where("false")).count() == 0
+
+
+def test_nearest_of_extreme_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [0.0, 3e-310])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(df, df.where("vec_id = 0")).collect()}
+    assert all(abs(got[0, i] - x) < 1e-12 for i, x in ((1, 0.5**0.5), (2, 1.0), (3, 0.0)))
+
+
 def test_chat(spark):
     rows = spark.createDataFrame([(1, 0, "ann", "Hi"), (1, 1, "bob", None), (1, 1, "bob", None), (1, 2, None, "<|end|>"), (None, 0, "x", "y"), (2, 300, "ann", "late"), (2, 0, "bob", "soon")], "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat_format.rotate_perspectives(rows).collect()}

@@ -42,7 +42,10 @@ def _quantile(p: float) -> float:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+    """Vectors as rows, each moved by a power of two so that its largest component is near 1: cosines stay exactly as they
+    are, and squares of very large or very small components neither overflow nor vanish."""
+    x = np.array(column.tolist(), np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _project(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A comment, a section of plain characters, a declaration, or a tag; a tag with an open quote ends at its first ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<plain>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style template noscript textarea iframe object svg math head title select canvas xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -24,6 +25,9 @@ NEGATIVE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|disqus|reply|replies|respond|footer|foot|header|masthead|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|pagination|pager|paging|toolbar|skip|hidden|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Names of what is never the frame of an article, however long it is; and of parts of a layout, which may be alike.
+NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies|respond|nav\w*|menu\w*|footer|sidebar\w*|cookie\w*|consent|gdpr|newsletter|popup|modal|overlay|hidden|related\w*|recommend\w*)(?:$|[\s_-])", re.I)
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:col\w*|grid|row|cell|box|panel|wrap\w*|container|left|right|card|tile|item|span\d*)(?:$|[\s_-])", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry|main|page|post\w*|text|story|blog)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: What an open paragraph or item is closed by.
@@ -33,24 +37,24 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "weight", "side", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "kids", "weight", "side", "names", "score", "chars", "linked", "commas")
 
-    def __init__(self, tag: str, parent: "Node | None", weight: float = 0.0, side: bool = False):
-        self.tag, self.parent, self.kids, self.weight, self.side = tag, parent, [], weight, side
+    def __init__(self, tag: str, parent: "Node | None", weight: float = 0.0, side: bool = False, names: str = ""):
+        self.tag, self.parent, self.kids, self.weight, self.side, self.names = tag, parent, [], weight, side, names
         self.score = 0.0
         self.chars = self.linked = self.commas = 0
 
 
-def _judge(tag: str, attrs: str) -> tuple[float, bool]:
-    """Weight of an element by its names, and whether it stands aside from the text."""
+def _judge(tag: str, attrs: str) -> tuple[float, bool, str]:
+    """Weight of an element by its names, whether it stands aside from the text, and its names."""
     side = tag in SIDE
     if not attrs.strip():
-        return 0.0, side
+        return 0.0, side, ""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     negative, positive = bool(NEGATIVE.search(names)), bool(POSITIVE.search(names))
     gone = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return 25.0 * positive - 25.0 * negative, side or gone or (negative and not (positive and tag in ("article", "main", "body"))) and tag not in ("body", "html", "article", "main")
+    return 25.0 * positive - 25.0 * negative, side or gone or (negative and not (positive and tag in ("article", "main", "body"))) and tag not in ("body", "html", "article", "main"), (names + " hidden" * gone).strip()
 
 
 def parse(html: str) -> Node:
@@ -60,15 +64,17 @@ def parse(html: str) -> Node:
     while at < upto:
         m = TOKEN.search(html, at)
         if not m:
-            here.kids.append(html[at:])
+            here.kids.append(unescape(html[at:]))
             break
         if m.start() > at:
-            here.kids.append(html[at : m.start()])
+            here.kids.append(unescape(html[at : m.start()]))
         at = m.end()
-        if not (tag := m[2]):
+        if m["plain"]:
+            here.kids.append(m["plain"])
+        if not (tag := m["tag"]):
             continue
-        tag = tag.lower()
-        if m[1]:
+        tag, attrs = tag.lower(), m["attrs"]
+        if m["end"]:
             node = here
             while node is not root and node.tag != tag:
                 if node.tag in ("td", "th", "table", "article", "body") and tag not in BLOCK:
@@ -81,7 +87,7 @@ def parse(html: str) -> Node:
                 here.kids.append(Node("p", here))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not m[3].endswith("/") else None
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not attrs.endswith("/") else None
             if end:
                 at = end.end()
             elif tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"):
@@ -102,13 +108,40 @@ def parse(html: str) -> Node:
                 node = node.parent
             if node.tag in shut:
                 here = node.parent
-        node = Node(tag, here, *_judge(tag, m[3]))
+        node = Node(tag, here, *_judge(tag, attrs))
         here.kids.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
             here = node
     return root
 
 
+def _frames(root: Node) -> None:
+    """Side elements that hold the page's text are its frame, such as a form around everything: they stand aside no more.
+
+    An element is one if its running text outside further side elements, in pieces of 80 characters or more that are not
+    links, is over four times that of the page outside side elements. Menus, footers, comments and what is hidden never are.
+    """
+    order, stack = [], [(root, False, False)]
+    while stack:
+        node, linked, aside = stack.pop()
+        linked, aside = linked or node.tag == "a", aside or node.side
+        order.append((node, linked, aside))
+        stack.extend((k, linked, aside) for k in node.kids if isinstance(k, Node))
+    long = {}
+    for node, linked, _ in reversed(order):
+        own = 0 if linked else sum(n for k in node.kids if isinstance(k, str) and (n := len(k.strip())) >= 80)
+        long[node] = own + sum(long[k] for k in node.kids if isinstance(k, Node) and not k.side)
+    for node, _, aside in order:
+        if node.side and node.tag not in ("nav", "footer", "menu", "dialog", "button") and not NEVER.search(node.names) and long[node] > 4 * long[root]:
+            node.side = False
+            up = node.parent
+            while up is not None:
+                long[up] += long[node]
+                if up.side:
+                    break
+                up = up.parent
+
+
 def _count(root: Node) -> list[Node]:
     """All nodes outside side elements in page order, with characters, characters in links and commas summed upward."""
     order, stack = [], [root]
@@ -143,6 +176,7 @@ FRAME = frozenset("article main section div td body html blockquote center".spli
 
 def best(root: Node) -> list[Node]:
     """The containers that hold the article: the best by points and those of its siblings that look like it."""
+    _frames(root)
     order = _count(root)
     seen = []
     for node in order:
@@ -180,7 +214,8 @@ def best(root: Node) -> list[Node]:
         if not isinstance(k, Node) or k.side:
             continue
         alike = k.tag == top.tag and k.weight == top.weight and k.weight > 0
-        if k is top or (k.tag in FRAME and value(k) + (0.2 * value(top) if alike else 0) >= least and _density(k) < 0.25):
+        same = k.tag == top.tag and k.names and k.names == top.names and k.weight >= 0 and k.chars and not LAYOUT.search(k.names) and _density(k) < 0.25
+        if k is top or same or (k.tag in FRAME and value(k) + (0.2 * value(top) if alike else 0) >= least and _density(k) < 0.25):
             kept.append(k)
         elif k.tag in ("p", "pre", "blockquote", "ul", "ol", "h1", "h2", "h3") and k.chars and top.tag not in ("article", "main") and _density(k) < 0.25:
             kept.append(k)
@@ -193,7 +228,7 @@ def text_of(nodes: list[Node]) -> str:
     now: list[str] = []
 
     def end():
-        if text := SPACE.sub(" ", unescape("".join(now))).strip():
+        if text := SPACE.sub(" ", "".join(now)).strip():
             blocks.append(text)
         now.clear()
 
@@ -227,7 +262,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Null and empty html give the empty text. Malformed html is read as far as it goes. A page without anything that
     looks like an article gives what is left of its body outside menus and the like. Clashing columns `text` and
-    `n_chars` of the input are replaced; other columns pass. One narrow map over the table: no shuffle.
+    `n_chars` of the input are replaced; other columns pass; rows that repeat are read each. One narrow map over the table: no shuffle.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     kept = pages.select(*rest, F.col(html_col).alias("_html"))
