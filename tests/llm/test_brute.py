@@ -144,6 +144,22 @@ def test_sentencepiece(docs, texts, empty):
     assert sentencepiece_lattice.encode(empty, path).count() == 0
 
 
+def test_merges_of_many_words():
+    """The fold of many words at once against the library, over words of all lengths and scripts."""
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    g = np.random.default_rng(3)
+    pieces = [model.id_to_piece(i) for i in g.integers(300, model.get_piece_size(), 3000)]
+    words = ["▁" + "".join(g.choice(pieces, int(n))).replace("▁", "") for n in g.integers(1, 6, 1500)] + ["▁", "▁a", "▁" + "ab" * 40, "▁漢字é"]
+    got = sentencepiece_lattice._merge_many(words, path)
+    want = [model.encode(w[1:]) for w in words]
+    same = [g is None or np.frombuffer(g, np.int32).tolist() == w for g, w, t in zip(got, want, words) if len(t) > 1]
+    assert all(same) and sum(g is not None for g in got) > 1000
+    assert sentencepiece_lattice._merge_many([], path) == [] and got[-2] is None
+
+
 def test_viterbi_fold(spark):
     table = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -6.0, "bc": -2.2, "c": -1.0, "aa": -1.9}
     pieces = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(table.items())], "piece string, id int, score double")

@@ -8,12 +8,10 @@ format's encoder gives. Characters without a piece fall back to their UTF-8 byte
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,6 @@ SPACE = "▁"
 WORD_CHARS = 24
 #: A worker's words met so far outside the dictionary, by model; emptied when full.
 _RARE: dict[str, dict[str, bytes]] = {}
-WORD = f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
 
 
 @lru_cache(maxsize=4)
@@ -140,6 +137,73 @@ def _merge_one(word: str, score: dict[str, float], ids: dict[str, int], byte_ids
     return [x for p in parts for x in ([ids[p]] if p in ids else [byte_ids[b] for b in p.encode()])]
 
 
+@lru_cache(maxsize=4)
+def _joins(model_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece of each code point or -1, keys of pairs of pieces that make a piece, in order, that piece, its merge number)."""
+    _, pieces, scores, plain, _ = vocabulary(model_path)
+    ids = {p: i for i, (p, ok) in enumerate(zip(pieces, plain)) if ok}
+    chars = np.full(0x110000, -1, np.int64)
+    for p, i in ids.items():
+        if len(p) == 1:
+            chars[ord(p)] = i
+    pairs = [(ids[p[:k]] << 32 | ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+    keys, made = np.array(pairs, np.int64).reshape(-1, 2).T
+    order = np.argsort(keys)
+    # the least number is the best score
+    return chars, keys[order], made[order], -np.array(scores)[made[order]]
+
+
+def _merge_many(words: list[str], model_path: str) -> list[bytes | None]:
+    """The merge fold for many words at once: in each turn every word has its best pair merged, the leftmost on ties.
+    None for a word with a character that is no piece, or over 64 characters."""
+    chars, keys, made, number = _joins(model_path)
+    size = np.array([len(w) for w in words], np.int64)
+    sym = chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+    word = np.repeat(np.arange(len(words)), size)
+    fit = (size > 0) & (size <= 64)
+    fit[word[sym < 0]] = False
+    live = fit[word]
+    sym, word = sym[live], word[live]
+
+    def worth(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge number and piece of the pairs that start at i."""
+        j = np.minimum(i + 1, len(sym) - 1)
+        key = sym[i] << 32 | sym[j]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ok = (keys[at] == key) & (i + 1 < len(sym)) & (word[j] == word[i])
+        return np.where(ok, number[at], np.inf), made[at]
+
+    done_sym, done_word = [], []
+    rank, piece = worth(np.arange(len(sym)))
+    while len(sym):
+        heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        n = np.diff(np.append(heads, len(sym)))
+        best = np.minimum.reduceat(rank, heads)
+        over = np.repeat(best == np.inf, n)
+        if over.any():
+            done_sym.append(sym[over])
+            done_word.append(word[over])
+            sym, word, rank, piece, n, best = sym[~over], word[~over], rank[~over], piece[~over], n[best < np.inf], best[best < np.inf]
+            if not len(sym):
+                break
+        at = np.flatnonzero(rank == np.repeat(best, n))
+        at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
+        sym[at] = piece[at]
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        sym, word, rank, piece = sym[keep], word[keep], rank[keep], piece[keep]
+        at = at - np.arange(len(at))  # one place was taken out after each
+        new = np.concatenate((at, at[at > 0] - 1))
+        rank[new], piece[new] = worth(new)
+    if not done_sym:
+        return [None] * len(words)
+    sym, word = np.concatenate(done_sym), np.concatenate(done_word)
+    sym = sym[np.argsort(word, kind="stable")].astype(np.int32)
+    ends = 4 * np.cumsum(np.bincount(word, minlength=len(words)))
+    raw = sym.tobytes()
+    return [raw[a:b] if ok else None for a, b, ok in zip([0, *ends[:-1].tolist()], ends.tolist(), fit.tolist())]
+
+
 def _path_one(word: str, score: dict[str, float], ids: dict[str, int], byte_ids: list[int], longest: int) -> list[int]:
     """The best path for one word, as for the tail of rare words."""
     best = [(0.0, 0, ())]
@@ -159,47 +223,99 @@ def _packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 20_000) -> DataFrame:
-    """Per row of docs: id, n_tokens and ids, as the format's encoder gives them. Null and empty text have no tokens.
+def _split(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of normalised texts in order, as places in a table of the distinct ones, and the text of each.
 
-    All words of all texts are counted; the `frequent` commonest (a fixed bound) of up to WORD_CHARS characters are encoded by the relational lattice
-    and go to the tasks as a dictionary. The rest, words too rare to be worth a shuffle of every place they stand in,
-    are folded where they stand over the same piece table. Joining every word of every text back to its document would
-    move many times the input; this way a text is never shuffled. Extra columns are not read; a null id stays null.
+    A word starts at a text's start, at a run of space marks, at a line break and after one.
+    """
+    text = text.cast(pa.large_string())
+    bounds = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    a, b, c = SPACE.encode()
+    mark = np.zeros(len(data) + 3, bool)
+    if len(data) > 2:
+        mark[3:-2] = (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)
+    line = data == 10
+    start = mark[3:] & ~mark[:-3] | line
+    start[1:] |= line[:-1]
+    start[bounds[:-1][bounds[:-1] < len(data)]] = True
+    first = np.flatnonzero(start)
+    edges = np.append(first, len(data)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    return found.dictionary_encode(), np.searchsorted(bounds, first, "right") - 1
+
+
+def common_words(counted: DataFrame, most: int) -> DataFrame:
+    """The words (word) of a table of counts (word, count) that are met most often, at most `most` of them: those over a
+    count that a histogram of counts gives, in which the counts of one sixteenth of a doubling share a row."""
+    step = F.floor(F.log2("count") * 16)
+    sizes, total, least = counted.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect(), 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["s"]
+    return counted.where(step >= least).select("word") if least is not None else counted.where("false").select("word")
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 50_000) -> DataFrame:
+    """Per row of docs: id, n_tokens and ids, as the format's encoder gives them. Null and empty text have no tokens; a
+    null id stays null; rows that share an id are encoded each; extra columns are not read; an empty table gives no rows.
+
+    All words of all texts are counted; of those met twice or more the commonest, `frequent` at most (a fixed bound), of
+    up to WORD_CHARS characters are encoded by the relational lattice and go to the tasks as a dictionary. The rest, words too rare to be worth a
+    shuffle of every place they stand in, are folded where they stand over the same piece table, all new ones of a
+    batch together. Joining every word of every text back to its document would move many times the input; this way a text is
+    never shuffled. A batch's distinct words are looked up, and ids are copied to the places of each word by numpy.
     """
     spark = docs.sparkSession
     kind, pieces, scores, plain, byte_ids = vocabulary(model_path)
     longest = max(map(len, pieces))
     own = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
-    # words at the head of a line have no mark and are left to the tasks; those after a space are nearly all
-    spaced = own.select(F.explode(F.split(F.translate("text", "\n", SPACE), SPACE)).alias("w")).where("w <> ''")
-    counted = spaced.groupBy("w").count().select(F.concat(F.lit(SPACE), "w").alias("word"), "count")
-    common = cut(counted.where(F.length("word") <= WORD_CHARS).orderBy(F.desc("count"), "word").limit(frequent).select("word").repartition(64))
-    known = encode_words(common, piece_table(spark, model_path), kind, longest, byte_ids).collect()
-    shared = spark.sparkContext.broadcast(({r["word"]: _packed(r["ids"]) for r in known}, {p: s for p, s, ok in zip(pieces, scores, plain) if ok}, {p: i for i, (p, ok) in enumerate(zip(pieces, plain)) if ok}))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 23):
+                found, _ = _split(part.column("text"))
+                n = np.bincount(np.asarray(found.indices), minlength=len(found.dictionary))
+                yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+
+    counted = own.mapInArrow(tally, "word string, n long").where(F.length("word") <= WORD_CHARS).groupBy("word").agg(F.sum("n").alias("count")).where("count > 1")
+    top = common_words(cut(counted), frequent).repartition(64, "word")
+    known = encode_words(top, piece_table(spark, model_path), kind, longest, byte_ids).collect()
+    shared = spark.sparkContext.broadcast(({r["word"].encode(): _packed(r["ids"]) for r in known}, {p: s for p, s, ok in zip(pieces, scores, plain) if ok}, {p: i for i, (p, ok) in enumerate(zip(pieces, plain)) if ok}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, score, ids = shared.value
-        split = re.compile(WORD).findall
         rare = _RARE.setdefault(model_path, {})
+
+        def fold(words: list[bytes]) -> list[bytes]:
+            texts = [w.decode() for w in words]
+            if kind != "bpe":
+                return [_packed(_path_one(w, score, ids, byte_ids, longest)) for w in texts]
+            return [got if got is not None else _packed(_merge_one(w, score, ids, byte_ids)) for w, got in zip(texts, _merge_many(texts, model_path))]
+
         for batch in batches:
-            for part in slices(batch, "text"):
-                out = []
-                for text in part.column("text").to_pylist():
-                    tokens = []
-                    for w in split(text or ""):
-                        got = told.get(w) or rare.get(w)
-                        if got is None:
-                            got = _packed(_merge_one(w, score, ids, byte_ids) if kind == "bpe" else _path_one(w, score, ids, byte_ids, longest))
-                            if len(rare) >= 300_000:
-                                rare.clear()
-                            rare[w] = got
-                        tokens.append(got)
-                    out.append(b"".join(tokens))
-                sizes = [len(x) // 4 for x in out]
-                offsets = pa.array([0, *accumulate(sizes)], pa.int32())
-                flat = pa.array(np.frombuffer(b"".join(out), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["id", "n_tokens", "ids"])
+            for part in slices(batch, "text", 1 << 23):
+                found, row = _split(part.column("text"))
+                every = found.dictionary.to_pylist()
+                each = [told.get(w) or rare.get(w) for w in every]
+                new = [i for i, x in enumerate(each) if x is None]
+                if len(rare) + len(new) > 300_000:
+                    rare.clear()
+                for lo in range(0, len(new), 20_000):
+                    for i, x in zip(new[lo : lo + 20_000], fold([every[i] for i in new[lo : lo + 20_000]])):
+                        each[i] = rare[every[i]] = x
+                flat = np.frombuffer(b"".join(each), np.int32)
+                size = np.array([len(x) // 4 for x in each], np.int64)
+                head = np.cumsum(size) - size
+                place = np.asarray(found.indices)
+                n = size[place] if len(place) else size[:0]
+                at = np.repeat(head[place] - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(place) else np.zeros(0, np.int64)
+                sizes = np.bincount(row, weights=n, minlength=part.num_rows).astype(np.int64)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat[at]))], ["id", "n_tokens", "ids"])
 
     schema = own.select("id").withColumn("n_tokens", F.lit(0).cast("long")).withColumn("ids", F.array(F.lit(0))).schema
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
