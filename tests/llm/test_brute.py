@@ -236,7 +236,7 @@ def test_lm_words_all_count(spark):
     h = lambda w: int(lm_score.words(pa.array([w]))[0].view(np.int64)[0])
     assert h("q007s") in lp and h("q008s") in lp and all(x < 0 for _, x in lp.values())
     assert lp[h("q007s")][0] == 2 and lp[h("q007s")][1] < max(x for n, x in lp.values() if n == 3)
-    flat = lm_score.train(df, known)
+    flat = lm_score.train(df, known, 4000)
     plain = {r["doc_id"]: r["log_prob"] for r in lm_score.score(df, known, others, flat).collect()}
     bare = known._replace(hot=known.hot[:0], hot_log=known.hot_log[:0])
     joined = {r["doc_id"]: r["log_prob"] for r in lm_score.score(df, bare, others, flat).collect()}
@@ -244,10 +244,53 @@ def test_lm_words_all_count(spark):
     new = spark.createDataFrame([(0, "q007s"), (1, "q0zys")], "doc_id long, text string")
     got = {r["doc_id"]: r["log_prob"] for r in lm_score.score(new, known, others, flat).collect()}
     assert got[1] < got[0] < 0
-    t = lm_score._words(pa.array(texts), known.heads)
-    key = np.arange(len(texts), dtype=np.uint64) * np.uint64(1 << 40)
-    parts = [lm_score.taken(key, t, r, 2) for r in range(2)]
-    assert min(map(len, parts)) > 0 and sorted(np.concatenate(parts)) == list(range(len(t.row)))
+
+
+def test_lm_network_by_hand(spark):
+    """The two-level softmax against sums over all outcomes, and the gradient against differences."""
+    import pyarrow as pa
+
+    g = np.random.default_rng(2)
+    heads = np.sort(lm_score.words(pa.array([f"h{i}" for i in range(50)]))[0])
+    t = lm_score._words(pa.array(["h1 h2 rare h3 h4 other h5", None, "h7", "h8 h9"]), heads)
+    w = {k: g.standard_normal(s) * 0.3 for k, s in lm_score.SHAPES.items()}
+    lp = lm_score.log_probs(w, t)
+    for i in range(len(t.row)):
+        x = np.concatenate([w["e"][t.own[t.at[i] + d]] + (w["e"][t.other[t.at[i] + d]] if t.other[t.at[i] + d] >= 0 else 0) for d in lm_score.SIDE])
+        h = np.tanh(x @ w["w"] + w["b"])
+        outer, inner = np.exp(h @ w["c"] + w["d"]), np.exp(np.einsum("h,chp->cp", h, w["u"]) + w["v"])
+        p = outer / outer.sum() * (inner / inner.sum(axis=1, keepdims=True)).T
+        assert abs(p.sum() - 1) < 1e-9 and abs(lp[i] - np.log(p.ravel()[t.kind[i]])) < 1e-5
+    grad = lm_score.gradient(w, t, np.arange(len(t.row)))
+    loss = lambda: -sum(np.log(_naive(w, t, i)) for i in range(len(t.row))) / len(t.row)
+    for k in lm_score.SHAPES:
+        top = np.unravel_index(np.argmax(np.abs(grad[k])), grad[k].shape)
+        was, found = w[k][top], []
+        for d in (1e-5, -1e-5):
+            w[k][top] = was + d
+            found.append(loss())
+        w[k][top] = was
+        assert abs((found[0] - found[1]) / 2e-5 - grad[k][top]) < 1e-6, k
+
+
+def _naive(w, t, i):
+    x = np.concatenate([w["e"][t.own[t.at[i] + d]] + (w["e"][t.other[t.at[i] + d]] if t.other[t.at[i] + d] >= 0 else 0) for d in lm_score.SIDE])
+    h = np.tanh(x @ w["w"] + w["b"])
+    outer = np.exp(h @ w["c"] + w["d"])
+    kind, place = t.kind[i] % lm_score.CLASSES, t.kind[i] // lm_score.CLASSES
+    inner = np.exp(h @ w["u"][kind] + w["v"][kind])
+    return outer[kind] / outer.sum() * inner[place] / inner.sum()
+
+
+def test_lm_same_at_any_partitioning_and_junk_last(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 5000)
+    g = np.random.default_rng(8)
+    junk = [" ".join("".join(g.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(80)) for _ in range(5)]
+    rows = [(i, prose(80)) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(junk)] + [(None, prose(20)), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({(r["doc_id"], r["n_tokens"]): r["mean_log_prob"] for r in lm_score.pseudo_likelihood(df.repartition(n)).collect()} for n in (3, 7))
+    assert one.keys() == two.keys() and all(one[k] is two[k] is None or abs(one[k] - two[k]) < 1e-6 for k in one)
+    assert max(v for (i, _), v in one.items() if i and i >= 1000) < min(v for (i, n), v in one.items() if n == 80 and i < 1000)
 
 
 def test_packing(docs, texts, empty):

@@ -4,9 +4,10 @@ The network: embeddings of the two tokens before and the two after, one tanh lay
 outcome, then the outcome in its group). Outcomes are the HEAD commonest words and, for every other word, the class of its
 ending; a word's probability within its class comes from the table of all words and their counts, which grows with the
 corpus, with a share kept back for words spelled byte by byte, so that no two words fall to one unknown id. As context,
-other words are the sum of two rows, by ending and by whole word. Training is data-parallel: every task takes one pass
-over its own documents from the same weights; weights are averaged by token count, and the next round starts from the
-average. The rounds share all tokens out among them by hash: each token is predicted in one round.
+other words are the sum of two rows, by ending and by whole word. Training is data-parallel: documents are dealt to
+shards by a hash of their id and text, about SHARD tokens each; a shard is one pass from the same weights over its
+documents in the order of that hash; weights are averaged by token count, and the next round starts from the average. The
+rounds share all documents out among them: each token is predicted in one round. Nothing hangs on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ SHAPES = {"e": (VOCAB + 1 + 2 * PIECES, DIM), "w": (len(SIDE) * DIM, HIDDEN), "b
 HELD = 0.5  # taken from each word's count and given to spelling
 HOT = 1 << 16  # commonest words of the table that tasks hold; the others are joined
 BYTES = 257  # byte values and the edge of a word
+SHARD = 2_000_000  # tokens that one pass takes one after another
 
 
 def _fresh() -> dict[str, np.ndarray]:
@@ -130,70 +132,113 @@ def _spelled(t: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray
     return np.add.reduceat(t[inner], heads) + t[last]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _small(m: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no output of a layer on tanh values can overflow exp; then rows need not be moved by their largest value."""
+    return float((np.abs(m).sum(axis=-2) + np.abs(b)).max()) < 60
+
+
+def _softmax(z: np.ndarray, small: bool = False) -> np.ndarray:
+    z = np.exp(z if small else z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_chosen(z: np.ndarray, at: np.ndarray, small: bool = False) -> np.ndarray:
+    """Log of the softmax of each row of z, at one place of the row."""
+    if not small:
+        z = z - z.max(axis=1, keepdims=True)
+    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+
+
+def _sum_rows(rows: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """n rows of sums: values[of[i]] is added to row rows[i]."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    rows = rows[order]
+    heads = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    out[rows[heads]] = np.add.reduceat(values[of[order]], heads, axis=0)
+    return out
 
 
 def log_probs(w: dict[str, np.ndarray], t: Words) -> np.ndarray:
     """Log-probability of each word's outcome given its window."""
     out = np.zeros(len(t.row), np.float32)
+    outer, inner = _small(w["c"], w["d"]), _small(w["u"], w["v"])
     for lo in range(0, len(out), 16384):
         here = np.arange(lo, min(lo + 16384, len(out)))
         h = np.tanh(_context(w, t, here)[0] @ w["w"] + w["b"])
         kind, place = t.kind[here] % CLASSES, t.kind[here] // CLASSES
-        p = _log_softmax(h @ w["c"] + w["d"])[np.arange(len(here)), kind]
+        p = _log_chosen(h @ w["c"] + w["d"], kind, outer)
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             i = order[ends[c] : ends[c + 1]]
             if len(i):
-                p[i] += _log_softmax(h[i] @ w["u"][c] + w["v"][c])[np.arange(len(i)), place[i]]
+                p[i] += _log_chosen(h[i] @ w["u"][c] + w["v"][c], place[i], inner)
         out[lo : lo + 16384] = p
     return out
 
 
-def _train(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], t: Words, at: np.ndarray, done: int = 0, rate: float = 0.08) -> None:
-    """Adagrad steps over the words `at`, larger ones as more words are done; w and seen (squared gradients) change in place."""
-    lo = 0
-    while lo < len(at):
-        here = at[lo : lo + min(4096, max(512, (done + lo) // 8))]
-        n = len(here)
-        lo += n
-        x, own, other = _context(w, t, here)
-        h = np.tanh(x @ w["w"] + w["b"])
-        kind, place = t.kind[here] % CLASSES, t.kind[here] // CLASSES
-        g = {}
-        dz = np.exp(_log_softmax(h @ w["c"] + w["d"]))
-        dz[np.arange(n), kind] -= 1
-        dz /= n
-        g["c"], g["d"] = h.T @ dz, dz.sum(axis=0)
-        dh = dz @ w["c"].T
-        g["u"], g["v"] = np.zeros_like(w["u"]), np.zeros_like(w["v"])
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            i = order[ends[c] : ends[c + 1]]
-            if len(i):
-                q = np.exp(_log_softmax(h[i] @ w["u"][c] + w["v"][c]))
-                q[np.arange(len(i)), place[i]] -= 1
-                q /= n
-                g["u"][c], g["v"][c] = h[i].T @ q, q.sum(axis=0)
-                dh[i] += q @ w["u"][c].T
-        da = dh * (1 - h * h)
-        g["w"], g["b"] = x.T @ da, da.sum(axis=0)
-        dx = (da @ w["w"].T).reshape(n * len(SIDE), DIM)
-        two = other >= 0
-        cell = np.concatenate((own, other[two]))[:, None] * DIM + np.arange(DIM)
-        g["e"] = np.bincount(cell.ravel(), np.concatenate((dx, dx[two])).ravel(), w["e"].size).reshape(w["e"].shape).astype(np.float32)
-        for k in SHAPES:
-            seen[k] += g[k] ** 2
-            w[k] -= rate * g[k] / (np.sqrt(seen[k]) + 1e-6)
+def gradient(w: dict[str, np.ndarray], t: Words, here: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean negative log-probability of the words `here`, by each weight."""
+    n = len(here)
+    x, own, other = _context(w, t, here)
+    h = np.tanh(x @ w["w"] + w["b"])
+    kind, place = t.kind[here] % CLASSES, t.kind[here] // CLASSES
+    g = {}
+    dz = _softmax(h @ w["c"] + w["d"], _small(w["c"], w["d"]))
+    dz[np.arange(n), kind] -= 1
+    dz /= n
+    g["c"], g["d"] = h.T @ dz, dz.sum(axis=0)
+    dh = dz @ w["c"].T
+    g["u"], g["v"] = np.zeros_like(w["u"]), np.zeros_like(w["v"])
+    order = np.argsort(kind, kind="stable")
+    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    inner = _small(w["u"], w["v"])
+    for c in range(CLASSES):
+        i = order[ends[c] : ends[c + 1]]
+        if len(i):
+            q = _softmax(h[i] @ w["u"][c] + w["v"][c], inner)
+            q[np.arange(len(i)), place[i]] -= 1
+            q /= n
+            g["u"][c], g["v"][c] = h[i].T @ q, q.sum(axis=0)
+            dh[i] += q @ w["u"][c].T
+    da = dh * (1 - h * h)
+    g["w"], g["b"] = x.T @ da, da.sum(axis=0)
+    dx = (da @ w["w"].T).reshape(n * len(SIDE), DIM)
+    two = np.flatnonzero(other >= 0)
+    g["e"] = _sum_rows(np.concatenate((own, other[two])), dx, np.concatenate((np.arange(len(own)), two)), len(w["e"]))
+    return g
+
+
+def _train(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], t: Words, done: int = 0, rate: float = 0.08) -> None:
+    """Adagrad steps over all words, larger ones as more words are done; w and seen (squared gradients) change in place."""
+    lo, n = 0, len(t.row)
+    while lo < n:
+        here = np.arange(lo, min(n, lo + min(8192, max(512, (done + lo) // 8))))
+        lo += len(here)
+        for k, g in gradient(w, t, here).items():
+            seen[k] += g**2
+            w[k] -= rate * g / (np.sqrt(seen[k]) + 1e-6)
 
 
 def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every word of the texts with its count: w, n."""
-    return cut(docs.select(F.explode(F.split(F.col(text_col), SPACES)).alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    """Every word of the texts with its count: w, n. Words are counted within a batch before rows leave the task."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 23):
+                _, _, first, end = words(part.column("text"))
+                data = _bytes(part.column("text"))
+                # words and the gaps between them, in turn
+                edges = np.append(np.column_stack((first, end)).ravel(), len(data)).astype(np.int64)
+                found = pa.Array.from_buffers(pa.large_binary(), 2 * len(first), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+                n = np.bincount(np.asarray(found.indices)[::2], minlength=len(found.dictionary))
+                own = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(own)).cast(pa.large_string()).cast(pa.string()), pa.array(n[own], pa.int64())], ["w", "n"])
+
+    own = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    return cut(own.mapInArrow(tally, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
 
 
 class Vocabulary(NamedTuple):
@@ -255,34 +300,38 @@ def vocabulary(counted: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return Vocabulary(heads, left, spelling, keys[order], hot["lp"].to_numpy(float)[order]), others
 
 
-def taken(key: np.ndarray, t: Words, round_: int, rounds: int) -> np.ndarray:
-    """The words predicted in a round, by hash of text and place: every word in one of the rounds."""
-    place = np.arange(len(t.row)) - np.searchsorted(t.row, t.row)
-    return np.flatnonzero(mix(key[t.row] + place.astype(np.uint64)) % np.uint64(rounds) == np.uint64(round_))
-
-
-def train(docs: DataFrame, known: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> np.ndarray:
-    """Weights after `rounds` rounds over all documents. The driver holds one model, about 85,000 numbers."""
-    own = docs.select(F.xxhash64(id_col).alias("k"), F.col(text_col).alias("text")).where("text is not null")
+def train(docs: DataFrame, known: Vocabulary, n_tokens: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> np.ndarray:
+    """Weights after `rounds` rounds that share all documents of n_tokens tokens. The driver holds one model, about 85,000
+    numbers; a task adds up its shards and sends one. A shard is read from start to end and never held."""
+    shards = max(1, -(-n_tokens // (SHARD * rounds)))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    own = docs.where(F.col(text_col).isNotNull()).select(key.alias("k"), F.col(text_col).alias("text")).withColumn("round", F.expr(f"pmod(k, {rounds})")).withColumn("shard", F.expr(f"pmod(shiftright(k, 8), {shards})"))
     flat = _flat(_fresh())
     for round_ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((known.heads, flat))
 
-        def run(batches: Iterator[pa.RecordBatch], round_: int = round_, shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             heads, start = shared.value
-            w = _shaped(start)
-            seen = {k: np.full(s, 0.01, np.float32) for k, s in SHAPES.items()}
-            done = 0
+            total, every, done, now = np.zeros(len(start)), 0, 0, None
+            w, seen = {}, {}
             for batch in batches:
                 for part in slices(batch, "text"):
-                    t = _words(part.column("text"), heads)
-                    at = taken(np.asarray(part.column("k")).view(np.uint64), t, round_, rounds)
-                    _train(w, seen, t, at, done)
-                    done += len(at)
+                    shard = np.asarray(part.column("shard"))
+                    for lo, hi in zip(edges := np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), [*edges[1:], len(shard)]):
+                        if shard[lo] != now:
+                            if done:
+                                total, every = total + _flat(w) * done, every + done
+                            now, done, w, seen = shard[lo], 0, _shaped(start), {k: np.full(s, 0.01, np.float32) for k, s in SHAPES.items()}
+                        t = _words(part.column("text").slice(lo, hi - lo), heads)
+                        _train(w, seen, t, done)
+                        done += len(t.row)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start)), pa.int32()), pa.array(_flat(w) * done), pa.array(np.full(len(start), done), pa.int64())], ["i", "x", "n"])
+                total, every = total + _flat(w) * done, every + done
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start)), pa.int32()), pa.array(total), pa.array(np.full(len(start), every), pa.int64())], ["i", "x", "n"])
 
-        rows = own.mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        dealt = own.where(F.col("round") == round_).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "k", "text")
+        rows = dealt.select("shard", "text").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(rows):
             flat = rows.sort_values("i")["x"].to_numpy()
     return flat
@@ -321,9 +370,12 @@ def score(docs: DataFrame, known: Vocabulary, others: DataFrame, flat: np.ndarra
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """score of docs under a network and a table of words made from docs. Words are split at ASCII white space; null and
-    empty texts have no tokens, log_prob 0 and a null mean; a null id stays null; extra columns are not read; an empty
-    table gives no rows.
+    """score of docs under a network and a table of words made from docs. Words are split at ASCII white space, in counts,
+    training and scores alike; null and empty texts have no tokens, log_prob 0 and a null mean; a null id stays null; rows
+    that repeat are counted and scored each; very long texts are read in one piece; extra columns are not read, whatever
+    their names; an empty table gives no rows.
     """
-    known, others = vocabulary(counted_words(docs, text_col))
-    return score(docs, known, others, train(docs, known, id_col, text_col, rounds), id_col, text_col)
+    counted = counted_words(docs, text_col)
+    known, others = vocabulary(counted)
+    n_tokens = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return score(docs, known, others, train(docs, known, n_tokens, id_col, text_col, rounds), id_col, text_col)
