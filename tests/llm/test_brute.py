@@ -42,9 +42,10 @@ def empty(docs):
     return docs.where("false")
 
 
-def test_line_dedup(docs, texts, empty):
-    seen, want = {}, {}
-    for i, t in enumerate(texts):
+def brute_lines(rows):
+    """Texts without the lines of later three-line windows, by id, for (id, text) in the order of ids."""
+    seen, want = set(), {}
+    for i, t in rows:
         lines = (t or "").split("\n")
         solid = [k for k, x in enumerate(lines) if WORD.search(x)]
         gone = set()
@@ -52,9 +53,17 @@ def test_line_dedup(docs, texts, empty):
             key = tuple(lines[solid[a + j]] for j in range(3))
             if key in seen:
                 gone.update(solid[a : a + 3])
-            seen.setdefault(key, i)
+            seen.add(key)
         want[i] = t if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()} == want
+    return want
+
+
+def test_line_dedup(docs, texts, empty):
+    clash = docs.withColumns({"_gone": F.lit("g"), "Key": F.lit(1), "_n_lines": F.lit("old")})
+    out = line_dedup.drop_repeated_lines(clash).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == brute_lines(enumerate(texts))
+    assert all(r["_gone"] == "g" and r["Key"] == 1 for r in out)
+    assert {r["doc_id"]: r["_n_lines"] for r in out} == {i: 0 if t is None else t.count("\n") + 1 for i, t in enumerate(texts)}
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
@@ -318,7 +327,9 @@ def test_packing(docs, texts, empty):
     assert packing.pack(packing.token_pieces(empty, tokenizer_file("byte_bpe_50k.json"), with_ids=False)).count() == 0
 
 
-def test_near_duplicates(docs, texts, empty):
+def brute_near(texts):
+    """(set size, least id reachable, whether it is that) of each text."""
+
     def shingles(t):
         w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(t or "")]
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
@@ -334,12 +345,33 @@ def test_near_duplicates(docs, texts, empty):
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
+    return {i: (len(s), root(i), root(i) == i) for i, s in enumerate(sets)}
+
+
+def test_near_duplicates(docs, texts, empty):
+    want = brute_near(texts)
     for leaf in (200, 3):  # small nodes, and nodes over the leaf size in parts
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, leaf=leaf, block=leaf, rounds=1 if leaf == 3 else 3).collect()}
-        assert got == {i: (len(s), root(i), root(i) == i) for i, s in enumerate(sets)}
+        assert got == want
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_one_large_group(spark):
+    """Copies of one text that differ in a few words each, texts around one passage, and plain ones: every link is found."""
+    g = np.random.default_rng(4)
+    base, passage = prose(70).split(), prose(50)
+    texts = [prose(60) for _ in range(40)] + [passage + " " + prose(int(n)) for n in g.integers(4, 40, 90)]
+    for _ in range(150):
+        w = list(base)
+        for k in g.integers(0, 70, int(g.integers(0, 3))):
+            w[k] = "new" + str(g.integers(0, 999))
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for leaf in (600, 20):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, leaf=leaf, block=leaf // 2).collect()}
+        assert got == brute_near(texts)
+
+
 def brute_repeats(rows, width=20):
     """(n_words, n_removed, kept text) by id, for (id, text) in the order of ids."""
     seen, out = set(), {}
@@ -409,3 +441,39 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns
     out = p.STAGES[-1][1](spark, kept, SF)
     assert 0 < out.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_pipeline_stages(spark, texts):
+    """Every stage on nulls, empty texts, repeated rows and rows without an id, against brute force."""
+    import corpus_pipeline as p
+
+    from ..conftest import SF
+
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)] + [(None, "no id here", "en", "s", 10), (0, texts[0], "en", "s", len(texts[0]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(p.STAGES)
+    take = lambda df: {r["doc_id"]: r["text"] for r in df.collect() if r["doc_id"] is not None}
+    own = dict(enumerate(texts))
+
+    kept = stage["quality"](spark, docs, SF)
+    stats = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality_rules.word_stats(docs).collect()}
+    left = take(kept)
+    assert kept.columns == docs.columns and all(stats[i][0] >= 10 and 100 * stats[i][1] <= 20 * stats[i][0] and own[i] == t for i, t in left.items())
+
+    lines = stage["lines"](spark, docs, SF)
+    want = {i: t for i, t in brute_lines(own.items()).items() if t == own[i] or WORD.search(t)}
+    assert take(lines) == want and lines.where("doc_id is null").count() == 1
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in lines.collect())
+
+    near = stage["near"](spark, docs, SF)
+    assert near.count() == len(take(near)) + 1 and take(near) == {i: own[i] for i, (_, _, k) in brute_near(texts).items() if k}
+
+    cutout = stage["repeats"](spark, docs, SF)
+    want = {i: own[i] if not m else t for i, (_, m, t) in brute_repeats(own.items()).items() if not m or t}
+    assert take(cutout) == want
+
+    packed = stage["packed"](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == {*own, None} and len(packed) >= len(rows)
+    empty = docs.where("false")
+    for name, f in p.STAGES:
+        assert f(spark, empty, SF).count() == 0, name
