@@ -6,11 +6,11 @@ of documents. The stages learn or compare on their own input only (quality label
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, minhash, packing, quality_rules, substring
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, table, unused
 from tidemark.llm.queries import tokenizer_file
 
 
@@ -21,27 +21,34 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test or the learned rules reject go. Rows keep their columns."""
+    """Documents that the base test or the learned rules reject go, among them null and empty texts. Rows keep their columns;
+    rows that repeat are judged each; without labels only the base test decides."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of later three-line windows go; a document that has lost every line with a word goes too."""
+    """Lines of later three-line windows go; a document that has lost every line with a word goes too.
+    Null and empty texts stay as they are, as do rows without an id."""
     out = line_dedup.drop_repeated_lines(docs)
     left = out.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _with_text(left, F.col("text")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the least id; rows that repeat an id are one document."""
+    """One document of each group of near duplicates stays, the least id. Rows that repeat an id are one document, and of
+    them the row with the least hash of all its columns stays. Rows without an id or without words stay."""
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null")).select(*docs.columns)
+    rank = unused(docs, "rank")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), "text")
+    one = left.where("doc_id is not null").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return one.select(*docs.columns).unionByName(left.where("doc_id is null").select(*docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of later 20-word windows go; texts that lose none keep their layout; a document left without words goes."""
+    """Words of later 20-word windows go; texts that lose none keep their layout; a document left without words
+    goes. Null and empty texts and rows without an id stay as they are."""
     changed = substring.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
     out = docs.join(changed, F.col("doc_id") == F.col("_id"), "left").where("kept_text is null or kept_text <> ''")
     return _with_text(out, F.coalesce("kept_text", "text")).select(*docs.columns)
@@ -55,7 +62,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("repeats", repeats), ("packed", packed)]
 
-#: None: learned rules and byte-pair encoding cannot be told in SQL; tests/llm holds each stage against brute force.
+#: None: learned rules and byte-pair encoding cannot be told in SQL; tests/llm holds lines, near, repeats and packed against
+#: brute force, and quality against its statistics and base test.
 ORACLE_SQL = None
 
 
