@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
-from tidemark.operators import answers, claims, evidence, graph, state, times
+from tidemark.operators import answers, claims, evidence, graph, retrieval, state, times
 from tidemark.plans import evidence as plans_evidence
 from tidemark.plans import retrieval as plans_retrieval
 from tidemark.plans import texts
@@ -221,3 +221,47 @@ def test_external_hits_in_runs(spark, tmp_path):
     assert out.count() == len(rows)
     windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
     assert windows and all("_run" in x for x in windows) and sum("row_number" in x and "_run1" in x for x in windows) == 1
+
+
+def test_generic_targets_and_empty_times(spark):
+    from tidemark.operators import claims as C
+
+    generic = lambda t, dom: one(spark, C.generic_target(F.lit(t), F.lit(dom), F.lit(dom), F.lit("Ann")))
+    assert generic("current status", "status") and generic("Ann's status", "status") and generic("Belongings", "possession") and not generic("knee", "health")
+    assert [one(spark, T.time_label(F.lit(x))) for x in ("not mentioned", "Empty", "not specified.", "May 4")] == ["", "", "", "May 4"]
+
+
+def _fold(spark, claims, decisions, **more):
+    c = spark.createDataFrame([("o", i, i, d) for i, d in claims], "owner string, claim_id long, at long, talk string")
+    d = spark.createDataFrame(decisions, "existing long, incoming long, decision string, winner string")
+    return sorted((r["primary_claim"], r["support"], r["status"], r["error"]) for r in state.fold_decided(c, d, ["owner"], **more).collect())
+
+
+def test_conflicts_outlive_a_merge(spark):
+    # B conflicts with X; D joins A and B: the merged cluster and X are at odds
+    got = _fold(spark, [(1, "a"), (2, "a"), (3, "a"), (4, "a")], [(2, 3, "CONFLICTS_WITH", "none"), (1, 4, "COMPATIBLE", "none"), (2, 4, "COMPATIBLE", "none")])
+    assert got == [(3, [3], "ambiguous", ""), (4, [1, 2, 4], "ambiguous", "")]
+    # a claim that fits both sides of a conflict ends it
+    got = _fold(spark, [(1, "a"), (2, "b"), (3, "c")], [(1, 2, "CONFLICTS_WITH", "none"), (1, 3, "COMPATIBLE", "none"), (2, 3, "COMPATIBLE", "none")])
+    assert got == [(3, [1, 2, 3], "current", "")]
+
+
+def test_fold_errors(spark):
+    assert _fold(spark, [(1, "a"), (2, "b")], [(1, 2, "SUPERSEDES", "existing")], dialog="talk")[1][3] == "contradicts chronology"
+    assert _fold(spark, [(1, "a"), (2, "a")], [(1, 2, "SUPERSEDES", "existing")], dialog="talk")[1][2:] == ("historical", "")
+    every = _fold(spark, [(1, "a"), (2, "b"), (3, "c")], [], most_active=1)
+    assert len(every) == 3 and all(r[3] == "active-cluster limit exceeded" for r in every)
+    assert _fold(spark, [(1, "a"), (2, "a"), (3, "a")], [(2, 3, "COMPATIBLE", "none"), (1, 3, "SUPERSEDES", "existing")])[1][3] == "compatible and retired"
+
+
+def test_anchor_scopes(spark):
+    scopes = spark.createDataFrame([("b", "speaker", "Ann Lee"), ("a", "speaker", "ann  lee"), ("c", "entity", "ANN-LEE"), ("d", "entity", "Bo"), ("e", "speaker", None), ("f", "topic", "ann lee")], "scope_id string, scope_type string, value string")
+    asked = spark.createDataFrame([(1, "with Ann Lee today"), (1, "Ann Lee"), (2, "Joann Lee"), (3, None), (4, "Bo")], "query_id long, entity string")
+    got = sorted((r["query_id"], r["scope_type"], r["scope_id"]) for r in retrieval.anchor_scopes(asked, scopes).collect())
+    assert got == [(1, "entity", "c"), (1, "speaker", "a")]
+
+
+def test_facing_in_blocks(spark):
+    rows, queries = spark.range(50).withColumnRenamed("id", "doc_id"), spark.range(23).withColumnRenamed("id", "query_id")
+    got = {(r["doc_id"], r["query_id"]) for r in retrieval.facing(rows, queries, "doc_id", most=5, shares=4).collect()}
+    assert got == {(a, b) for a in range(50) for b in range(23)} and retrieval.facing(rows, queries, "doc_id", most=5).count() == 50 * 23

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Time sentinels that mean no value.
-NO_TIME = ("none", "n/a", "na", "unknown", "null", "unspecified")
+NO_TIME = ("empty", "n/a", "na", "none", "not mentioned", "not specified", "null", "unknown")
 #: Layouts that a record's time may have.
 TIME_LAYOUTS = ("h:mm a 'on' d MMMM, yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd", "MMMM d, yyyy")
 

@@ -26,7 +26,18 @@ STATE_WORDS = r"(?i)\b(owner|responsible|deadline|due|status|state|decision|cons
 UPDATE_WORDS = r"(?i)\b(now|updated?|changed?|replaced?|corrected?|instead|no longer|currently)\b"
 #: States with one slot, and targets that only repeat a domain.
 ONE_SLOT = {"location": "residence", "occupation": "primary"}
-GENERIC = {"activity": ("current_activity",), "education": ("educational_status",), "family": ("family_relationship", "family_status"), "health": ("condition", "health_condition", "medical_condition"), "identity": ("attribute", "personal_attribute"), "place": ("location",), "possession": ("possessions", "belonging", "belongings"), "preference": ("preferences", "interest", "interests"), "relationship": ("relationship_status",)}
+GENERIC = {
+    "activity": ("activity", "current_activity"),
+    "education": ("education", "educational_status"),
+    "family": ("family", "family_relationship", "family_status"),
+    "health": ("health", "condition", "health_condition", "medical_condition"),
+    "identity": ("identity", "attribute", "personal_attribute"),
+    "place": ("place", "location"),
+    "possession": ("possession", "possessions", "belonging", "belongings"),
+    "preference": ("preference", "preferences", "interest", "interests"),
+    "relationship": ("relationship", "relationship_status"),
+    "status": ("status", "current_status"),
+}
 OBJECT_SCOPED = ("activity", "education", "family", "health", "identity", "place", "possession", "preference", "relationship", "status")
 
 

@@ -28,25 +28,49 @@ def ranked(df: DataFrame, by: list[str], run: list[Column], order: list[Column],
     return placed.join(sizes, same).withColumn(name, (F.col(name) + F.col("_before")).cast("int")).select(*df.columns, name)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None, weighted: bool = False) -> DataFrame:
-    """query_id, doc_id, score, rank from docs (doc_id, tokens) and queries (query_id, tokens).
+#: Rows of a table that is broadcast, at most; their number is counted first.
+BROADCAST_ROWS = 200_000
 
-    Statistics are those of all documents; `allowed` (query_id, doc_id) limits candidates only, after them. weighted
-    counts a query term as often as it stands. Only terms that some query asks for leave the scan of documents.
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None, weighted: bool = False) -> DataFrame:
+    """query_id, doc_id, score, rank from docs (doc_id, tokens) and queries (query_id, tokens); all hits and no rank if k is None.
+
+    Statistics are those of all documents; `allowed` (doc_id, and query_id if it differs by question) limits candidates
+    only, after them. weighted counts a query term as often as it stands. Only terms that some query asks for leave the
+    scan of documents; where these are few enough to be broadcast, no token is shuffled before it is counted.
     """
     asked = queries.select("query_id", F.explode("tokens").alias("term"))
-    asked = asked.groupBy("query_id", "term").agg((F.count(F.lit(1)) if weighted else F.lit(1)).alias("times"))
+    asked = if_small(asked.groupBy("query_id", "term").agg((F.count(F.lit(1)) if weighted else F.lit(1)).alias("times")))
+    vocabulary = if_small(asked.select("term").distinct())
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg(F.size("tokens")), F.lit(1.0)).alias("mean_len"))
     terms = docs.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    tf = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tf = terms.join(vocabulary, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if allowed is not None and "query_id" not in allowed.columns:
+        tf = tf.join(allowed, "doc_id", "left_semi")
     scored = tf.join(df, "term").join(asked, "term").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     hits = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    if allowed is not None:
+    if allowed is not None and "query_id" in allowed.columns:
         hits = hits.join(allowed, ["query_id", "doc_id"], "left_semi")
-    return top(hits, k, ["query_id"], [F.desc("score"), F.col("doc_id")])
+    return hits if k is None else top(hits, k, ["query_id"], [F.desc("score"), F.col("doc_id")])
+
+
+def facing(rows: DataFrame, queries: DataFrame, key: str, most: int = 2000, shares: int = 64) -> DataFrame:
+    """Every row beside every query, as equi-joins of blocks: queries in blocks of about `most` (counted first; one block is
+    broadcast), rows in `shares` shares that each block meets, so that no task gets a whole side."""
+    blocks = -(-queries.count() // most)
+    if blocks <= 1:
+        return rows.join(F.broadcast(queries))
+    asked = queries.withColumn("_block", F.expr(f"pmod(xxhash64(query_id), {blocks})")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = rows.withColumn("_share", F.expr(f"cast(pmod(xxhash64({key}), {shares}) as int)")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.join(asked, ["_block", "_share"]).drop("_block", "_share")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -55,8 +79,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank by cosine of given vectors (doc_id, v) for queries (query_id, q), a bounded table."""
-    pairs = vectors.join(queries, F.col("doc_id") != F.col("query_id"))
+    """query_id, doc_id, score, rank by cosine of given vectors (doc_id, v) for queries (query_id, q), in blocks."""
+    pairs = facing(vectors, queries, "doc_id").where(F.col("doc_id") != F.col("query_id"))
     return top(pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k, ["query_id"], [F.desc("score"), F.col("doc_id")])
 
 
@@ -100,7 +124,7 @@ def vigilance(events: DataFrame, queries: DataFrame, channels: dict[str, float],
         size = total(F.transform(q, lambda v: F.abs(v.cast("double"))))
         return F.when(size == 0, F.when(total(F.transform(w, lambda v: F.abs(v.cast("double")))) == 0, 1.0).otherwise(0.0)).otherwise(total(F.zip_with(q, w, lambda a, b: F.least(a.cast("double"), b.cast("double")))) / size)
 
-    scored = events.join(queries).select("query_id", "doc_id", *[F.round(match(c), 6).alias(f"m_{c}") for c in channels])
+    scored = facing(events, queries, "doc_id").select("query_id", "doc_id", *[F.round(match(c), 6).alias(f"m_{c}") for c in channels])
     good = F.lit(True)
     for c, least in channels.items():
         good = good & (F.col(f"m_{c}") >= least)
@@ -127,3 +151,23 @@ def diversified(candidates: DataFrame, budget: int, relevance: float = 0.7) -> D
         return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "doc_id": rows["doc_id"].iloc[chosen].to_numpy(), "pick": range(1, len(chosen) + 1)})
 
     return candidates.groupBy("query_id").applyInPandas(pick, "query_id long, doc_id long, pick int")
+
+
+def anchor_scopes(entities: DataFrame, scopes: DataFrame, types: tuple[str, ...] = ("speaker", "entity")) -> DataFrame:
+    """query_id, scope_type, alias, scope_id: the scopes that a question's entities (query_id, entity) name.
+
+    A speaker's name counts as named if an entity is the name, starts with it or holds it as whole words; then the
+    speaker's scope and those of the given types with the same name are anchors, the least id of each type and name.
+    Names are compared in lower case with other characters than letters and digits as one space. Whole words inside a
+    name are runs of its words, so the comparison is an equi-join on runs and never on all pairs. Null and empty names
+    match nothing.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^\\p{L}\\p{N}]+", " "))
+    named = scopes.select("scope_id", "scope_type", plain("value").alias("alias")).where("alias <> ''")
+    words = F.split("name", " ")
+    runs = F.expr("flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, size(w) - i + 1), n -> array_join(slice(w, i, n), ' '))))")
+    said = entities.select("query_id", plain("entity").alias("name")).where("name <> ''").distinct().withColumn("w", words)
+    met = said.select("query_id", F.explode(runs).alias("alias")).distinct()
+    speakers = named.where("scope_type = 'speaker'").select("alias").distinct()
+    mentioned = met.join(speakers, "alias", "left_semi")
+    return mentioned.join(named.where(F.col("scope_type").isin(*types)), "alias").groupBy("query_id", "scope_type", "alias").agg(F.min("scope_id").alias("scope_id"))

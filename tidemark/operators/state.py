@@ -23,47 +23,60 @@ def fold_changes(claims: DataFrame, keys: list[str]) -> DataFrame:
     return clusters.withColumn("superseded_by", after).withColumn("status", F.when(after.isNull(), "current").otherwise("historical"))
 
 
-def fold_decided(claims: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+def fold_decided(claims: DataFrame, decisions: DataFrame, keys: list[str], dialog: str | None = None, most_active: int | None = None) -> DataFrame:
     """Ordered fold with decisions from a table (existing, incoming, decision, winner), one row a cluster.
 
-    COMPATIBLE joins (and merges all clusters it fits), DIFFERENT_TARGET opens one, SUPERSEDES and CORRECTS retire the
-    loser, CONFLICTS_WITH keeps both as ambiguous while both are active; pairs without a decision are different targets.
-    One key's claims form a group.
+    COMPATIBLE joins (and merges all clusters it fits, whose conflicts with each other end), DIFFERENT_TARGET opens one,
+    SUPERSEDES and CORRECTS retire the loser, CONFLICTS_WITH keeps both as ambiguous while both are active; pairs without
+    a decision are different targets. `error` names what must not be: a claim that is compatible and retired at once, an
+    earlier winner across dialogs (where the column `dialog` is given), more than `most_active` active clusters for a
+    claim to be held against (all clusters of the key carry it; none is left out). One key's claims form a group.
     """
     asked = decisions.select(F.col("incoming").alias("claim_id"), F.struct("existing", "decision", "winner").alias("d")).groupBy("claim_id").agg(F.collect_list("d").alias("decided"))
     rows = claims.join(asked, "claim_id", "left")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        for r in group.sort_values(["at", "claim_id"]).itertuples():
+        clusters: dict[int, dict] = {}  # by a number that is never used again
+        over, of = "", {}
+        for number, r in enumerate(group.sort_values(["at", "claim_id"]).itertuples()):
             told = {d["existing"]: d for d in r.decided} if r.decided is not None else {}
-            active = [c for c in clusters if c["active"]]
-            seen = [(c, told[c["support"][-1]]) for c in active if c["support"][-1] in told]
-            retired = any(d["decision"] in ("SUPERSEDES", "CORRECTS") and d["winner"] == "existing" for _, d in seen)
-            fit = [c for c, d in seen if d["decision"] == "COMPATIBLE"]
-            error = "compatible and retired" if fit and retired else ""
-            for c, d in seen:
-                if d["decision"] in ("SUPERSEDES", "CORRECTS") and d["winner"] == "incoming":
-                    c["active"], c["by"] = False, r.claim_id
+            active = [i for i, c in clusters.items() if c["active"]]
+            if most_active is not None and len(active) > most_active:
+                over = "active-cluster limit exceeded"
+            seen = [(i, told[clusters[i]["support"][-1]]) for i in active if clusters[i]["support"][-1] in told]
+            ends = [(i, d) for i, d in seen if d["decision"] in ("SUPERSEDES", "CORRECTS")]
+            lost = [d["existing"] for _, d in ends if d["winner"] == "existing"]
+            fit = [i for i, d in seen if d["decision"] == "COMPATIBLE"]
+            errors = ["compatible and retired"] if fit and lost else []
+            if dialog is not None and any(of[x] != getattr(r, dialog) for x in lost):
+                errors.append("contradicts chronology")
+            for i, d in ends:
+                if d["winner"] == "incoming":
+                    clusters[i] |= {"active": False, "by": r.claim_id}
             if fit:
                 home = fit[0]
-                for c in fit[1:]:
-                    home["support"] += c["support"]
-                    clusters.remove(c)
-                home["support"].append(r.claim_id)
-                home["foes"] = set().union(*(c["foes"] for c in fit)) - {id(c) for c in fit}
+                for i in fit[1:]:
+                    taken = clusters.pop(i)
+                    clusters[home]["support"] += taken["support"]
+                    clusters[home]["foes"] |= taken["foes"]
+                    clusters[home]["errors"] += taken["errors"]
+                clusters[home]["support"].append(r.claim_id)
+                for i, c in clusters.items():  # who was at odds with a cluster taken in is so with its new home
+                    c["foes"] = {home if f in fit else f for f in c["foes"]} - {i}
             else:
-                home = {"support": [r.claim_id], "active": not retired, "by": next((d["existing"] for _, d in seen if retired and d["winner"] == "existing"), None), "foes": set(), "error": ""}
-                clusters.append(home)
-            home["error"] = home.get("error") or error
-            for c, d in seen:
-                if d["decision"] == "CONFLICTS_WITH" and c is not home:
-                    home["foes"].add(id(c))
-                    c["foes"].add(id(home))
-        live = {id(c) for c in clusters if c["active"]}
+                home = number
+                clusters[home] = {"support": [r.claim_id], "active": not lost, "by": lost[0] if lost else None, "foes": set(), "errors": []}
+            clusters[home]["errors"] += errors
+            of[r.claim_id] = getattr(r, dialog) if dialog is not None else None
+            for i, d in seen:
+                if d["decision"] == "CONFLICTS_WITH" and i != home and i in clusters:
+                    clusters[home]["foes"].add(i)
+                    clusters[i]["foes"].add(home)
+        live = {i for i, c in clusters.items() if c["active"]}
+        state = lambda c: "historical" if not c["active"] else "ambiguous" if c["foes"] & live else "current"
         return pd.DataFrame([
-            {**{k: group[k].iloc[0] for k in keys}, "primary_claim": c["support"][-1], "support": c["support"], "status": "historical" if not c["active"] else "ambiguous" if c["foes"] & live else "current", "superseded_by": c["by"], "error": c["error"]}
-            for c in clusters
+            {**{k: group[k].iloc[0] for k in keys}, "primary_claim": c["support"][-1], "support": c["support"], "status": state(c), "superseded_by": c["by"], "error": "; ".join(dict.fromkeys([*c["errors"], *[over] * bool(over)]))}
+            for c in clusters.values()
         ])
 
     out = claims.select(*keys).schema

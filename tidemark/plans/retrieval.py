@@ -18,7 +18,7 @@ def _corpus(spark, d):
 
 def _vectors(spark, d):
     v = table(spark, d, "embeddings")
-    return v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def r1_bm25(spark, d) -> DataFrame:
@@ -27,7 +27,7 @@ def r1_bm25(spark, d) -> DataFrame:
 
 def r1_bm25_allowed(spark, d) -> DataFrame:
     docs, asked = _corpus(spark, d)
-    allowed = table(spark, d, "documents").where("lang = 'en'").select("doc_id").join(asked.select("query_id"))
+    allowed = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
     return retrieval.bm25(docs, asked, k1=1.2, allowed=allowed)
 
 
@@ -50,7 +50,7 @@ _DENSE = """
   SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(
     list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) /
     (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-12), 6) AS score
-  FROM embeddings q JOIN embeddings e ON q.vec_id < 20 AND e.vec_id <> q.vec_id
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id
 ),
 dense AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p QUALIFY rank <= 10)
 """
@@ -80,23 +80,33 @@ def r5_rank_sum(spark, d) -> DataFrame:
 
 
 def r6_scope_routing(spark, d) -> DataFrame:
-    """Sources as scopes: each question's best three by the sum of its documents' scores."""
-    hits = r1_bm25(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    """Sources as scopes: each question's best three by the sum of all their documents' scores."""
+    hits = retrieval.bm25(*_corpus(spark, d), k=None).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     sums = hits.groupBy("query_id", F.col("source").alias("scope")).agg(F.round(F.sum("score"), 4).alias("score"))
     return retrieval.top(sums, 3, ["query_id"], [F.desc("score"), F.col("scope")])
 
 
+def r7_anchor_scopes(spark, d) -> DataFrame:
+    """Part names as what questions mention; their first words are speakers, all their words entities."""
+    name = F.explode(F.split("p_name", " ")).alias("value")
+    parts = table(spark, d, "part")
+    scopes = parts.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("scope_id"), F.lit("speaker").alias("scope_type"), F.substring_index("p_name", " ", 1).alias("value"))
+    scopes = scopes.unionByName(parts.select(F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("scope_id"), F.lit("entity").alias("scope_type"), name))
+    entities = parts.select(F.col("p_partkey").alias("query_id"), F.upper("p_name").alias("entity"))
+    return retrieval.anchor_scopes(entities, scopes)
+
+
 def r9_scope_pushdown(spark, d) -> DataFrame:
     routed = r6_scope_routing(spark, d).where("rank = 1").select("query_id", "scope")
     return table(spark, d, "documents").select("doc_id", F.col("source").alias("scope")).join(routed, "scope").groupBy("query_id", "scope").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
 def r10_backoff(spark, d) -> DataFrame:
-    """Scoped hits joined by the three best without scope, best score each, ranked anew."""
-    every = r1_bm25(spark, d).select("query_id", "doc_id", "score", "rank")
-    scoped = every.join(table(spark, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    merged = retrieval.max_merge(scoped.select("query_id", "doc_id", "score"), every.where("rank <= 3").select("query_id", "doc_id", "score"))
-    return retrieval.top(merged, 10, ["query_id"], [F.desc("score"), F.col("doc_id")])
+    """The ten best inside the scope joined by the three best without scope, best score each, ranked anew."""
+    docs, asked = _corpus(spark, d)
+    every = retrieval.bm25(docs, asked, k=3).select("query_id", "doc_id", "score")
+    scoped = retrieval.bm25(docs, asked, allowed=table(spark, d, "documents").where("lang = 'en'").select("doc_id")).select("query_id", "doc_id", "score")
+    return retrieval.top(retrieval.max_merge(scoped, every), 13, ["query_id"], [F.desc("score"), F.col("doc_id")])
 
 
 def r14_group_ranking(spark, d) -> DataFrame:
@@ -138,7 +148,7 @@ def r19_round_robin(spark, d) -> DataFrame:
 def _slots(spark, d):
     part = lambda lo: F.transform(F.slice("embedding", lo, 16), lambda x: F.abs(x))
     v = table(spark, d, "embeddings").select("vec_id", part(1).alias("time"), part(17).alias("content"))
-    return v.withColumnRenamed("vec_id", "doc_id"), v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("time").alias("q_time"), F.col("content").alias("q_content"))
+    return v.withColumnRenamed("vec_id", "doc_id"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("time").alias("q_time"), F.col("content").alias("q_content"))
 
 
 def r20_vigilance(spark, d) -> DataFrame:
@@ -202,9 +212,15 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
     "r5_rank_sum": (r5_rank_sum, _PLAIN + _DENSE + _UNION + """
 , f AS (SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + lr), 0) + coalesce(1.0::DOUBLE / (60 + dr), 0), 8) AS score FROM u)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f"""),
-    "r6_scope_routing": (r6_scope_routing, _PLAIN + ", s AS (SELECT query_id, source AS scope, round(sum(score), 4) AS score FROM bm25 JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scope) AS rank FROM s QUALIFY rank <= 3"),
-    "r9_scope_pushdown": (r9_scope_pushdown, _PLAIN + ", s AS (SELECT query_id, source AS scope, round(sum(score), 4) AS score FROM bm25 JOIN documents USING (doc_id) GROUP BY 1, 2), r AS (SELECT query_id, scope FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scope) = 1) SELECT query_id, scope, count(*) AS n_candidates FROM r JOIN documents d ON d.source = r.scope GROUP BY 1, 2"),
-    "r10_backoff": (r10_backoff, _PLAIN + ", m AS (SELECT DISTINCT query_id, doc_id, score FROM bm25 WHERE rank <= 3 OR doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m"),
+    "r6_scope_routing": (r6_scope_routing, _PLAIN + ", s AS (SELECT query_id, source AS scope, round(sum(score), 4) AS score FROM (SELECT * FROM sc WHERE score > 0) JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scope) AS rank FROM s QUALIFY rank <= 3"),
+    "r7_anchor_scopes": (r7_anchor_scopes, r"""
+WITH s AS (SELECT 's' || p_partkey AS scope_id, 'speaker' AS scope_type, lower(split_part(p_name, ' ', 1)) AS alias FROM part UNION ALL SELECT 'e' || p_partkey, 'entity', lower(unnest(string_split(p_name, ' '))) FROM part),
+n AS (SELECT p_partkey AS query_id, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM part),
+c AS (SELECT scope_id, scope_type, trim(regexp_replace(alias, '[^\p{L}\p{N}]+', ' ', 'g')) AS alias FROM s),
+m AS (SELECT DISTINCT query_id, alias FROM n JOIN (SELECT DISTINCT alias FROM c WHERE scope_type = 'speaker' AND alias <> '') ON contains(' ' || name || ' ', ' ' || alias || ' '))
+SELECT query_id, scope_type, alias, min(scope_id) AS scope_id FROM m JOIN c USING (alias) GROUP BY ALL"""),
+    "r9_scope_pushdown": (r9_scope_pushdown, _PLAIN + ", s AS (SELECT query_id, source AS scope, round(sum(score), 4) AS score FROM (SELECT * FROM sc WHERE score > 0) JOIN documents USING (doc_id) GROUP BY 1, 2), r AS (SELECT query_id, scope FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scope) = 1) SELECT query_id, scope, count(*) AS n_candidates FROM r JOIN documents d ON d.source = r.scope GROUP BY 1, 2"),
+    "r10_backoff": (r10_backoff, _PLAIN + ", e AS (SELECT query_id, doc_id, score FROM sc WHERE score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10), m AS (SELECT query_id, doc_id, score FROM bm25 WHERE rank <= 3 UNION SELECT * FROM e) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m"),
     "r14_group_ranking": (r14_group_ranking, _PLAIN + ", s AS (SELECT query_id, lang, round(sum(score) + 0.35 * count(DISTINCT source), 4) AS score FROM bm25 JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lang) AS rank FROM s QUALIFY rank <= 24"),
     "r16_time_order": (r16_time_order, "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type <> 'error' THEN ts END DESC NULLS LAST, event_id) AS rank FROM events QUALIFY rank <= 5"),
     "r17_term_relevance": (r17_term_relevance, _PLAIN + """
@@ -216,7 +232,7 @@ SELECT b.query_id, b.doc_id, round(sum(i.idf) / any_value(total), 5) AS relevanc
     "r20_vigilance": (r20_vigilance, f"""
 WITH v AS (SELECT vec_id, {_SLOT.format(1, 16)} AS t, {_SLOT.format(17, 32)} AS c FROM embeddings),
 m AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
-  round(list_sum(list_transform(list_zip(q.t, e.t), lambda z: least(z[1], z[2]))) / list_sum(q.t), 6) AS mt, round(list_sum(list_transform(list_zip(q.c, e.c), lambda z: least(z[1], z[2]))) / list_sum(q.c), 6) AS mc FROM v q JOIN v e ON q.vec_id < 10),
+  round(list_sum(list_transform(list_zip(q.t, e.t), lambda z: least(z[1], z[2]))) / list_sum(q.t), 6) AS mt, round(list_sum(list_transform(list_zip(q.c, e.c), lambda z: least(z[1], z[2]))) / list_sum(q.c), 6) AS mc FROM v q JOIN v e ON q.vec_id % 100 = 0),
 s AS (SELECT query_id, doc_id, round((mt + mc) / 2, 7) AS score FROM m WHERE mt >= 0.6 AND mc >= 0.6)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""),
     "r21_scaling": (r21_scaling, "WITH v AS (SELECT vec_id, embedding AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings), s AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN hi > lo THEN (x::DOUBLE - lo) / (hi - lo) ELSE 0.5 END) AS l FROM v) SELECT vec_id, round(list_sum(l), 6) AS scaled_sum, round(l[1], 6) AS scaled_first FROM s"),
