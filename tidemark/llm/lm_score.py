@@ -330,7 +330,7 @@ def train(docs: DataFrame, known: Vocabulary, n_tokens: int, id_col: str = "doc_
             if every:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start)), pa.int32()), pa.array(total), pa.array(np.full(len(start), every), pa.int64())], ["i", "x", "n"])
 
-        dealt = own.where(F.col("round") == round_).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "k", "text")
+        dealt = own.where(F.col("round") == round_).repartition(4 * shards, "shard").sortWithinPartitions("shard", "k", "text")
         rows = dealt.select("shard", "text").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(rows):
             flat = rows.sort_values("i")["x"].to_numpy()
