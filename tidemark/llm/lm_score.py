@@ -107,10 +107,10 @@ def _words(text: pa.Array, heads: np.ndarray) -> Words:
 def _context(w: dict[str, np.ndarray], t: Words, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(input of the network, context rows, second rows) of the words `here`."""
     near = t.at[here][:, None] + np.array(SIDE)
-    own, other = t.own[near].ravel(), t.other[near].ravel()
-    x = w["e"][own]
+    own, other = t.own.take(near).ravel(), t.other.take(near).ravel()
+    x = w["e"].take(own, axis=0)
     two = np.flatnonzero(other >= 0)
-    x[two] += w["e"][other[two]]
+    x[two] += w["e"].take(other[two], axis=0)
     return x.reshape(len(here), -1), own, other
 
 
@@ -137,9 +137,17 @@ def _small(m: np.ndarray, b: np.ndarray) -> bool:
     return float((np.abs(m).sum(axis=-2) + np.abs(b)).max()) < 60
 
 
+def _row_sums(m: np.ndarray) -> np.ndarray:
+    return m @ np.ones(m.shape[1], m.dtype)
+
+
+def _sums(m: np.ndarray) -> np.ndarray:
+    return np.ones(len(m), m.dtype) @ m
+
+
 def _softmax(z: np.ndarray, small: bool = False) -> np.ndarray:
     z = np.exp(z if small else z - z.max(axis=1, keepdims=True))
-    z /= z.sum(axis=1, keepdims=True)
+    z /= _row_sums(z)[:, None]
     return z
 
 
@@ -147,7 +155,7 @@ def _log_chosen(z: np.ndarray, at: np.ndarray, small: bool = False) -> np.ndarra
     """Log of the softmax of each row of z, at one place of the row."""
     if not small:
         z = z - z.max(axis=1, keepdims=True)
-    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+    return z[np.arange(len(z)), at] - np.log(_row_sums(np.exp(z)))
 
 
 def _sum_rows(rows: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -156,55 +164,56 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> n
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     rows = rows[order]
     heads = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    out[rows[heads]] = np.add.reduceat(values[of[order]], heads, axis=0)
+    out[rows[heads]] = np.add.reduceat(values.take(of[order], axis=0), heads, axis=0)
     return out
 
 
+def _by_group(t: Words, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """(the words `here` sorted by the group of their outcomes, group, place in the group, run of each group that stands)."""
+    kind = t.kind[here].astype(np.int16)
+    here = here[np.argsort((kind % CLASSES).astype(np.uint8), kind="stable")]
+    kind = t.kind[here]
+    group = kind % CLASSES
+    ends = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    return here, group, kind // CLASSES, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+
+
 def log_probs(w: dict[str, np.ndarray], t: Words) -> np.ndarray:
     """Log-probability of each word's outcome given its window."""
     out = np.zeros(len(t.row), np.float32)
     outer, inner = _small(w["c"], w["d"]), _small(w["u"], w["v"])
     for lo in range(0, len(out), 16384):
-        here = np.arange(lo, min(lo + 16384, len(out)))
+        here, group, place, runs = _by_group(t, np.arange(lo, min(lo + 16384, len(out))))
         h = np.tanh(_context(w, t, here)[0] @ w["w"] + w["b"])
-        kind, place = t.kind[here] % CLASSES, t.kind[here] // CLASSES
-        p = _log_chosen(h @ w["c"] + w["d"], kind, outer)
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            i = order[ends[c] : ends[c + 1]]
-            if len(i):
-                p[i] += _log_chosen(h[i] @ w["u"][c] + w["v"][c], place[i], inner)
-        out[lo : lo + 16384] = p
+        p = _log_chosen(h @ w["c"] + w["d"], group, outer)
+        for c, i in runs:
+            p[i] += _log_chosen(h[i] @ w["u"][c] + w["v"][c], place[i], inner)
+        out[here] = p
     return out
 
 
 def gradient(w: dict[str, np.ndarray], t: Words, here: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability of the words `here`, by each weight."""
     n = len(here)
+    here, group, place, runs = _by_group(t, here)
     x, own, other = _context(w, t, here)
     h = np.tanh(x @ w["w"] + w["b"])
-    kind, place = t.kind[here] % CLASSES, t.kind[here] // CLASSES
     g = {}
     dz = _softmax(h @ w["c"] + w["d"], _small(w["c"], w["d"]))
-    dz[np.arange(n), kind] -= 1
+    dz[np.arange(n), group] -= 1
     dz /= n
-    g["c"], g["d"] = h.T @ dz, dz.sum(axis=0)
+    g["c"], g["d"] = h.T @ dz, _sums(dz)
     dh = dz @ w["c"].T
     g["u"], g["v"] = np.zeros_like(w["u"]), np.zeros_like(w["v"])
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     inner = _small(w["u"], w["v"])
-    for c in range(CLASSES):
-        i = order[ends[c] : ends[c + 1]]
-        if len(i):
-            q = _softmax(h[i] @ w["u"][c] + w["v"][c], inner)
-            q[np.arange(len(i)), place[i]] -= 1
-            q /= n
-            g["u"][c], g["v"][c] = h[i].T @ q, q.sum(axis=0)
-            dh[i] += q @ w["u"][c].T
+    for c, i in runs:
+        q = _softmax(h[i] @ w["u"][c] + w["v"][c], inner)
+        q[np.arange(len(q)), place[i]] -= 1
+        q /= n
+        g["u"][c], g["v"][c] = h[i].T @ q, _sums(q)
+        dh[i] += q @ w["u"][c].T
     da = dh * (1 - h * h)
-    g["w"], g["b"] = x.T @ da, da.sum(axis=0)
+    g["w"], g["b"] = x.T @ da, _sums(da)
     dx = (da @ w["w"].T).reshape(n * len(SIDE), DIM)
     two = np.flatnonzero(other >= 0)
     g["e"] = _sum_rows(np.concatenate((own, other[two])), dx, np.concatenate((np.arange(len(own)), two)), len(w["e"]))
