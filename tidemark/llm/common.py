@@ -82,31 +82,36 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         at = upto
 
 
-def words(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first byte, end byte) of every word of every text; null has none. Bytes count from the array's start.
+def spans(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, whether each stands in a word, where texts start and end, first and end byte of every word).
 
-    A word is a run of bytes outside 0x20 and 0x09-0x0D; `lower` folds A-Z. Hashes are 64 bits, equal for equal words.
+    A word is a run of bytes outside 0x20 and 0x09-0x0D within one text; null has none.
     """
     text = text.cast(pa.large_string())
     n = len(text)
     bounds = np.frombuffer(text.buffers()[1], np.int64, n + 1, text.offset * 8)
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
-    empty = np.zeros(0, np.int64)
-    if not len(data):
-        return empty.astype(np.uint64), empty, empty, empty
     solid = ~_SPACE[data]
     if text.null_count:
         lengths = np.diff(bounds)
         solid &= np.repeat(np.asarray(text.is_valid()), lengths)
     fresh = np.zeros(len(data) + 1, bool)
     fresh[bounds] = True
-    before = np.concatenate(([False], solid[:-1]))
-    first = np.flatnonzero(solid & (~before | fresh[:-1]))
+    before = np.concatenate(([False], solid[:-1]))[: len(data)]
+    after = np.concatenate((solid[1:], [False]))[: len(data)]
+    return data, solid, bounds, np.flatnonzero(solid & (~before | fresh[:-1])), np.flatnonzero(solid & (~after | fresh[1:])) + 1
+
+
+def words(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first byte, end byte) of every word of every text; null has none. Bytes count from the array's start.
+
+    Words are those of `spans`; `lower` folds A-Z. Hashes are 64 bits, equal for equal words.
+    """
+    data, solid, bounds, first, end = spans(text)
     if not len(first):
+        empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty, empty, empty
-    after = np.concatenate((solid[1:], [False]))
-    end = np.flatnonzero(solid & (~after | fresh[1:])) + 1
     size = end - first
     powers = np.full(int(size.max()), _BASE, np.uint64)
     powers[0] = 1

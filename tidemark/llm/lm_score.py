@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, mix, slices, words
+from .common import cut, mix, slices, spans, words
 
 SIDE = (-2, -1, 1, 2)
 CLASSES = 32
@@ -237,14 +237,11 @@ def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 23):
-                _, _, first, end = words(part.column("text"))
-                data = _bytes(part.column("text"))
-                # words and the gaps between them, in turn
-                edges = np.append(np.column_stack((first, end)).ravel(), len(data)).astype(np.int64)
-                found = pa.Array.from_buffers(pa.large_binary(), 2 * len(first), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-                n = np.bincount(np.asarray(found.indices)[::2], minlength=len(found.dictionary))
-                own = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(own)).cast(pa.large_string()).cast(pa.string()), pa.array(n[own], pa.int64())], ["w", "n"])
+                data, solid, _, first, end = spans(part.column("text"))
+                offsets = np.concatenate(([0], np.cumsum(end - first)))
+                found = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+                n = np.bincount(np.asarray(found.indices), minlength=len(found.dictionary))
+                yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(n, pa.int64())], ["w", "n"])
 
     own = docs.select(F.col(text_col).alias("text")).where("text is not null")
     return cut(own.mapInArrow(tally, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
