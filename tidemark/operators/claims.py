@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bucket_key, label, sentences, short_hash, time_label
+from .lineage import cut
 
 #: The roles a time may have in a claim, and other names for them.
 TIME_ROLES = ("occurred_at", "mentioned_at", "updated_at", "planned_for", "deadline_at", "valid_from", "started_at", "completed_at", "finalized_at")
@@ -170,7 +171,7 @@ def expand_related(seeds: DataFrame, edges: DataFrame, claims: DataFrame, hops:
 
     A relation is crossed, in both directions, only between claims (claim_id, subject, dimension) that share subject and
     dimension, or that both lack them. Relevance decays by `decay` a hop; a claim keeps its first hop and best relevance.
-    Each hop joins the frontier alone.
+    Each hop joins the frontier alone and is written.
     """
     keyed = claims.select("claim_id", F.struct("subject", "dimension").alias("_key"))
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -180,7 +181,7 @@ def expand_related(seeds: DataFrame, edges: DataFrame, claims: DataFrame, hops:
     frontier = seen
     for hop in range(1, hops + 1):
         step = frontier.join(open_, F.col("claim_id") == F.col("src")).groupBy("query_id", F.col("dst").alias("claim_id")).agg((F.max("relevance") * decay).alias("relevance"))
-        frontier = step.join(seen.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti").select("query_id", "claim_id", F.lit(hop).alias("hop"), "relevance")
+        frontier = cut(step.join(seen.select("query_id", "claim_id"), ["query_id", "claim_id"], "left_anti").select("query_id", "claim_id", F.lit(hop).alias("hop"), "relevance"))
         seen = seen.unionByName(frontier)
     return seen
 

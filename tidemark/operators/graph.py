@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: What an edge of each type may join.
 EDGE_ENDS = {"IN_SCOPE": ("event", "scope"), "MENTIONS": ("event", "scope"), "ASSERTS": ("event", "claim"), "HAS_TIME": ("claim", "time"), "OCCURRED_AT": ("event", "time"), "SUPPORTS": ("claim", "state"), "NEXT": ("event", "event")}
 
@@ -42,13 +44,13 @@ def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(seed, id, hop): what each seed (seed, id) reaches within `hops` steps over edges (src, dst), with the least hop.
 
-    A frontier join a step; what was visited leaves by anti join, so a step costs its frontier.
+    A frontier join a step; what was visited leaves by anti join, and a step is written, so it costs its frontier.
     """
     seen = seeds.select("seed", "id", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, hops + 1):
         step = frontier.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = cut(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 

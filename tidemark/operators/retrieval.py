@@ -135,14 +135,18 @@ def vigilance(events: DataFrame, queries: DataFrame, channels: dict[str, float],
 def diversified(candidates: DataFrame, budget: int, relevance: float = 0.7) -> DataFrame:
     """Greedy picks per question from (query_id, doc_id, score, rank, terms): relevance against likeness to what is chosen.
 
-    One question's candidates (at most its top k) form a group; everything before is native.
+    Rows marked `chosen`, where there is such a column, are picked already, by rank. One question's candidates (at most its
+    top k) form a group; everything before is native.
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank").reset_index(drop=True)
-        low, high = rows["score"].min(), rows["score"].max()
+        given = rows["chosen"] if "chosen" in rows else rows["rank"] < 0
+        rows = rows.assign(late=~given).sort_values(["late", "rank"]).reset_index(drop=True)
+        scores = rows["score"][rows["late"]]
+        low, high = scores.min(), scores.max()
         rel = (rows["score"] - low) / (high - low) if high > low else rows["score"] * 0 + 1.0
-        sets, left, chosen = [set(t) for t in rows["terms"]], list(range(len(rows))), []
+        n = int(len(rows) - rows["late"].sum())
+        sets, left, chosen = [set(t) for t in rows["terms"]], list(range(n, len(rows))), list(range(min(n, budget)))
         while left and len(chosen) < budget:
             new = {i: 1 - max((len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in chosen), default=0.0) for i in left}
             best = max(left, key=lambda i: (round(relevance * rel[i] + (1 - relevance) * new[i], 9), rel[i], new[i], -rows["rank"][i]))

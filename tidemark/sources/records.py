@@ -109,3 +109,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt not in ("json", "csv"):
         raise ValueError(f"no report format: {fmt}")
     df.write.mode("overwrite").options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).save(path)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of the files under a path, for a manifest of what a graph was made from."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
