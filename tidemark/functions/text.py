@@ -119,3 +119,64 @@ def dialog_key(text: Column) -> Column:
     """D<session>:<number> as an orderable pair; others last."""
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, r"^D(\d+):(\d+)$", i), F.lit("")).cast("int"), F.lit(1_000_000_000))
     return F.struct(part(1).alias("session"), part(2).alias("number"))
+
+
+def span_starts(text: Column, span: Column) -> Column:
+    """Where a span stands in a text, from 0, none overlapping; case counts, and an empty span stands nowhere."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(span, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    sizes = F.transform(F.split(text, quoted), F.length)
+    start = F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))")
+    step = lambda a, n: F.struct((a["at"] + n + F.length(span)).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
+    found = F.aggregate(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0))), start, step, lambda a: a["out"])
+    return F.when(F.length(span) > 0, found).otherwise(F.array().cast("array<int>"))
+
+
+def time_span_starts(text: Column, span: Column) -> Column:
+    """span_starts that are whole time expressions: no letter or digit beside them, and no digit of theirs joined on by - / :"""
+
+    def whole(at: Column) -> Column:
+        before = F.when(at > 0, F.substr(text, at, F.lit(1))).otherwise("")
+        after = F.substr(text, at + F.length(span) + 1, F.lit(1))
+        loose = ~before.rlike(r"[\p{L}\p{N}]") & ~after.rlike(r"[\p{L}\p{N}]")
+        return loose & ~(span.rlike(r"^\p{Nd}") & before.isin("-", "/", ":")) & ~(span.rlike(r"\p{Nd}$") & after.isin("-", "/", ":"))
+
+    return F.filter(span_starts(text, span), whole)
+
+
+def json_event(response: Column) -> Column:
+    """(time, spaces, entities, content) of the first JSON object in a text, also in a code fence; null without one. A date or
+    an entity may stand alone or in a list, an entity may be an object with a name, of several places the first is taken."""
+    fields = F.from_json(F.nullif(F.regexp_extract(response, r"(?s)\{.*\}", 0), F.lit("")), "map<string,string>")
+
+    def event(f: Column) -> Column:
+        many = lambda k: F.coalesce(F.when(F.ltrim(f[k]).startswith("["), F.from_json(f[k], "array<string>")), F.when(f[k].isNotNull(), F.array(f[k])), F.array().cast("array<string>"))
+        name = lambda x: F.when(F.ltrim(x).startswith("{"), F.coalesce(F.nullif(F.get_json_object(x, "$.name"), F.lit("")), F.get_json_object(x, "$.entity"), F.lit(""))).otherwise(x)
+        solid = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
+        return F.struct(
+            solid(many("date")).alias("time"), F.trim(F.coalesce(F.get(many("location"), F.lit(0)), F.lit(""))).alias("spaces"),
+            solid(F.transform(many("entity"), name)).alias("entities"), F.trim(F.coalesce(f["content"], F.lit(""))).alias("content"),
+        )
+
+    return F.get(F.transform(F.filter(F.array(fields), lambda f: f.isNotNull()), event), F.lit(0))
+
+
+def primary_other(entities: Column) -> Column:
+    """The first entity, and the others in order; null without one."""
+    return F.struct(F.get(entities, F.lit(0)).alias("entity"), F.slice(entities, 2, F.greatest(F.size(entities) - 1, F.lit(0))).alias("others"))
+
+
+def paragraphs(text: Column, least: int = 40) -> Column:
+    """(pos, text) of the parts between blank lines, white space as one space; pos counts from 1 before parts of fewer than
+    `least` characters go."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x, i: F.struct((i + 1).alias("pos"), x.alias("text"))), lambda x: F.length(x["text"]) >= least)
+
+
+def passages(text: Column) -> Column:
+    """Parts between blank lines of 40 characters or more; a text of one part is cut at sentence ends before a capital, and
+    pieces of 80 characters or more are kept."""
+    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t]+", " "))
+    strip = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    parts = F.filter(strip(F.split(bare, r"\n\s*\n")), lambda x: x != "")
+    pieces = F.filter(strip(F.split(bare, r"(?<=[.!?])\s+(?=[A-Z])")), lambda x: F.length(x) >= 80)
+    return F.filter(F.when(F.size(parts) > 1, parts).otherwise(pieces), lambda x: F.length(x) >= 40)

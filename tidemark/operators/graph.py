@@ -64,3 +64,9 @@ def closed(states: DataFrame, kept: DataFrame) -> DataFrame:
 def unique_alias(pairs: DataFrame) -> DataFrame:
     """Aliases of (alias, id) rows that name one id only."""
     return pairs.groupBy("alias").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select("alias", "id")
+
+
+def one_hop(seeds: DataFrame, claims: DataFrame, states: DataFrame) -> DataFrame:
+    """(query_id, event_id, claim_id, state_id) reached from seeds (query_id, event_id): their claims (event_id, claim_id) and
+    the states (claim_id, state_id) of these; a claim without a state keeps its row, an event without claims has none."""
+    return seeds.select("query_id", "event_id").distinct().join(claims.select("event_id", "claim_id").distinct(), "event_id").join(states.select("claim_id", "state_id").distinct(), "claim_id", "left").select("query_id", "event_id", "claim_id", "state_id")

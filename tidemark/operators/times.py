@@ -133,3 +133,40 @@ def rerank(hits: DataFrame, roles: Column, asked: Column, boost: float = 0.25, a
     if at is not None:
         score = score + recency * F.percent_rank().over(Window.partitionBy("query_id").orderBy(at.asc_nulls_first(), "doc_id"))
     return hits.withColumn("score", F.round(score, 6))
+
+
+def order_hits(hits: DataFrame, at: Column, ordering: str) -> DataFrame:
+    """hits (query_id, rank) with `place` from 1: by time, newest first for "latest", oldest first for "chronological", those
+    without a time last, the given rank among equals; any other ordering keeps the rank."""
+    by = {"latest": [at.desc_nulls_last()], "chronological": [at.asc_nulls_last()]}.get(ordering, [])
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*by, "rank")))
+
+
+def scale_times(rows: DataFrame, times_col: str, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with `scaled`, statistics lo and hi, one row): the mean of a row's times, from 0 at the earliest mean to 1 at the
+    latest; 0 where these are one or without a time. Statistics of other rows may be given and hold for these then."""
+    known = F.filter(times_col, lambda x: x.isNotNull())
+    seconds = F.transform(known, lambda x: F.unix_micros(x.cast("timestamp")) / 1e6)
+    mean = F.when(F.size(known) > 0, F.aggregate(seconds, F.lit(0.0), lambda s, x: s + x) / F.size(known))
+    if stats is None:
+        stats = rows.agg(F.min(mean).alias("lo"), F.max(mean).alias("hi"))
+    lo, hi = stats.select("lo", "hi").first() or (None, None)
+    share = (mean - F.lit(lo)) / F.lit((hi - lo) or 1.0) if lo is not None else F.lit(0.0)
+    return rows.withColumn("scaled", F.coalesce(share, F.lit(0.0))), stats
+
+
+def event_profiles(events: DataFrame, claims: DataFrame, times: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """(event_id, time_roles, time_values, time_ids, current_state_ids), sorted sets, of every event (event_id, occurred_at):
+    from its claims (event_id, claim_id, time_role, time_value), their times (claim_id, time_id, time_role, value) and, if
+    given, their states (claim_id, state_id, current, primary_claim_id, current_after). CURRENT_AFTER needs a current state
+    with such a time whose primary claim this is. The plain report time is a value but no role."""
+    none = F.lit(None).cast("string")
+    fact = lambda role, value, time, state: (role.alias("role"), value.cast("string").alias("value"), time.cast("string").alias("time_id"), state.cast("string").alias("state_id"))
+    facts = events.select("event_id", *fact(none, F.col("occurred_at"), none, none)).unionByName(claims.select("event_id", *fact(F.col("time_role"), F.col("time_value"), none, none)))
+    own = claims.select("event_id", "claim_id")
+    facts = facts.unionByName(own.join(times, "claim_id").select("event_id", *fact(F.col("time_role"), F.col("value"), F.col("time_id"), none)))
+    if states is not None:
+        now = states.where("current and claim_id = primary_claim_id and current_after is not null")
+        facts = facts.unionByName(own.join(now, "claim_id").select("event_id", *fact(F.lit("CURRENT_AFTER"), none, none, F.col("state_id"))))
+    kept = lambda c: F.sort_array(F.collect_set(F.nullif(F.col(c), F.lit(""))))
+    return facts.groupBy("event_id").agg(kept("role").alias("time_roles"), kept("value").alias("time_values"), kept("time_id").alias("time_ids"), kept("state_id").alias("current_state_ids"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import claims, evidence, folds, graphs, policies, retrieval, scores, texts
+from . import claims, evidence, folds, graphs, policies, retrieval, rules, scores, texts
 
-MODULES = (retrieval, texts, folds, graphs, scores, evidence, claims, policies)
+MODULES = (retrieval, texts, folds, graphs, scores, evidence, claims, policies, rules)
 
 
 def queries() -> dict:
