@@ -297,7 +297,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             return [got if got is not None else _packed(_merge_one(w, score, ids, byte_ids)) for w, got in zip(texts, _merge_many(texts, model_path))]
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 23):
+            for part in slices(batch, "text", 1 << 22):
                 found, row = _split(part.column("text"))
                 every = found.dictionary.to_pylist()
                 each = [told.get(w) or rare.get(w) for w in every]
