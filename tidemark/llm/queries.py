@@ -1,4 +1,4 @@
-"""The ten registered queries over the training-data operators, and SQL twins where SQL can express them."""
+"""The registered queries over the training-data operators, and SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, html_extract, line_dedup, lm_score, minhash, packing, quality_rules, sentencepiece_lattice, substring
+from . import ann, chat_format, html_extract, language_id, line_dedup, lm_score, minhash, packing, prefix_trie, quality_rules, sentencepiece_lattice, spelling, substring
 from .common import table
 
 
@@ -67,10 +67,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_line_dedup, op2_html_extraction, op3_chat_formatting, op4_nearest_neighbours, op5_sentencepiece,
         op6_quality_rules, op7_lm_scoring, op8_best_fit_packing, op9_minhash_dedup, op10_substring_dedup,
+        op11_language_id, op12_spelling_variants, op13_prefix_trie,
     )
     return {f.__name__: f for f in named}
 
@@ -148,5 +161,61 @@ FROM w LEFT JOIN lists l ON l.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w
 """
 
 
+#: The checksum of zip files, by a table of 256 made by its rule; {0}: a list of bytes as BIGINT.
+_CRC_TABLE = "SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t"
+_CRC = "xor(list_reduce({0}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+_TRIE = rf"""
+WITH crc AS ({_CRC_TABLE}),
+turns AS (
+  SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+lists AS (SELECT c, list(m ORDER BY i) AS l FROM turns GROUP BY c),
+convs AS (SELECT c, l, {_CRC.format("list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 4 AS h FROM lists, crc),
+rebuilt AS (SELECT a.c, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM convs a LEFT JOIN lists b ON b.c = a.c - a.c % 20),
+pre AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt),
+nodes AS (SELECT d, l[1:d] AS k, min(c) AS conv_id, count(*) AS n_convs FROM pre GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+own AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * len({_WORDS.format("n.k[n.d].t")}) END AS saved
+  FROM nodes n LEFT JOIN kids c ON c.d = n.d AND c.k = n.k
+),
+up AS (SELECT *, unnest(range(0, d + 1)) AS a FROM own),
+totals AS (SELECT a AS d, k[1:a] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY 1, 2),
+ends AS (SELECT len(l) AS d, l AS k, string_agg(c::VARCHAR, ',' ORDER BY c) AS t FROM rebuilt GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(e.t, '')) AS ends_sha256
+FROM own n JOIN totals t ON t.d = n.d AND t.k = n.k LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1] LEFT JOIN ends e ON e.d = n.d AND e.k = n.k
+"""
+
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, 128 + (unicode(x) & 63)::BIGINT] END))"
+
+_SPELLING = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2
+),
+sums AS (SELECT *, {_CRC.format(_BYTES.format("doc_id::VARCHAR || ':' || run"))} AS h FROM runs, crc),
+vocab AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM sums GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5
+),
+places AS (SELECT word, n, length(word) AS len, unnest(range(0, length(word))) AS i FROM vocab),
+without AS (SELECT word, n, len, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM places),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM without a JOIN without b ON a.x = b.x AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM without a JOIN vocab b ON b.word = a.x
+  UNION SELECT b.word, b.n, a.word, a.n FROM without a JOIN vocab b ON b.word = a.x
+),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM pairs),
+forms AS (SELECT word, n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM ranked WHERE r = 1),
+walk AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.at AS root FROM walk w LEFT JOIN forms f ON f.word = w.at WHERE f.form IS NULL)
+SELECT v.word, f.form, coalesce(e.root, v.word) AS root, v.n, coalesce(f.n_near, 0) AS n_near, f.form_n
+FROM vocab v LEFT JOIN forms f ON f.word = v.word LEFT JOIN ends e ON e.word = v.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op3_chat_formatting": _CHAT, "op9_minhash_dedup": _NEAR, "op10_substring_dedup": _REPEATS}
+    return {"op1_line_dedup": _LINES, "op3_chat_formatting": _CHAT, "op9_minhash_dedup": _NEAR, "op10_substring_dedup": _REPEATS, "op12_spelling_variants": _SPELLING, "op13_prefix_trie": _TRIE}
