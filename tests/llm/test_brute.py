@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import timeit
 from collections import defaultdict
 
 import numpy as np
@@ -98,6 +99,35 @@ def test_html_frames_quotes_and_references(html, text):
     assert html_extract.main_text(html) == text
 
 
+SHORT = [f"Line {i} of it." for i in range(40)]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<div>{BODY}<p>He cited the <span class="legal">Act of 1901</span> and <a class="share-link">the ledger</a> too.</p></div>', SAID + "\n\nHe cited the Act of 1901 and the ledger too."),
+        (f'<div>{BODY}<p>A <em class="search">needle</em>, of course, in the hay that they had.</p></div>', SAID + "\n\nA needle, of course, in the hay that they had."),
+        (f'<div>{BODY}<p class="hidden-gem">{LONG}</p><p class="notice">Sale, sale, sale.</p></div>', SAID + "\n\n" + LONG.strip()),
+        ("<form>" + "".join(f"<p>{x}</p>" for x in SHORT) + "</form>", "\n\n".join(SHORT)),
+        ('<div class="ad"><p>Buy, buy, and buy again.</p></div><nav><form><p>Find</p></form></nav>', ""),
+        (f'<div>{BODY}</div><ol class="commentlist"><li>Nice, very nice, truly, {LONG}</li></ol>', SAID),
+        (f'<div>{BODY}</div><section id="discussion"><h2>3 responses</h2><p>I agree, {LONG}</p></section>', SAID),
+        (f'<div>{BODY}<div class="adsbygoogle"><p>Cheap, cheaper, {LONG}</p></div></div>', SAID),
+    ],
+)
+def test_html_keeps_the_article_and_nothing_else(html, text):
+    assert html_extract.main_text(html) == text
+
+
+@pytest.mark.parametrize("bit", ["<b>x</i>", "<b><p>y", "<b><h1>t</h1>", "<svg>z", "<td><i>a</b>", "<ul><b><li>k", '<a href="q>w', "<form><div>v"])
+def test_html_time_grows_with_the_page(bit):
+    def seconds(n):
+        page = f"<article>{BODY}</article>" + bit.partition(">")[0] + ">" + bit * n + "</u>" * n
+        return min(timeit.repeat(lambda: html_extract.main_text(page), number=1, repeat=2))
+
+    assert seconds(40_000) < 12 * seconds(8_000) + 2
+
+
 def test_html_empty_table_and_repeats(spark):
     rows = spark.createDataFrame([(1, "<p>Some words.</p>"), (1, "<p>Some words.</p>")], "page_id long, html string")
     assert [r["text"] for r in html_extract.extract(rows).collect()] == ["Some words."] * 2

@@ -22,31 +22,45 @@ BLOCK = frozenset(
 #: Elements that hold menus, headers, footers, sidebars and forms.
 SIDE = frozenset("nav header footer aside form button dialog menu fieldset".split())
 NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|disqus|reply|replies|respond|footer|foot|header|masthead|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|pagination|pager|paging|toolbar|skip|hidden|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsby\w*|ad(?:box|slot|unit|space|wrap\w*)s?|banner|sponsor\w*|promo\w*|comments?|comment(?:list|er|form|area|box|section|thread)\w*|discussions?|disqus\w*|reply|replies|respond|responses?|footer|foot|header|masthead|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|pagination|pager|paging|toolbar|skip|hidden|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
 #: Names of what is never the frame of an article, however long it is; and of parts of a layout, which may be alike.
-NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|reply|replies|respond|nav\w*|menu\w*|footer|sidebar\w*|cookie\w*|consent|gdpr|newsletter|popup|modal|overlay|hidden|related\w*|recommend\w*)(?:$|[\s_-])", re.I)
+NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsby\w*|comments?|comment(?:list|er|form|area|box|section|thread)\w*|discussions?|disqus\w*|reply|replies|respond|responses?|nav\w*|menu\w*|footer|sidebar\w*|cookie\w*|consent|gdpr|newsletter|popup|modal|overlay|hidden|related\w*|recommend\w*)(?:$|[\s_-])", re.I)
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:col\w*|grid|row|cell|box|panel|wrap\w*|container|left|right|card|tile|item|span\d*)(?:$|[\s_-])", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry|main|page|post\w*|text|story|blog)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: What an open paragraph or item is closed by.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = ("ul", "ol", "dl", "table", "select")
+#: Elements that an inline end tag does not close anything outside of.
+HOLDS = ("td", "th", "table", "article", "body")
+#: Elements of running text: aside by name only where a whole name says so.
+PROSE = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption".split())
 SCOPE = frozenset("table td th ul ol dl body html div article section main aside nav header footer form blockquote".split())
 SPACE = re.compile(r"\s+")
 
 
+#: Elements that may hold an article.
+FRAME = frozenset("article main section div td body html blockquote center".split())
+
+
 class Node:
-    __slots__ = ("tag", "parent", "kids", "weight", "side", "names", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "kids", "weight", "side", "names", "score", "chars", "linked", "commas", "frame")
 
     def __init__(self, tag: str, parent: "Node | None", weight: float = 0.0, side: bool = False, names: str = ""):
         self.tag, self.parent, self.kids, self.weight, self.side, self.names = tag, parent, [], weight, side, names
         self.score = 0.0
+        self.frame = None if parent is None else parent if parent.tag in FRAME else parent.frame
         self.chars = self.linked = self.commas = 0
 
 
 def _judge(tag: str, attrs: str) -> tuple[float, bool, str]:
-    """Weight of an element by its names, whether it stands aside from the text, and its names."""
+    """Weight of an element by its names, whether it stands aside from the text, and its names.
+
+    Names set block elements aside, never inline ones; an element of running text only by a whole name, so that `notice`
+    does and `hidden-gem` does not. Hidden elements of either kind stand aside.
+    """
     side = tag in SIDE
     if not attrs.strip():
         return 0.0, side, ""
@@ -54,15 +68,42 @@ def _judge(tag: str, attrs: str) -> tuple[float, bool, str]:
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     negative, positive = bool(NEGATIVE.search(names)), bool(POSITIVE.search(names))
     gone = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return 25.0 * positive - 25.0 * negative, side or gone or (negative and not (positive and tag in ("article", "main", "body"))) and tag not in ("body", "html", "article", "main"), (names + " hidden" * gone).strip()
+    named = negative and tag in BLOCK and not (positive and tag in ("article", "main"))
+    if named and tag in PROSE:
+        named = any((m := NEGATIVE.match(name)) and m.end() == len(name) for name in names.split())
+    return 25.0 * positive - 25.0 * negative * (tag in BLOCK), side or gone or named and tag not in ("body", "html", "article", "main"), (names + " hidden" * gone).strip()
+
+
+class _Open:
+    """The open elements, outermost first, and where each name last stands among them; closing costs what it closes."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these names; 0, the root, for none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
 
 
 def parse(html: str) -> Node:
-    """The page as a tree. Unclosed and crossed elements are closed as far as needed; nothing is dropped but RAW content."""
-    root = here = Node("html", None)
+    """The page as a tree. Unclosed and crossed elements are closed as far as needed; nothing is dropped but RAW content.
+
+    Work grows with the length of the page, however malformed: an end without its start costs a look at the names that are
+    open, and a RAW element that is never closed is looked for once.
+    """
+    root = Node("html", None)
+    open_, endless = _Open(root), set()
     at, upto = 0, len(html)
     while at < upto:
-        m = TOKEN.search(html, at)
+        m, here = TOKEN.search(html, at), open_.nodes[-1]
         if not m:
             here.kids.append(unescape(html[at:]))
             break
@@ -75,43 +116,33 @@ def parse(html: str) -> Node:
             continue
         tag, attrs = tag.lower(), m["attrs"]
         if m["end"]:
-            node = here
-            while node is not root and node.tag != tag:
-                if node.tag in ("td", "th", "table", "article", "body") and tag not in BLOCK:
-                    node = root  # an inline end does not close a cell or the page's frame
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            place = open_.last(tag)
+            if place and (tag in BLOCK or place >= open_.last(*HOLDS)):
+                open_.close(place)
             elif tag == "p":
                 here.kids.append(Node("p", here))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not attrs.endswith("/") else None
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if tag not in endless and not attrs.endswith("/") else None
             if end:
                 at = end.end()
-            elif tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"):
+            elif not attrs.endswith("/"):
+                endless.add(tag)
+            if not end and tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"):
                 at = upto
             continue
         if tag in ("html", "body"):
             here.kids.append("\n")
             continue
-        if tag in BLOCK:
-            node = here
-            while node is not root and node.tag not in SCOPE and node.tag != "p":
-                node = node.parent
-            if node.tag == "p":  # a block start ends an open paragraph, and what is open inside it
-                here = node.parent
-        if shut := CLOSES.get(tag):
-            node = here
-            while node is not root and node.tag not in shut and node.tag not in ("ul", "ol", "dl", "table", "select"):
-                node = node.parent
-            if node.tag in shut:
-                here = node.parent
+        if tag in BLOCK and (place := open_.last("p")) > open_.last(*SCOPE):
+            open_.close(place)  # a block start ends an open paragraph, and what is open inside it
+        if (shut := CLOSES.get(tag)) and (place := open_.last(*shut)) > open_.last(*LISTS):
+            open_.close(place)
+        here = open_.nodes[-1]
         node = Node(tag, here, *_judge(tag, attrs))
         here.kids.append(node)
         if tag not in VOID and not attrs.endswith("/"):
-            here = node
+            open_.push(node)
     return root
 
 
@@ -171,9 +202,6 @@ def _own_block(node: Node) -> bool:
     return not any(isinstance(k, Node) and k.tag in BLOCK for k in node.kids)
 
 
-FRAME = frozenset("article main section div td body html blockquote center".split())
-
-
 def best(root: Node) -> list[Node]:
     """The containers that hold the article: the best by points and those of its siblings that look like it."""
     _frames(root)
@@ -185,16 +213,14 @@ def best(root: Node) -> list[Node]:
         if node.chars < 25 or node.parent is None:
             continue
         points = (1 + node.commas + min(node.chars / 100, 3)) * (1 - _density(node))
-        up, share = node.parent if node.tag not in FRAME else node, 1.0
+        up, share = node if node.tag in FRAME else node.frame, 1.0
         for level in range(4):
-            while up is not None and up.tag not in FRAME:
-                up = up.parent
             if up is None:
                 break
             seen.append(up)
             up.score += points * share
             share = 0.5 if level == 0 else 0.5 / (level + 1)
-            up = up.parent
+            up = up.frame
     ranked = {id(n): n for n in seen}.values()
     if not ranked:
         return [root]
@@ -254,13 +280,27 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def main_text(html: str | None) -> str:
-    return text_of(best(parse(html))) if html else ""
+    """The text of the best containers; where these leave none, a form around the page is its frame, however short its lines."""
+    if not html:
+        return ""
+    if text := text_of(best(parse(html))):
+        return text
+    root = parse(html)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("form", "fieldset") and not NEGATIVE.search(node.names):
+            node.side = False
+        if not node.side:
+            stack.extend(k for k in node.kids if isinstance(k, Node))
+    return text_of(best(root))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without `html_col`, with `text`, the main text of each page, and `n_chars`, its code points.
 
-    Null and empty html give the empty text. Malformed html is read as far as it goes. A page without anything that
+    Null and empty html give the empty text. Malformed html is read as far as it goes, in time that grows with its
+    length. A `header` element goes wherever it stands, an article's own with it. A page without anything that
     looks like an article gives what is left of its body outside menus and the like. Clashing columns `text` and
     `n_chars` of the input are replaced; other columns pass; rows that repeat are read each. One narrow map over the table: no shuffle.
     """
