@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import timeit
 from collections import defaultdict
 
@@ -68,6 +69,14 @@ def test_line_dedup(docs, texts, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_of_long_texts(spark):
+    text = "\n".join(f"line {i} of many" for i in range(60_000))
+    rows = spark.createDataFrame([(0, text), (1, text), (2, text + "\n\nend")], "doc_id long, text string")
+    began = time.time()
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(rows).collect()} == {0: text, 1: "", 2: "\nend"}
+    assert time.time() - began < 30
+
+
 def test_html(spark):
     page = '<html><body><nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p>First, long  text\nwith words, and more of them.<p>Second <b>bold</b>, also long enough here.<form>x</form></article><div id="comments"><p>Nice, very nice, truly, yes.</p></div><script>var a="</p>"</script><footer>f</footer>'
     rows = spark.createDataFrame([(1, page, "old"), (2, None, None), (3, "", ""), (4, "plain words", "")], "page_id long, html string, text string")
@@ -143,10 +152,13 @@ def test_nearest_of_extreme_components(spark):
 
 def test_chat(spark):
     rows = spark.createDataFrame([(1, 0, "ann", "Hi"), (1, 1, "bob", None), (1, 1, "bob", None), (1, 2, None, "<|end|>"), (None, 0, "x", "y"), (2, 300, "ann", "late"), (2, 0, "bob", "soon")], "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat_format.rotate_perspectives(rows).collect()}
+    whole = {(r["conv_id"], r["perspective"]): r for r in chat_format.rotate_perspectives(rows).collect()}
+    assert set(whole) == {(1, "ann"), (1, "bob"), (2, "ann"), (2, "bob")} and {r["part"] for r in whole.values()} == {0}
+    assert whole[2, "ann"]["text"] == "<|user name=bob|>\nsoon<|end|>\n<|assistant|>\nlate<|end|>\n"
+    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat_format.rotate_perspectives(rows, part_turns=256).collect()}
     assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "ann", 0), (2, "ann", 1), (2, "bob", 0), (2, "bob", 1)}
     r = got[(1, "ann", 0)]
-    assert r["text"] == "<|assistant|>\nHi<|end|>\n<|user name=bob|>\n<|end|>\n<|user|>\n< |end|><|end|>\n" and r["n_turns"] == 3
+    assert r["text"] == "<|assistant|>\nHi<|end|>\n" + "<|user name=bob|>\n<|end|>\n" * 2 + "<|user|>\n< |end|><|end|>\n" and r["n_turns"] == 4
     assert [r["text"][s["start"] : s["stop"]] for s in r["mask"]] == ["Hi<|end|>"]
     assert got[(2, "ann", 0)]["mask"] == []
 
@@ -516,3 +528,21 @@ def test_pipeline_stages(spark, texts):
     empty = docs.where("false")
     for name, f in p.STAGES:
         assert f(spark, empty, SF).count() == 0, name
+
+
+def test_repeats_stage_keeps_a_row_for_a_row(spark):
+    import corpus_pipeline as p
+
+    from ..conftest import SF
+
+    same, own = prose(30), [prose(25) for _ in range(3)]
+    rows = [(1, same, "a", {"k": 1}), (2, f"{own[0]} {same}", "b", {"k": 2}), (2, f"{own[1]} {same}", "c", None), (2, f"{own[1]} {same}", "c", None), (3, own[2], "d", {}), (3, None, "e", {}), (4, same, "f", {}), (None, same, "g", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, m map<string, long>")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["row"]) for r in p.repeats(spark, docs, SF).collect())
+    one = brute_repeats([(2, rows[1][1]), (3, None)])
+    assert one[2][1] == 0
+    assert [r for r in got if r[2] in "adeg"] == [(0, same, "g"), (1, same, "a"), (3, "", "e"), (3, own[2], "d")]
+    assert [r[2] for r in got] == ["g", "a", *[r[2] for r in got if r[0] == 2], "e", "d"] and not any(r[2] == "f" for r in got)
+    assert sorted(r[2] for r in got if r[0] == 2) in (["b"], ["b", "c", "c"])
+    assert all(r[1] in (own[0], own[1], "") or r[1].startswith(own[1]) or r[1].startswith(own[0]) for r in got if r[0] == 2)
+    assert p.near(spark, docs, SF).count() > 0

@@ -54,7 +54,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone, key = unused(docs, "gone"), unused(docs, "key")
     covered = later.select(F.col("id").alias(key), F.explode("p").alias("p")).groupBy(key).agg(F.collect_set("p").alias(gone))
     text = F.col(text_col)
-    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(gone, i))
+    # what stays is the numbers of all lines without the covered ones, a set difference by hash: work as lines, not lines by removals
+    stay = lambda v: F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col(gone))
+    kept = F.flatten(F.transform(F.array(F.split(text, "\n", -1)), lambda v: F.transform(stay(v), lambda i: F.get(v, i))))
     return (
         docs.join(covered, F.col(id_col) == F.col(key), "left")
         .withColumn("_n_lines", F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"))

@@ -111,7 +111,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 
 _CHAT = r"""
 WITH own AS (
-  SELECT DISTINCT conv_id, coalesce(floor(turn / 256.0), 0)::BIGINT AS part, turn, replace(role, '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  SELECT conv_id, 0::BIGINT AS part, turn, replace(role, '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ),
 views AS (SELECT o.*, p.role AS perspective FROM own o JOIN (SELECT DISTINCT conv_id, role FROM own WHERE role IS NOT NULL) p ON p.conv_id = o.conv_id),

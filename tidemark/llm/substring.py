@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import cut, mix, slices, windows, words
 
@@ -150,9 +151,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed = n_words - np.bincount(row[stay], minlength=n)
             digest = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(sizes, sizes[1:])]
             kept = [str(left[a:b], "utf-8") if r else None for a, b, r in zip(sizes, sizes[1:], n_removed)]
+            row = [c for c in ("row",) if c in part.schema.names]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string())],
-                ["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string()), *[part.column(c) for c in row]],
+                ["id", "n_words", "n_removed", "kept_sha256", "kept_text", *row],
             )
 
 
@@ -198,8 +200,9 @@ def later_runs(docs: DataFrame, width: int = 20) -> DataFrame:
     return late.groupBy("id").agg(F.collect_list(F.struct("pos", "size")).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
-    """Per row of docs: id, n_words, n_removed, kept_sha256, and kept_text (null where nothing was removed).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: id, n_words, n_removed, kept_sha256, and kept_text (null where nothing was removed); the columns of
+    `carry`, if any, as a struct `row`, so that a caller need not join back by an id that rows may share.
 
     Each word that some window of `width` words covers is removed if that window's words also start earlier: in a smaller
     id, or earlier in the same document. Windows are judged on the input. Null text has no words and keeps the hash of
@@ -207,9 +210,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids are whole numbers, expected to be unique; rows that share one are taken as one document seen twice. Extra columns
     are not read, whatever their names. An empty table gives no rows.
 
-    Words meet by 64-bit hashes and runs of words by two of them: a clash of two different runs, about 2**-128 a pair,
-    could remove words; a clash of two repeated k-mers, about 2**-64 a pair, can only leave some.
+    Words meet by 64-bit hashes of their bytes, and runs of words by two hashes of these: two runs that differ clash with a
+    probability of about 2**-64 (where one word's hash clashes), which could remove words; a clash of two repeated k-mers,
+    about as rare, can only leave some.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    done = own.join(later_runs(own, width), "id", "left").mapInArrow(_remove, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return done.withColumnRenamed("id", id_col)
+    rows = own if not carry else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*carry).alias("row"))
+    schema = StructType([StructField("id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())])
+    if carry:
+        schema = schema.add(rows.schema["row"])
+    return rows.join(later_runs(own, width), "id", "left").mapInArrow(_remove, schema).withColumnRenamed("id", id_col)
