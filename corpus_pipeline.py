@@ -41,17 +41,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     rank = unused(docs, "rank")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), "text")
+    same = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*same), "text")
     one = left.where("doc_id is not null").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
     return one.select(*docs.columns).unionByName(left.where("doc_id is null").select(*docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of later 20-word windows go; texts that lose none keep their layout; a document left without words
-    goes. Null and empty texts and rows without an id stay as they are."""
-    changed = substring.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
-    out = docs.join(changed, F.col("doc_id") == F.col("_id"), "left").where("kept_text is null or kept_text <> ''")
-    return _with_text(out, F.coalesce("kept_text", "text")).select(*docs.columns)
+    goes. Null and empty texts and rows without an id stay as they are. A row comes out for a row: rows that share an id
+    are one document seen twice, and each keeps its own text and columns."""
+    out = substring.remove_repeats(docs, carry=tuple(docs.columns)).where("n_removed = 0 or kept_text <> ''")
+    left = out.select("kept_text", F.col("n_removed").alias("_gone"), F.col("row"))
+    text = F.when(F.col("_gone") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    chars = {"n_chars": F.when(F.col("_gone") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {}
+    new = {"text": text} | chars
+    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
