@@ -11,7 +11,7 @@ from tidemark.operators import answers, claims, evidence, graph, retrieval, stat
 from tidemark.plans import evidence as plans_evidence
 from tidemark.plans import retrieval as plans_retrieval
 from tidemark.plans import texts
-from tidemark.sources import records
+from tidemark.sources import graph_store, records
 
 
 def one(spark, expr):
@@ -59,8 +59,8 @@ def test_decided_fold(spark):
 def test_graph_files(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "event"), ("b", "scope")], "id string, node_type string")
     edges = spark.createDataFrame([("IN_SCOPE", "a", "b"), ("NEXT", "a", "b"), ("ODD", "a", "c")], "type string, src string, dst string")
-    records.write_graph(nodes, edges, str(tmp_path / "g"))
-    n, e = records.read_graph(spark, str(tmp_path / "g"))
+    graph_store.write_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = graph_store.read_graph(spark, str(tmp_path / "g"))
     assert n.count() == 2 and e.count() == 3
     assert {(r["rule"], r["id"]) for r in graph.problems(nodes, edges).collect()} == {("wrong_end", "b"), ("unknown_type", "a"), ("unknown_type", "c")}
 
