@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import claims, evidence, folds, graphs, policies, retrieval, rules, scores, texts, validation
+from . import claims, documents, evidence, folds, graphs, policies, retrieval, rules, scores, texts, validation
 
-MODULES = (retrieval, texts, folds, graphs, scores, evidence, claims, policies, rules, validation)
+MODULES = (retrieval, texts, documents, folds, graphs, scores, evidence, claims, policies, rules, validation)
 
 
 def queries() -> dict:
