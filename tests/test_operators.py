@@ -265,3 +265,19 @@ def test_facing_in_blocks(spark):
     rows, queries = spark.range(50).withColumnRenamed("id", "doc_id"), spark.range(23).withColumnRenamed("id", "query_id")
     got = {(r["doc_id"], r["query_id"]) for r in retrieval.facing(rows, queries, "doc_id", most=5, shares=4).collect()}
     assert got == {(a, b) for a in range(50) for b in range(23)} and retrieval.facing(rows, queries, "doc_id", most=5).count() == 50 * 23
+
+
+def test_bm25_by_blocks_and_by_joins_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{(i * j) % 17}" for j in range(i % 9)]) for i in range(300)] + [(900, []), (901, None)], "doc_id long, tokens array<string>")
+    asked = spark.createDataFrame([(q, [f"w{(q + j) % 19}" for j in range(4)]) for q in range(25)] + [(99, ["none"]), (98, [])], "query_id long, tokens array<string>")
+    few, one = docs.where("doc_id % 3 = 0").select("doc_id"), asked.select("query_id").where("query_id < 5").crossJoin(docs.select("doc_id").where("doc_id < 50"))
+    rows = lambda **kw: sorted(map(tuple, retrieval.bm25(docs, asked, **kw).select("query_id", "doc_id", "score").collect()))
+    cases = [{}, {"k": 3}, {"k": None}, {"k": 2, "allowed": few}, {"k": 2, "allowed": one}, {"k": 3, "weighted": True}]
+    blocks = [rows(**c) for c in cases]
+    monkeypatch.setattr(retrieval, "BLOCK", 60)
+    assert [rows(**c) for c in cases] == blocks and blocks[0]
+    monkeypatch.setattr(retrieval, "MOST_BLOCKS", 0)
+    joined = [rows(**c) for c in cases]
+    assert [[r[:2] for r in x] for x in joined] == [[r[:2] for r in x] for x in blocks]
+    assert all(abs(a[2] - b[2]) < 2e-6 for x, y in zip(joined, blocks) for a, b in zip(x, y))
+    assert retrieval.bm25(docs, asked.where("false")).count() == 0

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def top(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """The first k rows of each group, numbered from 1; Spark limits ranks before the shuffle."""
@@ -37,29 +44,117 @@ def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Numbers of a block of questions' weights (terms x questions) that a task holds, and blocks at most; beyond these, joins.
+BLOCK, MOST_BLOCKS = 4_000_000, 32
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None, weighted: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank from docs (doc_id, tokens) and queries (query_id, tokens); all hits and no rank if k is None.
 
     Statistics are those of all documents; `allowed` (doc_id, and query_id if it differs by question) limits candidates
-    only, after them. weighted counts a query term as often as it stands. Only terms that some query asks for leave the
-    scan of documents; where these are few enough to be broadcast, no token is shuffled before it is counted.
+    only, after them. weighted counts a query term as often as it stands. Null tokens are none.
+
+    Tokens are made once, and what is written of a document is the counts of terms that some question has. Where questions
+    are few (counted first) their weights go to the tasks in blocks, and a task sends on its best k a question, or all hits
+    where each question has its own candidates or k is None. Where they are many, questions and counts meet by joins.
     """
-    asked = queries.select("query_id", F.explode("tokens").alias("term"))
-    asked = if_small(asked.groupBy("query_id", "term").agg((F.count(F.lit(1)) if weighted else F.lit(1)).alias("times")))
-    vocabulary = if_small(asked.select("term").distinct())
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg(F.size("tokens")), F.lit(1.0)).alias("mean_len"))
-    terms = docs.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    tf = terms.join(vocabulary, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    own = bool(allowed is not None and "query_id" in allowed.columns)
+    docs = docs.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg((F.count(F.lit(1)) if weighted else F.lit(1).cast("long")).alias("times"))
+    terms, questions = asked.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
+    if terms > BROADCAST_ROWS or terms * questions > BLOCK * MOST_BLOCKS:
+        hits = _joined_bm25(docs, asked, k1, b, allowed)
+    else:
+        counted = _counted(docs, asked.select("term").distinct())
+        hits = _blocks(counted, asked, max(1, BLOCK // max(1, terms)), None if own else k, k1, b, None if own else allowed)
+        if own:
+            hits = hits.join(allowed, ["query_id", "doc_id"], "left_semi")
+    return hits if k is None else top(hits, k, ["query_id"], [F.desc("score"), F.col("doc_id")])
+
+
+def _joined_bm25(docs: DataFrame, asked: DataFrame, k1: float, b: float, allowed: DataFrame | None) -> DataFrame:
+    """All hits by joins of questions' terms and documents' counts, for any number of questions."""
+    asked, per_query = cut(asked), allowed is not None and "query_id" in allowed.columns
+    lengths = docs.select("doc_id", F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    kept = lengths.join(asked.select("term").distinct().withColumn("known", F.lit(True)), "term", "left").where("term is null or known")
+    tf = cut(kept.groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")))
+    stats = tf.where("term is null").agg(F.sum("tf").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean_len"))
+    tf = tf.where("term is not null")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if allowed is not None and "query_id" not in allowed.columns:
+    if allowed is not None and not per_query:
         tf = tf.join(allowed, "doc_id", "left_semi")
     scored = tf.join(df, "term").join(asked, "term").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     hits = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    if allowed is not None and "query_id" in allowed.columns:
-        hits = hits.join(allowed, ["query_id", "doc_id"], "left_semi")
-    return hits if k is None else top(hits, k, ["query_id"], [F.desc("score"), F.col("doc_id")])
+    return hits.join(allowed, ["query_id", "doc_id"], "left_semi") if per_query else hits
+
+
+def _counted(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, len, terms, counts), written: of each document its length and how often it has each term of a small vocabulary."""
+    words = pa.array(sorted(r["term"] for r in vocabulary.collect()), pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            length = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+            at = pc.index_in(tokens.flatten(), value_set=words)
+            which = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
+            row = np.repeat(np.arange(len(length)), length)[which >= 0]
+            pair, n = np.unique(row * max(1, len(words)) + which[which >= 0], return_counts=True)
+            ends = np.searchsorted(pair, np.arange(len(length) + 1) * max(1, len(words))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (pair % max(1, len(words)), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(length), *lists], ["doc_id", "len", "terms", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return cut(docs.select("doc_id", "tokens").mapInArrow(count, f"doc_id {kind}, len long, terms array<int>, counts array<int>"))
+
+
+def _blocks(counted: DataFrame, asked: DataFrame, most: int, k: int | None, k1: float, b: float, allowed: DataFrame | None) -> DataFrame:
+    """Hits of counted documents, questions in blocks of `most`: a document's weights times the block's terms by questions."""
+    n_docs, mean = counted.agg(F.count(F.lit(1)), F.greatest(F.avg("len"), F.lit(1.0))).first()
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    rows = asked.toArrow()
+    words, term = np.unique(np.asarray(rows.column("term").to_pylist(), dtype=object), return_inverse=True) if rows.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    frequency = np.zeros(len(words))
+    frequency[np.asarray(df.column("term"))] = np.asarray(df.column("df"))
+    idf = np.log(1 + (n_docs - frequency + 0.5) / (frequency + 0.5))
+    ids, query = np.unique(np.asarray(rows.column("query_id").to_pylist(), dtype=object), return_inverse=True) if rows.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    weight = np.asarray(rows.column("times")) * idf[term]
+    source = counted if allowed is None else counted.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    kind, to = (x.schema[c].dataType for x, c in ((asked, "query_id"), (counted, "doc_id")))
+    schema = f"query_id {kind.simpleString()}, doc_id {to.simpleString()}, score double"
+    if not len(ids):
+        return counted.sparkSession.createDataFrame([], schema)
+    out = None
+    for lo in range(0, len(ids), most):
+        mine = (query >= lo) & (query < lo + most)
+        block = np.zeros((len(words), min(most, len(ids) - lo)))
+        block[term[mine], query[mine] - lo] = weight[mine]
+        shared = counted.sparkSession.sparkContext.broadcast((block, ids[lo : lo + most]))
+        hits = source.mapInArrow(lambda batches, shared=shared: _scored(batches, *shared.value, k, k1, b, mean), schema)
+        out = hits if out is None else out.unionByName(hits)
+    return out.withColumn("score", F.round("score", 6)).where("score > 0")
+
+
+def _scored(batches: Iterator[pa.RecordBatch], block: np.ndarray, ids: np.ndarray, k: int | None, k1: float, b: float, mean: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, doc_id, score) of each document and question that share a term; with k, those that may be among a question's
+    best k of the task's batch, ties within rounding included."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            length, ends = np.asarray(part.column("len")), np.asarray(part.column("terms").offsets)
+            terms, counts = (np.asarray(part.column(c).values) for c in ("terms", "counts"))
+            score = np.zeros((part.num_rows, block.shape[1]))
+            for i in range(part.num_rows):
+                t, n = terms[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]
+                if len(t):
+                    score[i] = (n * (k1 + 1) / (n + k1 * (1 - b + b * length[i] / mean))) @ block[t]
+            good = score > 0
+            if k is not None and len(score) > k:
+                good &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k] - 1e-5
+            doc, query = np.nonzero(good)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query].tolist()), part.column("doc_id").take(pa.array(doc)), pa.array(score[doc, query])], ["query_id", "doc_id", "score"])
 
 
 def facing(rows: DataFrame, queries: DataFrame, key: str, most: int = 2000, shares: int = 64) -> DataFrame:
