@@ -28,6 +28,23 @@ def f1_decided_fold(spark, d) -> DataFrame:
     return state.fold_decided(c, told, KEYS).select(*KEYS, "primary_claim", F.size("support").alias("n_claims"), "status", "superseded_by")
 
 
+def branching(c: DataFrame) -> DataFrame:
+    """Decisions on each claim and the five before it of its key, by how far their values lie apart."""
+    by = Window.partitionBy(*KEYS).orderBy("at", "claim_id")
+    before = F.array(*[F.struct(F.lag("claim_id", i).over(by).alias("id"), F.lag("value", i).over(by).alias("v")) for i in range(1, 6)])
+    near = c.withColumn("before", before).select("claim_id", "value", F.explode(F.filter("before", lambda x: x["id"].isNotNull())).alias("x"))
+    gap = F.col("value") - F.col("x.v")
+    how = F.when(gap == 0, "COMPATIBLE").when(F.abs(gap) > 9, "DIFFERENT_TARGET").when(gap > 2, "SUPERSEDES").when(gap < -4, "CORRECTS").otherwise("CONFLICTS_WITH")
+    return near.select(F.col("x.id").alias("existing"), F.col("claim_id").alias("incoming"), how.alias("decision"), F.when(gap < -4, "existing").otherwise("incoming").alias("winner"))
+
+
+def f4_fold_errors(spark, d) -> DataFrame:
+    """The fold of claims whose decisions branch: clusters merge, conflict, retire one another, and some break a rule."""
+    c = _claims(spark, d).withColumn("day", F.dayofmonth("at"))
+    out = state.fold_decided(c, branching(c), KEYS, "day", 5)
+    return out.select(*KEYS, "primary_claim", F.array_join(F.transform("support", lambda x: x.cast("string")), ",").alias("support"), "status", "superseded_by", "error")
+
+
 def f5_relation_windows(spark, d) -> DataFrame:
     """Windows of 8 claims with 2 in common, of keys with two claims or more."""
     by = Window.partitionBy(*KEYS)
@@ -58,6 +75,7 @@ s AS (SELECT *, CASE WHEN superseded_by IS NULL THEN 'current' ELSE 'historical'
 QUERIES = {
     "f2_state_fold": (f2_state_fold, _FOLD + "SELECT * FROM s"),
     "f1_decided_fold": (f1_decided_fold, _FOLD + "SELECT owner, dimension, primary_claim, n_claims::INT AS n_claims, status, superseded_by FROM s"),
+    "f4_fold_errors": (f4_fold_errors, None),
     "f5_relation_windows": (f5_relation_windows, "WITH c AS (SELECT event_id, user_id AS owner, event_type AS dimension, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), x AS (SELECT *, unnest(range(0, n, 6)) AS start FROM c WHERE n >= 2) SELECT owner, dimension, start, count(*) AS n_claims, min(event_id) AS least_claim FROM x WHERE (start = 0 OR start + 2 < n) AND r >= start AND r < start + 8 GROUP BY ALL"),
     "f7_current_states": (f7_current_states, _FOLD + "SELECT owner, dimension, value, primary_claim, n_claims FROM s WHERE status = 'current'"),
     "f8_validity": (f8_validity, _FOLD + "SELECT owner, round(sum(CASE WHEN status = 'current' THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN cluster > 1 THEN 1.5::DOUBLE ELSE 0 END - CASE WHEN superseded_by IS NOT NULL THEN 2.0::DOUBLE ELSE 0 END), 2) AS validity, count(*) AS n_states FROM s GROUP BY owner"),
