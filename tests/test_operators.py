@@ -261,12 +261,6 @@ def test_anchor_scopes(spark):
     assert got == [(1, "entity", "c"), (1, "speaker", "a")]
 
 
-def test_facing_in_blocks(spark):
-    rows, queries = spark.range(50).withColumnRenamed("id", "doc_id"), spark.range(23).withColumnRenamed("id", "query_id")
-    got = {(r["doc_id"], r["query_id"]) for r in retrieval.facing(rows, queries, "doc_id", most=5, shares=4).collect()}
-    assert got == {(a, b) for a in range(50) for b in range(23)} and retrieval.facing(rows, queries, "doc_id", most=5).count() == 50 * 23
-
-
 def test_bm25_by_blocks_and_by_joins_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [f"w{(i * j) % 17}" for j in range(i % 9)]) for i in range(300)] + [(900, []), (901, None)], "doc_id long, tokens array<string>")
     asked = spark.createDataFrame([(q, [f"w{(q + j) % 19}" for j in range(4)]) for q in range(25)] + [(99, ["none"]), (98, [])], "query_id long, tokens array<string>")
@@ -281,3 +275,32 @@ def test_bm25_by_blocks_and_by_joins_agree(spark, monkeypatch):
     assert [[r[:2] for r in x] for x in joined] == [[r[:2] for r in x] for x in blocks]
     assert all(abs(a[2] - b[2]) < 2e-6 for x, y in zip(joined, blocks) for a, b in zip(x, y))
     assert retrieval.bm25(docs, asked.where("false")).count() == 0
+
+
+def test_exact_searches_by_blocks(spark):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    heads = g.normal(size=(12, 8))
+    v = np.concatenate([h + 0.1 * g.normal(size=(40, 8)) for h in heads] + [np.zeros((3, 8)), heads[:1].repeat(5, 0)])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "doc_id long, v array<double>")
+    asked = rows.where("doc_id % 29 = 0 or doc_id in (480, 900)").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in retrieval.dense(rows, asked, 7).collect()}
+    n = np.sqrt((v * v).sum(1))
+    for q in [*range(0, len(v), 29), 480]:
+        s = np.round(v @ v[q] / (n * n[q] + 1e-12), 6)
+        want = sorted((i for i in range(len(v)) if i != q), key=lambda i: (-s[i], i))[:7]
+        assert [got[q, i + 1][0] for i in range(7)] == want
+    w = np.abs(v)
+    events = spark.createDataFrame([(i, x[:4].tolist(), x[4:].tolist()) for i, x in enumerate(w)], "doc_id long, time array<double>, content array<double>")
+    asked = events.where("doc_id % 31 = 0 or doc_id = 481").select(F.col("doc_id").alias("query_id"), F.col("time").alias("q_time"), F.col("content").alias("q_content"))
+    for weights, exact in ((None, None), ({"time": 3.0, "content": 1.0}, None), (None, "time")):
+        out = {}
+        for r in retrieval.vigilance(events, asked, {"time": 0.8, "content": 0.7}, 6, weights, exact).collect():
+            out.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
+        for q in [*range(0, len(w), 31), 481]:
+            m = [np.minimum(w[q][p], w[:, p]).sum(1) / w[q][p].sum() if w[q][p].sum() else (w[:, p].sum(1) == 0) * 1.0 for p in (slice(0, 4), slice(4, 8))]
+            a, b = (3, 1) if weights else (1, 1)
+            mean = np.round((a * np.round(m[0], 6) + b * np.round(m[1], 6)) / (a + b), 7)
+            fits = [i for i in range(len(w)) if round(m[0][i], 6) >= 0.8 and round(m[1][i], 6) >= 0.7 and (not exact or abs(w[q][0] - w[i][0]) < 1e-10)]
+            assert [i for _, i in sorted(out.get(q, []))] == sorted(fits, key=lambda i: (-mean[i], i))[:6]

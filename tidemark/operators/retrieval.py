@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .lineage import cut
 
@@ -157,26 +158,101 @@ def _scored(batches: Iterator[pa.RecordBatch], block: np.ndarray, ids: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(ids[query].tolist()), part.column("doc_id").take(pa.array(doc)), pa.array(score[doc, query])], ["query_id", "doc_id", "score"])
 
 
-def facing(rows: DataFrame, queries: DataFrame, key: str, most: int = 2000, shares: int = 64) -> DataFrame:
-    """Every row beside every query, as equi-joins of blocks: queries in blocks of about `most` (counted first; one block is
-    broadcast), rows in `shares` shares that each block meets, so that no task gets a whole side."""
-    blocks = -(-queries.count() // most)
-    if blocks <= 1:
-        return rows.join(F.broadcast(queries))
-    asked = queries.withColumn("_block", F.expr(f"pmod(xxhash64(query_id), {blocks})")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    dealt = rows.withColumn("_share", F.expr(f"cast(pmod(xxhash64({key}), {shares}) as int)")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return dealt.join(asked, ["_block", "_share"]).drop("_block", "_share")
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-12)
 
 
+#: Pivots of a search at most: a block of vectors gathers around each.
+PIVOTS = 256
+
+
+class _Bounds:
+    """What bounds the cosines of each block of vectors: its pivot and its widest angle from it."""
+
+    def __init__(self, pivots: np.ndarray, found: dict[int, tuple[float, int]]):
+        self.pivots, self.ids = pivots, np.array(sorted(found), np.int32)
+        self.angle = np.array([np.arccos(np.clip(found[i][0], -1, 1)) for i in self.ids])
+        self.sizes = np.array([found[i][1] for i in self.ids])
+
+    def of(self, q: pa.Array) -> np.ndarray:
+        """For each query and block, a cosine that none of the block's vectors exceeds."""
+        near = np.zeros((len(q), len(self.ids)))
+        cosines = _cosines(q, self.pivots)
+        for j, i in enumerate(self.ids):
+            if i >= 0:
+                away = np.arccos(np.clip(cosines[:, i], -1, 1)) - self.angle[j]
+                near[:, j] = np.where(np.isnan(away), 0.0, np.cos(np.maximum(away, 0)))
+        return near + 1e-9
+
+
+class _Around:
+    """Vectors (id, v) in blocks around pivots, written, and the bounds of the blocks.
+
+    Pivots are the vectors of least hash, as many as the square root of their number, at most PIVOTS. Zero vectors have a
+    block of their own. Only pivots and a row a block come to the driver.
+    """
+
+    def __init__(self, rows: DataFrame, id_col: str, v: str):
+        n = rows.count()
+        some = rows.where(F.col(v).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(max(1, min(PIVOTS, int(n**0.5)))).select(v).collect()
+        pivots = np.array([r[0] for r in some], float) if some else np.zeros((1, 1))
+        size = np.sqrt((pivots * pivots).sum(axis=1))
+        self.pivots = (pivots / np.where(size == 0, 1, size)[:, None])[size > 0]
+        schema = StructType([*rows.schema.fields, StructField("_block", IntegerType()), StructField("_near", DoubleType())])
+
+        def place(batches: Iterator[pa.RecordBatch], pivots=self.pivots) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = _cosines(batch.column(v), pivots)
+                block = np.where(np.isnan(near).any(axis=1) | (near.shape[1] == 0), -1, near.argmax(axis=1) if near.shape[1] else -1)
+                best = np.where(block < 0, 0.0, near[np.arange(len(block)), block] if near.shape[1] else 0.0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block.astype(np.int32)), pa.array(best)], [*batch.schema.names, "_block", "_near"])
+
+        self.rows = cut(rows.where(F.col(v).isNotNull()).mapInArrow(place, schema))
+        found = {r["_block"]: (r["near"], r["n"]) for r in self.rows.groupBy("_block").agg(F.min("_near").alias("near"), F.count(F.lit(1)).alias("n")).collect()}
+        self.bounds = _Bounds(self.pivots, found)
+
+
+def _cosines(v: pa.Array, pivots: np.ndarray) -> np.ndarray:
+    """Cosines of vectors with unit pivots; NaN for a zero vector."""
+    rows = np.asarray(v.flatten(), float).reshape(len(v), -1) if len(v) else np.zeros((0, pivots.shape[1] if pivots.ndim > 1 else 0))
+    size = np.sqrt((rows * rows).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (rows @ pivots.T) / size[:, None] if len(pivots) else np.zeros((len(rows), 0))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank by cosine of given vectors (doc_id, v) for queries (query_id, q), in blocks."""
-    pairs = facing(vectors, queries, "doc_id").where(F.col("doc_id") != F.col("query_id"))
-    return top(pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k, ["query_id"], [F.desc("score"), F.col("doc_id")])
+    """query_id, doc_id, score, rank by cosine of given vectors (doc_id, v), all of one length, for queries (query_id, q).
+
+    Exact, without all pairs: a query first meets the blocks of vectors most promising by their bounds, until they hold
+    k others; then only those blocks whose bound reaches the k-th score found there. Queries and vectors meet by block, in
+    joins that adaptive execution may split; null vectors take no part.
+    """
+    around = _Around(vectors.select("doc_id", "v"), "doc_id", "v")
+    asked = queries.select("query_id", "q").where("q is not null")
+    kind, bounds = asked.schema["query_id"].dataType.simpleString(), around.bounds
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = bounds.of(batch.column("q"))
+            order = np.argsort(-bound, axis=1, kind="stable")
+            before = np.cumsum(bounds.sizes[order], axis=1) - bounds.sizes[order]
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, order, before <= k, axis=1)
+            row, at = np.nonzero(np.ones(bound.shape, bool))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), pa.array(bounds.ids[at]), pa.array(bound[row, at]), pa.array(first[row, at])], ["query_id", "_block", "bound", "first"])
+
+    blocks = cut(asked.mapInArrow(promising, f"query_id {kind}, _block int, bound double, first boolean"))
+
+    def met(some: DataFrame) -> DataFrame:
+        pairs = some.select("query_id", "_block").join(asked, "query_id").join(around.rows, "_block").where(F.col("doc_id") != F.col("query_id"))
+        return pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+
+    order = [F.desc("score"), F.col("doc_id")]
+    found = cut(top(met(blocks.where("first")), k, ["query_id"], order))
+    reached = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = blocks.where("not first").join(reached, "query_id", "left").where("least is null or bound >= least - 1e-6")
+    return top(found.drop("rank").unionByName(met(rest)), k, ["query_id"], order)
 
 
 def max_merge(*hits: DataFrame) -> DataFrame:
@@ -210,20 +286,42 @@ def rank_fusion(lexical: DataFrame, dense_: DataFrame, k: int = 60, overlap: flo
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
 
 
-def vigilance(events: DataFrame, queries: DataFrame, channels: dict[str, float], k: int = 10) -> DataFrame:
-    """Events whose match sum(min(q, w)) / sum(abs(q)) reaches every channel's threshold, best mean match first."""
+def vigilance(events: DataFrame, queries: DataFrame, channels: dict[str, float], k: int = 10, weights: dict[str, float] | None = None, exact: str | None = None) -> DataFrame:
+    """Events whose match sum(min(q, w)) / sum(abs(q)) reaches every channel's threshold, best mean match first.
+
+    weights make the mean of channels a weighted one; `exact` names a channel whose first numbers must be equal to 1e-10.
+    Events lie in blocks around pivots of their first channel; a block whose greatest values do not reach a threshold is
+    ruled out for a query before any of its events is met.
+    """
+    names = list(channels)
 
-    def match(c: str) -> Column:
+    def match(q: Column, w: Column) -> Column:
         total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-        q, w = F.col(f"q_{c}"), F.col(c)
         size = total(F.transform(q, lambda v: F.abs(v.cast("double"))))
         return F.when(size == 0, F.when(total(F.transform(w, lambda v: F.abs(v.cast("double")))) == 0, 1.0).otherwise(0.0)).otherwise(total(F.zip_with(q, w, lambda a, b: F.least(a.cast("double"), b.cast("double")))) / size)
 
-    scored = facing(events, queries, "doc_id").select("query_id", "doc_id", *[F.round(match(c), 6).alias(f"m_{c}") for c in channels])
-    good = F.lit(True)
+    rows = _Around(events.select("doc_id", *names), "doc_id", names[0]).rows.drop("_near")
+    # the greatest value of each place of a block's vectors: one row a block and place, combined before the shuffle
+    most = []
+    for c in names:
+        places = rows.select("_block", F.posexplode(c).alias("at", "x")).groupBy("_block", "at").agg(F.max("x").alias("x"))
+        most.append(places.groupBy("_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"].cast("double")).alias(f"most_{c}")))
+    tops = most[0]
+    for more in most[1:]:
+        tops = tops.join(more, "_block")
+    size = lambda c: F.aggregate(F.transform(f"q_{c}", lambda v: F.abs(v.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    may, good = F.lit(True), F.lit(True)
     for c, least in channels.items():
+        may = may & ((size(c) == 0) | (match(F.col(f"q_{c}"), F.col(f"most_{c}")) >= least - 1e-6))
         good = good & (F.col(f"m_{c}") >= least)
-    mean = sum((F.col(f"m_{c}") for c in channels), F.lit(0.0)) / len(channels)
+    tops = cut(tops)  # at most a row for each of PIVOTS + 1 blocks
+    pairs = cut(queries.join(F.broadcast(tops)).where(may).select("query_id", "_block"))
+    faced = pairs.join(queries, "query_id").join(rows, "_block")
+    if exact is not None:
+        faced = faced.where(F.abs(F.get(f"q_{exact}", F.lit(0)).cast("double") - F.get(exact, F.lit(0)).cast("double")) < 1e-10)
+    scored = faced.select("query_id", "doc_id", *[F.round(match(F.col(f"q_{c}"), F.col(c)), 6).alias(f"m_{c}") for c in names])
+    share = weights or dict.fromkeys(names, 1.0)
+    mean = sum((share[c] * F.col(f"m_{c}") for c in names), F.lit(0.0)) / sum(share.values())
     return top(scored.where(good).select("query_id", "doc_id", F.round(mean, 7).alias("score")), k, ["query_id"], [F.desc("score"), F.col("doc_id")])
 
 

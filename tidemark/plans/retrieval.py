@@ -155,6 +155,11 @@ def r20_vigilance(spark, d) -> DataFrame:
     return retrieval.vigilance(*_slots(spark, d), {"time": 0.6, "content": 0.6})
 
 
+def r20_weighted(spark, d) -> DataFrame:
+    """Time counts three times as much as content, and needs less of it."""
+    return retrieval.vigilance(*_slots(spark, d), {"time": 0.5, "content": 0.55}, k=5, weights={"time": 0.75, "content": 0.25})
+
+
 def r21_scaling(spark, d) -> DataFrame:
     v = table(spark, d, "embeddings").withColumns({"lo": F.array_min("embedding").cast("double"), "hi": F.array_max("embedding").cast("double")})
     scaled = F.transform("embedding", lambda x: F.when(F.col("hi") > F.col("lo"), (x.cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5))
@@ -235,6 +240,12 @@ m AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
   round(list_sum(list_transform(list_zip(q.t, e.t), lambda z: least(z[1], z[2]))) / list_sum(q.t), 6) AS mt, round(list_sum(list_transform(list_zip(q.c, e.c), lambda z: least(z[1], z[2]))) / list_sum(q.c), 6) AS mc FROM v q JOIN v e ON q.vec_id % 100 = 0),
 s AS (SELECT query_id, doc_id, round((mt + mc) / 2, 7) AS score FROM m WHERE mt >= 0.6 AND mc >= 0.6)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""),
+    "r20_weighted": (r20_weighted, f"""
+WITH v AS (SELECT vec_id, {_SLOT.format(1, 16)} AS t, {_SLOT.format(17, 32)} AS c FROM embeddings),
+m AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
+  round(list_sum(list_transform(list_zip(q.t, e.t), lambda z: least(z[1], z[2]))) / list_sum(q.t), 6) AS mt, round(list_sum(list_transform(list_zip(q.c, e.c), lambda z: least(z[1], z[2]))) / list_sum(q.c), 6) AS mc FROM v q JOIN v e ON q.vec_id % 100 = 0),
+s AS (SELECT query_id, doc_id, round(0.75 * mt + 0.25 * mc, 7) AS score FROM m WHERE mt >= 0.5 AND mc >= 0.55)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5"""),
     "r21_scaling": (r21_scaling, "WITH v AS (SELECT vec_id, embedding AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings), s AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN hi > lo THEN (x::DOUBLE - lo) / (hi - lo) ELSE 0.5 END) AS l FROM v) SELECT vec_id, round(list_sum(l), 6) AS scaled_sum, round(l[1], 6) AS scaled_first FROM s"),
     "r22_fill_missing": (r22_fill_missing, "WITH e AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN ts::DATE END AS day, CASE WHEN event_type <> 'view' THEN event_type END AS kind FROM events) SELECT event_id, strftime(coalesce(day, (SELECT coalesce((min(day) - INTERVAL 12 MONTH)::DATE, DATE '1900-01-01') FROM e)), '%Y-%m-%d') AS day, coalesce(kind, 'none') AS kind FROM e"),
     "r23_latest": (r23_latest, "SELECT user_id, event_type AS latest, event_id AS latest_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
