@@ -68,7 +68,8 @@ def j5_closure(spark, d) -> DataFrame:
 
 
 def j8_unique_alias(spark, d) -> DataFrame:
-    return graph.unique_alias(table(spark, d, "lineitem").select(F.col("l_partkey").alias("alias"), F.col("l_suppkey").alias("id")))
+    """Orders all of whose lines have one return flag."""
+    return graph.unique_alias(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alias"), F.col("l_returnflag").alias("id")))
 
 
 def j9_binding_gate(spark, d) -> DataFrame:
@@ -88,6 +89,6 @@ QUERIES = {
     "g8_reachable": (g8_reachable, f"WITH RECURSIVE {_NEXT}, r AS (SELECT event_id AS seed, event_id AS id, 0 AS hop FROM events WHERE event_type = 'purchase' UNION ALL SELECT r.seed, nx.dst, r.hop + 1 FROM r JOIN nx ON nx.src = r.id WHERE r.hop < 3) SELECT seed, id, min(hop)::INT AS hop FROM r GROUP BY 1, 2"),
     "j3_one_hop": (j3_one_hop, f"WITH {_NEXT} SELECT event_type, count(*) AS n_edges, min(src) AS least_src FROM nx JOIN events ON event_id = dst GROUP BY 1"),
     "j5_closure": (j5_closure, "SELECT concat_ws(':', user_id::VARCHAR, event_type, strftime(ts, '%Y-%m-%d')) AS state_id FROM events GROUP BY 1 HAVING bool_and(value < 40)"),
-    "j8_unique_alias": (j8_unique_alias, "SELECT l_partkey AS alias, min(l_suppkey) AS id FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1"),
+    "j8_unique_alias": (j8_unique_alias, "SELECT l_orderkey AS alias, min(l_returnflag) AS id FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1"),
     "j9_binding_gate": (j9_binding_gate, "SELECT conv_id, NOT bool_or(role IN ('system', 'tool')) AS blocked FROM conversations GROUP BY 1"),
 }

@@ -58,23 +58,31 @@ def t15_context_lines(spark, d) -> DataFrame:
 
 
 def t16_letters(spark, d) -> DataFrame:
-    said = F.concat(F.lit("The answer is ("), F.substring(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1)), F.lit(")"))
+    """Answers worded by a document's labels."""
+    good, bad = F.col("quality") == 1, F.col("toxic") == 1
+    said = F.when(good & bad, "(C)").when(good, "The ANSWER is: b, I think").when(bad, "d) because of A").otherwise(F.concat(F.lit("Perhaps A or "), F.col("doc_id").cast("string")))
     return table(spark, d, "labels").select("doc_id", T.letter_answer(said).alias("letter"))
 
 
 def t17_id_ranges(spark, d) -> DataFrame:
-    x = F.concat((F.col("event_id") % 50).cast("string"), F.lit(", "), (F.col("event_id") % 9 + 5).cast("string"), F.lit("-"), (F.col("event_id") % 7 + 2).cast("string"), F.lit(", x"))
-    return table(spark, d, "events").select("event_id", F.array_join(F.transform(T.id_ranges(x), lambda i: i.cast("string")), ",").alias("ids"))
+    """Ranges of a line's number, quantity and discount; the return flag is no number."""
+    whole = lambda c: F.col(c).cast("int").cast("string")
+    x = F.concat(whole("l_linenumber"), F.lit(", "), whole("l_quantity"), F.lit(" -"), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit(", "), F.col("l_returnflag"), F.lit("-1, "), whole("l_linenumber"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.transform(T.id_ranges(x), lambda i: i.cast("string")), ",").alias("ids"))
 
 
 def t18_json_fields(spark, d) -> DataFrame:
-    said = F.concat(F.lit("Result: ```json "), F.col("props"), F.lit(" ``` done"))
-    return table(spark, d, "events").select("event_id", F.from_json(F.regexp_extract(said, r"(?s)(\{.*\})", 1), "k int")["k"].alias("k"))
+    """Events told as JSON in a fence: the date alone, places as a list, the entity as an object with a name or in a list."""
+    entity = F.when(F.col("value") < 50, F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("name"))).alias("entity")))).otherwise(F.to_json(F.struct(F.array("event_type", F.lit(" ")).alias("entity"))))
+    rest = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.array(F.concat(F.lit(" u"), F.col("user_id")), F.lit("x")).alias("location"), F.col("props").alias("content")))
+    body = F.concat(F.substr(rest, F.lit(1), F.length(rest) - 1), F.lit(","), F.substr(entity, F.lit(2)))
+    e = T.json_event(F.when(F.col("event_type") == "error", "no event").otherwise(F.concat(F.lit("Result: ```json\n"), body, F.lit("\n``` done"))))
+    return table(spark, d, "events").select("event_id", F.array_join(e["time"], "|").alias("time"), e["spaces"].alias("spaces"), F.array_join(e["entities"], "|").alias("entities"), e["content"].alias("content"))
 
 
 def t19_primary_other(spark, d) -> DataFrame:
-    t = T.plain_tokens(F.col("text"))
-    return table(spark, d, "benchmark").select("item_id", F.get(t, F.lit(0)).alias("entity"), F.greatest(F.size(t) - 1, F.lit(0)).alias("n_others"))
+    p = T.primary_other(T.plain_tokens(F.col("text")))
+    return table(spark, d, "benchmark").select("item_id", p["entity"].alias("entity"), F.array_join(p["others"], " ").alias("others"))
 
 
 def t22_chat_roles(spark, d) -> DataFrame:
@@ -169,10 +177,13 @@ def d4_time_profile(spark, d) -> DataFrame:
 
 
 def d9_date_equivalence(spark, d) -> DataFrame:
-    """Whether a gold date (day, month or year) covers a predicted day."""
-    e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("p"), F.date_format(F.date_add("ts", (F.col("event_id") % 3 * 20).cast("int")), "yyyy-MM-dd").alias("g"))
-    n = F.element_at(F.array(F.lit(10), F.lit(7), F.lit(4)), (F.col("event_id") % 3 + 1).cast("int"))
-    return e.select("event_id", F.col("p").startswith(F.col("g").substr(F.lit(1), n)).alias("same"))
+    """Whether a gold date of an order, told as a day, month or year by its priority, and a line's ship date are one."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    told = lambda layout: F.date_format("o_orderdate", layout)
+    urgent = F.col("o_orderpriority")
+    gold = F.when(urgent < "2", told("d MMMM yyyy")).when(urgent < "3", told("MMMM yyyy")).when(urgent < "4", told("yyyy")).otherwise(told("yyyy-MM-dd"))
+    return rows.select("l_orderkey", "l_linenumber", times.same_date(gold, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("same"))
 
 
 def d10_dialog_order(spark, d) -> DataFrame:
@@ -193,10 +204,15 @@ QUERIES = {
     "t13_sentences": (t13_sentences, r"WITH s AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)))) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(s))::INT AS longest FROM s WHERE s <> '' GROUP BY doc_id"),
     "t14_span_occurrences": (t14_span_occurrences, "SELECT doc_id, ((length(text) - length(replace(text, 'the ', ''))) // 4)::BIGINT AS n, (strpos(text, 'the ') - 1)::BIGINT AS first_at FROM documents"),
     "t15_context_lines": (t15_context_lines, "SELECT conv_id, turn, '[' || role || '] ' || CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS line FROM conversations"),
-    "t16_letters": (t16_letters, "SELECT doc_id, substring('ABCD', (doc_id % 4 + 1)::INT, 1) AS letter FROM labels"),
-    "t17_id_ranges": (t17_id_ranges, "WITH e AS (SELECT event_id, event_id % 9 + 5 AS a, event_id % 7 + 2 AS b FROM events) SELECT event_id, array_to_string(list_concat([event_id % 50], range(least(a, b), greatest(a, b) + 1)), ',') AS ids FROM e"),
-    "t18_json_fields": (t18_json_fields, "SELECT event_id, (props::JSON ->> 'k')::INT AS k FROM events"),
-    "t19_primary_other": (t19_primary_other, f"WITH t AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark) SELECT item_id, t[1] AS entity, greatest(len(t) - 1, 0)::INT AS n_others FROM t"),
+    "t16_letters": (t16_letters, r"""
+WITH x AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN '(C)' WHEN quality = 1 THEN 'The ANSWER is: b, I think' WHEN toxic = 1 THEN 'd) because of A' ELSE 'Perhaps A or ' || doc_id END AS t FROM labels)
+SELECT doc_id, coalesce(upper(nullif(regexp_extract(t, '^\(?([A-Da-d])\)?[.:)]?$', 1), '')), upper(nullif(regexp_extract(t, '(?i)answer\s*(?:is|:)\s*\(?([A-D])\b', 1), '')), upper(nullif(regexp_extract(t, '^\(?([A-Da-d])[.):]\s', 1), '')), upper(nullif(regexp_extract(t, '\b([A-D])\b', 1), '')), t) AS letter FROM x"""),
+    "t17_id_ranges": (t17_id_ranges, r"""
+WITH x AS (SELECT l_orderkey, l_linenumber, string_split(l_linenumber::INT || ', ' || trunc(l_quantity)::INT || ' -' || round(l_discount * 100)::INT || ', ' || l_returnflag || '-1, ' || l_linenumber::INT, ',') AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, array_to_string(flatten(list_transform(list_filter(p, lambda a: regexp_matches(trim(a), '^[0-9]+(\s*-\s*[0-9]+)?$')),
+  lambda a: range(least(regexp_extract(a, '([0-9]+)', 1)::INT, regexp_extract(a, '([0-9]+)\s*$', 1)::INT), greatest(regexp_extract(a, '([0-9]+)', 1)::INT, regexp_extract(a, '([0-9]+)\s*$', 1)::INT) + 1))), ',') AS ids FROM x"""),
+    "t18_json_fields": (t18_json_fields, "SELECT event_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS \"time\", CASE WHEN event_type <> 'error' THEN 'u' || user_id END AS spaces, CASE WHEN event_type <> 'error' THEN event_type END AS entities, CASE WHEN event_type <> 'error' THEN trim(props) END AS content FROM events"),
+    "t19_primary_other": (t19_primary_other, f"WITH t AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark) SELECT item_id, t[1] AS entity, array_to_string(t[2:], ' ') AS others FROM t"),
     "t22_chat_roles": (t22_chat_roles, "WITH f AS (SELECT conv_id, arg_min(role, turn) AS a FROM conversations GROUP BY 1) SELECT c.conv_id, turn, CASE WHEN role = a THEN 'user' ELSE 'assistant' END AS chat_role FROM conversations c JOIN f USING (conv_id)"),
     "c4_claim_dedup": (c4_claim_dedup, "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, trunc(value)::INT ORDER BY ts, event_id) = 1"),
     "c9_aliases": (c9_aliases, f"WITH n AS (SELECT DISTINCT array_to_string({_TOK.format('text')}[1:3], ' ') AS id FROM benchmark), p AS (SELECT split_part(id, ' ', 1) AS alias, id FROM n WHERE id <> '') SELECT alias, max(id) AS name FROM p GROUP BY alias HAVING count(DISTINCT id) = 1"),
@@ -217,6 +233,9 @@ WITH e AS (SELECT event_id, ts::DATE AS a, event_id % 7 AS k FROM events), x AS
       WHEN 4 THEN a - ((isodow(a)) % 7 + 1)::INT - 7 WHEN 5 THEN a + 7 END AS s FROM e WHERE k < 6)
 SELECT event_id, expression, strftime(s, '%Y-%m-%d') AS start_day, strftime(CASE k WHEN 2 THEN last_day(s) WHEN 3 THEN a WHEN 4 THEN s + 1 ELSE s END, '%Y-%m-%d') AS end_day FROM x"""),
     "d4_time_profile": (d4_time_profile, "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS roles, count(DISTINCT ts::DATE) AS n_days FROM events GROUP BY 1"),
-    "d9_date_equivalence": (d9_date_equivalence, "SELECT event_id, starts_with(strftime(ts, '%Y-%m-%d'), substring(strftime(ts::DATE + (event_id % 3 * 20)::INT, '%Y-%m-%d'), 1, [10, 7, 4][event_id % 3 + 1])) AS same FROM events"),
+    "d9_date_equivalence": (d9_date_equivalence, r"""
+WITH x AS (SELECT l_orderkey, l_linenumber, o_orderpriority AS p, o_orderdate::DATE AS g, l_shipdate::DATE AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+y AS (SELECT *, [s, CASE WHEN day(s) <= 12 THEN make_date(year(s), day(s), month(s)) ELSE s END] AS ss, CASE WHEN p >= '4' AND day(g) <= 12 THEN [g, make_date(year(g), day(g), month(g))] ELSE [g] END AS gs FROM x)
+SELECT l_orderkey, l_linenumber, CASE WHEN p >= '2' AND p < '3' THEN list_contains(list_transform(ss, lambda a: date_trunc('month', a)), date_trunc('month', g)) WHEN p >= '3' AND p < '4' THEN year(s) = year(g) ELSE list_has_any(gs, ss) END AS same FROM y"""),
     "d10_dialog_order": (d10_dialog_order, "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 1000000000 ELSE conv_id END::INT AS session, CASE WHEN turn % 5 = 4 THEN 1000000000 ELSE turn END::INT AS number FROM conversations"),
 }
