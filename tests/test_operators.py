@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
@@ -201,8 +202,8 @@ def test_judgments(spark):
     }
     got = {(r["level"], r["value"]): (r["n"], r["score"]) for r in answers.rescored_summary(out).collect()}
     assert got["overall", None] == (8, 0.5) and got["non_adversarial", None] == (6, 0.5) and got["sample", "s2"] == (2, 0.0) and got["type", "adversarial"] == (2, 0.5) and got["type", None] == (1, 1.0)
-    with pytest.raises(ValueError, match="no label"):
-        answers.rescored(df, labels(("g", "equivalent")), labels())
+    with pytest.raises(PySparkException, match="no label"):
+        answers.rescored(df, labels(("g", "equivalent")), labels()).collect()
     assert one(spark, answers.judgment_key(F.lit("a"), F.lit(None))) != one(spark, answers.judgment_key(F.lit("a"), F.lit("")))
 
 

@@ -4,6 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 from tidemark import plans
+from tidemark.functions.text import ruled_sentences
 from tidemark.operators import policies
 from tidemark.sources import records
 
@@ -111,3 +112,56 @@ def test_sentences_hold_the_whole_text(spark):
     out = plans.queries()["t13_ruled_sentences"](spark, SF).orderBy("doc_id", "ordinal").toPandas().groupby("doc_id")["sentence"].apply(" ".join)
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t")).toPandas().set_index("doc_id")["t"]
     assert (out.str.replace(" ", "") == texts.loc[out.index].str.replace(" ", "")).all()
+
+
+def test_packing_falls_back_to_ranked_events(spark):
+    units = spark.createDataFrame([(1, "claim", "a", 1), (1, "claim", "gone", 2), (2, "claim", "gone", 1), (3, "claim", "a", 1), (4, "topic", "x", 1)], "query_id long, kind string, id string, ordinal int")
+    proofs = spark.createDataFrame([(q, "claim", "a", "a", "ea", True) for q in (1, 3)] + [(q, "claim", "gone", "gone", None, False) for q in (1, 2)], "query_id long, kind string, id string, claim_id string, event_id string, known boolean")
+    links = spark.createDataFrame([], "query_id long, src string, dst string, event_id string")
+    ranked = spark.createDataFrame([(q, f"e{i}", i) for q in (1, 2, 3, 4) for i in (1, 2, 3)], "query_id long, event_id string, rank int")
+    run = lambda **kw: {q: sorted(x[1:] for x in got if x[0] == q) for got in [rows(policies.packed_evidence(units, proofs, links, ranked, claims=2, states=1, events=2, **kw), "query_id", "kind", "place", "id", "status")] for q in (1, 2, 3, 4)}
+    ranks = [("event", 1, "e1"), ("event", 2, "e2")]
+    told = lambda xs, status: [(*x, status) for x in xs]
+    assert run() == {1: told([("claim", 1, "a"), ("event", 1, "ea"), ("event", 2, "e1")], "valid"), 2: told(ranks, "valid"), 3: told([("claim", 1, "a"), ("event", 1, "ea"), ("event", 2, "e1")], "valid"), 4: []}
+    assert run(partial=False, fill=False, fallback=1) == {1: told(ranks[:1], "fallback"), 2: told(ranks[:1], "fallback"), 3: told([("claim", 1, "a"), ("event", 1, "ea")], "valid"), 4: told(ranks[:1], "fallback")}
+    assert run(partial=False)[1] == [] and run(fallback=3)[4] == told(ranks, "fallback")
+
+
+def _simple_sentences(text):
+    """The rule of ruled sentences, told letter by letter: a mark, closing quotes and a space may end a sentence."""
+    import re
+
+    from tidemark.functions.text import ABBREVIATIONS
+
+    bare = re.sub(r"\s+", " ", text or "", flags=re.ASCII).strip(" ")
+    out, start, at = [], 0, 0
+    while at < len(bare):
+        if bare[at] not in ".!?":
+            at += 1
+            continue
+        first = at
+        while at < len(bare) and bare[at] in ".!?":
+            at += 1
+        marks = bare[first:at]
+        while at < len(bare) and bare[at] in "\"”’'":
+            at += 1
+        if at < len(bare) and bare[at] != " ":
+            continue
+        rest = bare[at:].lstrip(" ")
+        word = re.search(r"([A-Za-z]+(?:\.[A-Za-z]+)*)$", bare[start:first])
+        word = word.group(1).lower() if word else ""
+        goes_on = marks.startswith("...") or (marks.startswith(".") and (word in ABBREVIATIONS or len(word) == 1)) or bool(rest) and rest[0].islower()
+        said = bare[start:at]
+        if rest and not goes_on and said.count('"') % 2 == 0 and said.count("“") <= said.count("”"):
+            out.append(said.strip(" "))
+            start = at
+    return [x for x in [*out, bare[start:].strip(" ")] if x]
+
+
+def test_ruled_sentences_by_hand_and_on_documents(spark):
+    texts = ["Dr. Who met J. R. Smith. He left... then came back! \"Go. Now.\" she said. Done", "“One. Two.” Three?! Four.", "e.g. this. that", "", None, "A.B. went. x", "No end", "What?Yes. No."]
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + texts
+    df = spark.createDataFrame(list(enumerate(docs)), "i long, text string")
+    got = {r["i"]: r["s"] for r in df.select("i", ruled_sentences(F.col("text")).alias("s")).collect()}
+    wrong = [i for i, t in enumerate(docs) if got[i] != _simple_sentences(t)]
+    assert not wrong, (docs[wrong[0]][:200], got[wrong[0]][:4], _simple_sentences(docs[wrong[0]])[:4])

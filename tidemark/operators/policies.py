@@ -132,27 +132,33 @@ def evidence_units(events: DataFrame, claims: DataFrame, support: DataFrame, cla
     return first.select("query_id", "kind", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "kind", "id")).alias("ordinal"))
 
 
-def packed_evidence(units: DataFrame, proofs: DataFrame, links: DataFrame, ranked: DataFrame, *, claims: int, states: int, events: int) -> DataFrame:
-    """(query_id, kind, id, place): the evidence of each question within its limits of claims, states and events.
+def packed_evidence(units: DataFrame, proofs: DataFrame, links: DataFrame, ranked: DataFrame, *, claims: int, states: int, events: int, partial: bool = True, fill: bool = True, fallback: int = 0) -> DataFrame:
+    """(query_id, kind, id, place, status): the evidence of each question within its limits of claims, states and events.
 
     units (query_id, kind, id, ordinal) are tried in order. A unit brings its proof: proofs (query_id, kind, id, claim_id,
     event_id, of_state, known) has a row for each claim it needs with the claim's event, and rows without a claim for events
     that a state needs (of_state); links (query_id, src, dst, event_id) add an event where both claims are in. A unit is
-    taken if nothing it needs is unknown and all that has been taken, with it, stays within the limits. Ranked events
-    (query_id, event_id, rank) then fill the events up to their limit. Ids are compared as strings. One question's units
-    and proofs, a candidate list, form a group; the closure before is native.
+    taken if nothing it needs is unknown and all that has been taken, with it, stays within the limits. With `fill`, ranked
+    events (query_id, event_id, rank) then fill the events up to their limit.
+
+    A selection is `valid` if, without `partial`, every unit was taken and there is one, or, with it, if a unit was taken or
+    events can fill. Of a selection that is not, nothing stays (`empty`), or with `fallback` its first so many ranked events
+    (`fallback`). Units of a kind other than claim and state make a selection invalid. Ids are compared as strings. One
+    question's units and proofs, a candidate list, form a group; the closure before is native.
     """
     text = lambda *cs: [F.col(c).cast("string").alias(c) for c in cs]
     need = proofs.groupBy("query_id", "kind", F.col("id").cast("string").alias("id")).agg(F.array_sort(F.collect_set(F.struct("claim_id", "event_id", "known").cast("struct<claim_id: string, event_id: string, known: boolean>"))).alias("need"))
     due = units.select("query_id", "kind", *text("id"), "ordinal").join(need, ["query_id", "kind", "id"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "id", "need"))).alias("units"))
     near = links.select("query_id", F.struct(*text("src", "dst", "event_id")).alias("l")).groupBy("query_id").agg(F.array_sort(F.collect_set("l")).alias("links"))
-    fill = top(ranked, events, ["query_id"], [F.col("rank"), F.col("event_id")], "_r").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), *text("event_id")))).alias("fill"))
+    spare_events = top(ranked, max(2 * events, fallback), ["query_id"], [F.col("rank"), F.col("event_id")], "_r").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), *text("event_id")))).alias("fill"))
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for query, units_, links_, fill_ in rows[["query_id", "units", "links", "fill"]].itertuples(index=False):
             got = {"claim": [], "state": [], "event": []}
+            n_units, n_taken, odd = 0, 0, False
             for unit in units_ if units_ is not None else ():
+                n_units, odd = n_units + 1, odd or unit["kind"] not in ("claim", "state")
                 new = {k: list(v) for k, v in got.items()}
                 add = lambda kind, x, new=new: new[kind].append(x) if x is not None and x not in new[kind] else None
                 needs = list(unit["need"]) if unit["need"] is not None else []
@@ -167,16 +173,20 @@ def packed_evidence(units: DataFrame, proofs: DataFrame, links: DataFrame, ranke
                     if link["src"] in new["claim"] and link["dst"] in new["claim"]:
                         add("event", link["event_id"])
                 if len(new["claim"]) <= claims and len(new["state"]) <= states and len(new["event"]) <= events:
-                    got = new
-            for f in fill_ if fill_ is not None else ():
-                if len(got["event"]) < events and f["event_id"] not in got["event"]:
-                    got["event"].append(f["event_id"])
-            out += [(query, kind, x, i) for kind, xs in got.items() for i, x in enumerate(xs, 1)]
-        return pd.DataFrame(out, columns=["query_id", "kind", "id", "place"])
-
-    asked = due.join(near, "query_id", "left").join(fill, "query_id", "full")
+                    got, n_taken = new, n_taken + 1
+            spare = [f["event_id"] for f in fill_] if fill_ is not None else []
+            valid = not odd and (n_taken > 0 or (fill and bool(spare)) if partial else 0 < n_taken == n_units)
+            status = "valid" if valid else "fallback" if fallback else "empty"
+            if not valid:
+                got = {"claim": [], "state": [], "event": spare[:fallback][:events]}
+            elif fill:
+                got["event"] += [e for e in spare if e not in got["event"]][: max(0, events - len(got["event"]))]
+            out += [(query, kind, x, i, status) for kind, xs in got.items() for i, x in enumerate(xs, 1)]
+        return pd.DataFrame(out, columns=["query_id", "kind", "id", "place", "status"])
+
+    asked = due.join(near, "query_id", "left").join(spare_events, "query_id", "full")
     kind = asked.schema["query_id"].dataType.simpleString()
-    return asked.mapInPandas(lambda parts: map(take, parts), f"query_id {kind}, kind string, id string, place int")
+    return asked.mapInPandas(lambda parts: map(take, parts), f"query_id {kind}, kind string, id string, place int, status string")
 
 
 def scope_coverage(related: DataFrame, candidates: DataFrame, seeds: DataFrame, doc_scopes: DataFrame, terms: DataFrame, most: int = 16) -> DataFrame:
