@@ -23,8 +23,11 @@ from .common import cut, slices
 SPACE = "▁"
 #: A word of the lattice: no piece crosses its ends, as none holds a line break or a space mark after another character.
 WORD_CHARS = 24
-#: A worker's words met so far outside the dictionary, by model; emptied when full.
-_RARE: dict[str, dict[str, bytes]] = {}
+#: A worker's words met so far outside the dictionary, by model; emptied when they and their ids fill so many bytes.
+_RARE: dict[str, dict[bytes, bytes]] = {}
+RARE_BYTES = 24 << 20
+#: Bytes of text whose words are counted, and looked up, together.
+COUNTED, LOOKED_UP = 1 << 22, 1 << 21
 
 
 @lru_cache(maxsize=4)
@@ -223,6 +226,11 @@ def _packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
+def _weight(word: tuple[bytes, bytes]) -> int:
+    """Bytes that a word and its ids take in a dictionary, about."""
+    return len(word[0]) + len(word[1]) + 170
+
+
 def _split(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of normalised texts in order, as places in a table of the distinct ones, and the text of each.
 
@@ -276,7 +284,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 23):
+            for part in slices(batch, "text", COUNTED):
                 found, _ = _split(part.column("text"))
                 n = np.bincount(np.asarray(found.indices), minlength=len(found.dictionary))
                 yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(n, pa.int64())], ["word", "n"])
@@ -296,17 +304,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 return [_packed(_path_one(w, score, ids, byte_ids, longest)) for w in texts]
             return [got if got is not None else _packed(_merge_one(w, score, ids, byte_ids)) for w, got in zip(texts, _merge_many(texts, model_path))]
 
+        held = sum(map(_weight, rare.items()))
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
+            for part in slices(batch, "text", LOOKED_UP):
                 found, row = _split(part.column("text"))
                 every = found.dictionary.to_pylist()
                 each = [told.get(w) or rare.get(w) for w in every]
                 new = [i for i, x in enumerate(each) if x is None]
-                if len(rare) + len(new) > 300_000:
-                    rare.clear()
-                for lo in range(0, len(new), 20_000):
-                    for i, x in zip(new[lo : lo + 20_000], fold([every[i] for i in new[lo : lo + 20_000]])):
+                for lo in range(0, len(new), 10_000):
+                    for i, x in zip(new[lo : lo + 10_000], fold([every[i] for i in new[lo : lo + 10_000]])):
                         each[i] = rare[every[i]] = x
+                        held += _weight((every[i], x))
+                    if held > RARE_BYTES:
+                        rare.clear()
+                        held = 0
                 flat = np.frombuffer(b"".join(each), np.int32)
                 size = np.array([len(x) // 4 for x in each], np.int64)
                 head = np.cumsum(size) - size
@@ -316,6 +327,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 sizes = np.bincount(row, weights=n, minlength=part.num_rows).astype(np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat[at]))], ["id", "n_tokens", "ids"])
+                del found, every, each, flat, at, part
+            pa.default_memory_pool().release_unused()
 
     schema = own.select("id").withColumn("n_tokens", F.lit(0).cast("long")).withColumn("ids", F.array(F.lit(0))).schema
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -350,6 +363,7 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", text_col: s
                     texts.append(text[1:] if text[:1] == " " else text)
                 arrays = [part.column(c) for c in part.schema.names if c != text_col]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())], [*[c for c in part.schema.names if c != text_col], text_col])
+            pa.default_memory_pool().release_unused()
 
     rest = tokens.drop(text_col)
     return rest.mapInArrow(run, rest.withColumn(text_col, F.lit(None).cast("string")).schema)
