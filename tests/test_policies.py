@@ -165,3 +165,34 @@ def test_ruled_sentences_by_hand_and_on_documents(spark):
     got = {r["i"]: r["s"] for r in df.select("i", ruled_sentences(F.col("text")).alias("s")).collect()}
     wrong = [i for i, t in enumerate(docs) if got[i] != _simple_sentences(t)]
     assert not wrong, (docs[wrong[0]][:200], got[wrong[0]][:4], _simple_sentences(docs[wrong[0]])[:4])
+
+
+def test_policies_fuse_hits_by_vectors(spark):
+    hits = spark.createDataFrame([(1, "a", 5.0), (1, "b", 4.0), (2, "a", 1.0)], "query_id long, doc_id string, score double")
+    dense = spark.createDataFrame([(1, "b", 0.9), (1, "c", 0.8), (3, "c", 0.7)], "query_id long, doc_id string, score double")
+    scopes = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y")], "doc_id string, scope_id string")
+    routed = spark.createDataFrame([(1, "y"), (2, "y"), (3, "y")], "query_id long, scope_id string")
+    roles = spark.createDataFrame([("a", ["r"]), ("b", ["r"]), ("c", [])], "doc_id string, roles array<string>")
+    asked = spark.createDataFrame([(1, ["r"]), (2, []), (3, ["s", "t", "r"])], "query_id long, asked array<string>")
+    near = spark.createDataFrame([("c", "n")], "src string, dst string")
+    event = lambda policy: rows(policies.event_policy(policy, hits, scopes, routed, roles, asked, near, dense=dense), "query_id", "rank", "doc_id")
+    assert event("event-rag") == [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (2, 1, "a"), (3, 1, "c")]
+    assert event("scope-event") == [(1, 1, "b"), (1, 2, "c"), (3, 1, "c")]
+    assert event("sts") == [(1, 1, "b"), (1, 2, "c"), (1, 3, "n"), (3, 1, "c"), (3, 2, "n")]
+    claims = spark.createDataFrame([(c, f"e{c}", r, None, None) for c, r in (("a", ["r"]), ("b", ["r"]), ("c", []))], "claim_id string, event_id string, roles array<string>, subject string, dimension string")
+    links, states = spark.createDataFrame([("b", "c")], "src string, dst string"), spark.createDataFrame([("s", "b"), ("s", "c"), ("t", "a")], "state_id string, claim_id string")
+    claim = lambda policy, **kw: policies.claim_policy(policy, claims, hits, scopes.withColumnRenamed("doc_id", "claim_id"), routed, asked, links, states, dense=dense, **kw)
+    kept, none = claim("claim")
+    assert rows(kept, "query_id", "rank", "claim_id") == [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (2, 1, "a"), (3, 1, "c")] and none.count() == 0
+    kept, _ = claim("scope-claim-time", backoff=1)
+    # a is the best of all scopes by words; of question 3 no claim has one of the first two roles asked for
+    assert rows(kept, "query_id", "rank", "claim_id") == [(1, 1, "b"), (1, 2, "a"), (2, 1, "a")]
+    kept, whole = claim("scope-claim-time-state", backoff=1, seeds=1)
+    assert rows(kept, "query_id", "rank", "claim_id") == [(1, 1, "b"), (1, 2, "c"), (2, 1, "a")] and rows(whole, "query_id", "state_id") == [(1, "s"), (2, "t")]
+
+
+def test_states_of_picks_in_rounds(spark):
+    picks = spark.createDataFrame([(1, "e2", 1), (1, "e1", 2), (2, "e9", 1)], "query_id long, event_id string, pick int")
+    claims = spark.createDataFrame([("c1", "e1"), ("c2", "e2"), ("c3", "e2")], "claim_id string, event_id string")
+    support = spark.createDataFrame([("s1", "c1"), ("s2", "c2"), ("s3", "c3"), ("s2", "c1"), ("s4", "c2")], "state_id string, claim_id string")
+    assert rows(policies.coverage_states(picks, claims, support), "query_id", "place", "state_id") == [(1, 1, "s2"), (1, 2, "s1"), (1, 3, "s3"), (1, 4, "s4")]

@@ -201,6 +201,16 @@ def scope_coverage(related: DataFrame, candidates: DataFrame, seeds: DataFrame,
     return diversified(first.unionByName(rest).join(terms.select("doc_id", "terms"), "doc_id"), most)
 
 
+def coverage_states(picks: DataFrame, claims: DataFrame, support: DataFrame) -> DataFrame:
+    """(query_id, state_id, place): states of picked events (query_id, event_id, pick), dealt in rounds: the first state of
+    each event in the order of picks, then the second of each; a state that several hold comes where it comes first.
+    claims: claim_id, event_id; support: state_id, claim_id."""
+    held = picks.select("query_id", "event_id", "pick").join(claims.select("claim_id", "event_id"), "event_id").join(support.select("state_id", "claim_id"), "claim_id").select("query_id", "pick", "state_id").distinct()
+    deep = held.withColumn("depth", F.row_number().over(Window.partitionBy("query_id", "pick").orderBy("state_id")))
+    first = deep.groupBy("query_id", "state_id").agg(F.min(F.struct("depth", "pick")).alias("at"))
+    return first.select("query_id", "state_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "state_id")).alias("place"))
+
+
 def scoped_expansion(seeds: DataFrame, claims: DataFrame, relations: DataFrame, states: DataFrame, routed: DataFrame, event_scopes: DataFrame) -> DataFrame:
     """(query_id, kind, id): all claims, states and events that a question's seed events (query_id, event_id) reach.
 

@@ -90,6 +90,14 @@ def j2_scope_coverage(spark, d) -> DataFrame:
     return policies.scope_coverage(related, best, seeds, g["scopes"].withColumnRenamed("claim_id", "doc_id"), terms, 8)
 
 
+def j2_coverage_states(spark, d) -> DataFrame:
+    """States of the first three turns of each dialogue as picked events, by rounds: a state for each word of a turn."""
+    t = table(spark, d, "conversations").where("turn < 3")
+    picks = t.select(F.col("conv_id").alias("query_id"), F.concat_ws(":", "conv_id", "turn").alias("event_id"), (F.col("turn") + 1).alias("pick"))
+    words = t.select(F.concat_ws(":", "conv_id", "turn").alias("event_id"), F.explode(F.array_distinct(plain_tokens(F.col("text")))).alias("state_id")).withColumn("claim_id", F.concat_ws(":", "event_id", "state_id"))
+    return policies.coverage_states(picks, words.select("claim_id", "event_id"), words.select("state_id", "claim_id"))
+
+
 def j4_scoped_expansion(spark, d) -> DataFrame:
     """Events above 100 as seeds of their user; claims lead to the event before by id two times of three and to states by user and type; even types are routed."""
     e = table(spark, d, "events")
@@ -180,6 +188,11 @@ QUERIES = {
     "r12_event_policies": (r12_event_policies, _R12),
     "e1_packing": (e1_packing, None),
     "j2_scope_coverage": (j2_scope_coverage, None),
+    "j2_coverage_states": (j2_coverage_states, r"""
+WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS state_id FROM conversations WHERE turn < 3),
+x AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY state_id) AS depth FROM w),
+f AS (SELECT conv_id, state_id, min((depth, turn)) AS at_ FROM x GROUP BY 1, 2)
+SELECT conv_id AS query_id, state_id, row_number() OVER (PARTITION BY conv_id ORDER BY at_, state_id)::INT AS place FROM f"""),
     "j4_scoped_expansion": (j4_scoped_expansion, _J4),
     "t13_ruled_sentences": (t13_ruled_sentences, None),
     "m17_judgment": (m17_judgment, None),
