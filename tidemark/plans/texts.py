@@ -82,7 +82,7 @@ def t18_json_fields(spark, d) -> DataFrame:
 
 def t19_primary_other(spark, d) -> DataFrame:
     p = T.primary_other(T.plain_tokens(F.col("text")))
-    return table(spark, d, "benchmark").select("item_id", p["entity"].alias("entity"), F.array_join(p["others"], " ").alias("others"))
+    return table(spark, d, "benchmark").select("item_id", p["entity"].alias("entity"), F.size(p["others"]).alias("n_others"), F.array_join(p["others"], " ").alias("others"))
 
 
 def t22_chat_roles(spark, d) -> DataFrame:
@@ -212,7 +212,7 @@ WITH x AS (SELECT l_orderkey, l_linenumber, string_split(l_linenumber::INT || ',
 SELECT l_orderkey, l_linenumber, array_to_string(flatten(list_transform(list_filter(p, lambda a: regexp_matches(trim(a), '^[0-9]+(\s*-\s*[0-9]+)?$')),
   lambda a: range(least(regexp_extract(a, '([0-9]+)', 1)::INT, regexp_extract(a, '([0-9]+)\s*$', 1)::INT), greatest(regexp_extract(a, '([0-9]+)', 1)::INT, regexp_extract(a, '([0-9]+)\s*$', 1)::INT) + 1))), ',') AS ids FROM x"""),
     "t18_json_fields": (t18_json_fields, "SELECT event_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS \"time\", CASE WHEN event_type <> 'error' THEN 'u' || user_id END AS spaces, CASE WHEN event_type <> 'error' THEN event_type END AS entities, CASE WHEN event_type <> 'error' THEN trim(props) END AS content FROM events"),
-    "t19_primary_other": (t19_primary_other, f"WITH t AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark) SELECT item_id, t[1] AS entity, array_to_string(t[2:], ' ') AS others FROM t"),
+    "t19_primary_other": (t19_primary_other, f"WITH t AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark) SELECT item_id, t[1] AS entity, greatest(len(t) - 1, 0)::INT AS n_others, array_to_string(t[2:], ' ') AS others FROM t"),
     "t22_chat_roles": (t22_chat_roles, "WITH f AS (SELECT conv_id, arg_min(role, turn) AS a FROM conversations GROUP BY 1) SELECT c.conv_id, turn, CASE WHEN role = a THEN 'user' ELSE 'assistant' END AS chat_role FROM conversations c JOIN f USING (conv_id)"),
     "c4_claim_dedup": (c4_claim_dedup, "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, trunc(value)::INT ORDER BY ts, event_id) = 1"),
     "c9_aliases": (c9_aliases, f"WITH n AS (SELECT DISTINCT array_to_string({_TOK.format('text')}[1:3], ' ') AS id FROM benchmark), p AS (SELECT split_part(id, ' ', 1) AS alias, id FROM n WHERE id <> '') SELECT alias, max(id) AS name FROM p GROUP BY alias HAVING count(DISTINCT id) = 1"),
