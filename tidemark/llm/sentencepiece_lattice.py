@@ -25,9 +25,9 @@ SPACE = "▁"
 WORD_CHARS = 24
 #: A worker's words met so far outside the dictionary, by model; emptied when they and their ids fill so many bytes.
 _RARE: dict[str, dict[bytes, bytes]] = {}
-RARE_BYTES = 24 << 20
+RARE_BYTES = 12 << 20
 #: Bytes of text whose words are counted, and looked up, together.
-COUNTED, LOOKED_UP = 1 << 22, 1 << 21
+COUNTED, LOOKED_UP = 1 << 21, 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -311,8 +311,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 every = found.dictionary.to_pylist()
                 each = [told.get(w) or rare.get(w) for w in every]
                 new = [i for i, x in enumerate(each) if x is None]
-                for lo in range(0, len(new), 10_000):
-                    for i, x in zip(new[lo : lo + 10_000], fold([every[i] for i in new[lo : lo + 10_000]])):
+                for lo in range(0, len(new), 4_000):
+                    for i, x in zip(new[lo : lo + 4_000], fold([every[i] for i in new[lo : lo + 4_000]])):
                         each[i] = rare[every[i]] = x
                         held += _weight((every[i], x))
                     if held > RARE_BYTES:
