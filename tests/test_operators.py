@@ -262,6 +262,13 @@ def test_anchor_scopes(spark):
     assert got == [(1, "entity", "c"), (1, "speaker", "a")]
 
 
+def test_a_name_of_many_scopes_meets_questions_as_one_row(spark):
+    scopes = spark.range(500).select(F.format_string("s%03d", "id").alias("scope_id"), F.lit("speaker").alias("scope_type"), F.lit("Ann").alias("value"))
+    out = retrieval.anchor_scopes(spark.range(50).select(F.col("id").alias("query_id"), F.lit("ann").alias("entity")), scopes)
+    assert [tuple(r) for r in out.orderBy("query_id").collect()] == [(q, "speaker", "ann", "s000") for q in range(50)]
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
 def test_bm25_by_blocks_and_by_joins_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [f"w{(i * j) % 17}" for j in range(i % 9)]) for i in range(300)] + [(900, []), (901, None)], "doc_id long, tokens array<string>")
     asked = spark.createDataFrame([(q, [f"w{(q + j) % 19}" for j in range(4)]) for q in range(25)] + [(99, ["none"]), (98, [])], "query_id long, tokens array<string>")
