@@ -312,3 +312,29 @@ def test_exact_searches_by_blocks(spark):
             mean = np.round((a * np.round(m[0], 6) + b * np.round(m[1], 6)) / (a + b), 7)
             fits = [i for i in range(len(w)) if round(m[0][i], 6) >= 0.8 and round(m[1][i], 6) >= 0.7 and (not exact or abs(w[q][0] - w[i][0]) < 1e-10)]
             assert [i for _, i in sorted(out.get(q, []))] == sorted(fits, key=lambda i: (-mean[i], i))[:6]
+
+
+def test_searches_by_parts_with_copies_and_gaps(spark, monkeypatch):
+    for name, n in (("MET_VECTORS", 40), ("MET_QUERIES", 5), ("AT_ONCE", 3)):
+        monkeypatch.setattr(retrieval, name, n)
+    v = np.abs(np.random.default_rng(5).normal(size=(300, 4)))
+    v[100:260] = v[0]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0, None, 1.0, 1.0])], "doc_id long, v array<double>")
+    asked = rows.where("doc_id % 30 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    got = {}
+    for r in retrieval.dense(rows, asked, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    n = np.sqrt((v * v).sum(1))
+    for q in range(0, 300, 30):
+        s = np.round(v @ v[q] / (n * n[q] + 1e-12), 6)
+        assert got[q] == sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:4]
+    keep = retrieval._least_of_alike(np.zeros(50, int), [np.ones(50)], np.arange(50)[::-1], 4)
+    assert list(keep) == [46, 47, 48, 49]
+    events = rows.select("doc_id", F.col("v").alias("a"))
+    got = {}
+    for r in retrieval.vigilance(events, asked.select("query_id", F.col("q").alias("q_a")), {"a": 0.9}, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    whole = {**dict(enumerate(v)), 901: np.array([1.0, np.nan, 1.0, 1.0])}
+    for q in range(0, 300, 30):
+        m = {i: round(np.fmin(v[q], w).sum() / v[q].sum(), 6) for i, w in whole.items()}
+        assert got[q] == sorted((i for i in m if m[i] >= 0.9), key=lambda i: (-m[i], i))[:4]
