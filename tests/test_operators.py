@@ -315,6 +315,8 @@ def test_exact_searches_by_blocks(spark):
 
 
 def test_searches_by_parts_with_copies_and_gaps(spark, monkeypatch):
+    import numpy as np
+
     for name, n in (("MET_VECTORS", 40), ("MET_QUERIES", 5), ("AT_ONCE", 3)):
         monkeypatch.setattr(retrieval, name, n)
     v = np.abs(np.random.default_rng(5).normal(size=(300, 4)))
@@ -338,3 +340,18 @@ def test_searches_by_parts_with_copies_and_gaps(spark, monkeypatch):
     for q in range(0, 300, 30):
         m = {i: round(np.fmin(v[q], w).sum() / v[q].sum(), 6) for i, w in whole.items()}
         assert got[q] == sorted((i for i in m if m[i] >= 0.9), key=lambda i: (-m[i], i))[:4]
+
+
+def test_dates_of_texts_are_read_once(spark):
+    gold, said = ["3 May 2020", "May 2020", "2020", None, "2020-05-03"], ["2020-05-03", "2020-06-01", None, "x"]
+    rows = spark.createDataFrame([(g, s) for g in gold for s in said], "gold string, said string")
+    out = times.same_dates(rows.crossJoin(spark.range(20)), "gold", "said")
+    plain = {(r["gold"], r["said"]): r["same"] for r in rows.select("gold", "said", times.same_date(F.col("gold"), F.col("said")).alias("same")).collect()}
+    got = [((r["gold"], r["said"]), r["same"]) for r in out.collect()]
+    assert len(got) == 400 and all(plain[k] == same for k, same in got) and sum(plain.values()) == 5
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_piece_of_a_sentence_is_read_once(spark):
+    plan = spark.range(1).select(T.ruled_sentences(F.lit("a").substr(F.lit(1), F.col("id").cast("int"))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 2

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .retrieval import if_small
+
 #: Numbers written as words.
 NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 #: Expressions that are grounded.
@@ -117,13 +120,23 @@ def date_constraint(text: Column) -> Column:
 
 def same_date(gold: Column, said: Column) -> Column:
     """Whether two texts name one date, where the gold text may be the coarser one."""
+    return _let(date_constraint(gold), lambda g: _let(date_constraint(said), lambda s: _same(g, s)))
+
+
+def _same(g: Column, s: Column) -> Column:
+    whole = lambda unit: F.transform(s["dates"], lambda x: F.to_date(F.date_trunc(unit, x)))
+    near = F.when(g["precision"] == s["precision"], s["dates"]).when(g["precision"] == "year", whole("year")).when((g["precision"] == "month") & (s["precision"] == "day"), whole("month"))
+    return F.coalesce(F.arrays_overlap(g["dates"], near), F.lit(False))
 
-    def same(g, s):
-        cut = lambda unit: F.transform(s["dates"], lambda x: F.to_date(F.date_trunc(unit, x)))
-        near = F.when(g["precision"] == s["precision"], s["dates"]).when(g["precision"] == "year", cut("year")).when((g["precision"] == "month") & (s["precision"] == "day"), cut("month"))
-        return F.coalesce(F.arrays_overlap(g["dates"], near), F.lit(False))
 
-    return _let(date_constraint(gold), lambda g: _let(date_constraint(said), lambda s: same(g, s)))
+def same_dates(rows: DataFrame, gold: str, said: str, name: str = "same", texts: DataFrame | None = None) -> DataFrame:
+    """rows with same_date of two of their columns. A text is read once however many rows hold it: rows meet their texts'
+    dates by joins. `texts` is one column that holds all texts of both, where it is cheaper to have than from the rows."""
+    every = texts if texts is not None else rows.select(gold).union(rows.select(said))
+    read = cut(every.toDF("_text").distinct().withColumn("_read", date_constraint(F.col("_text"))))
+    for c in (gold, said):
+        rows = rows.join(if_small(read.toDF(f"_{c}_text", f"_{c}_read")), F.col(c).eqNullSafe(F.col(f"_{c}_text")), "left").drop(f"_{c}_text")
+    return rows.withColumn(name, _same(F.col(f"_{gold}_read"), F.col(f"_{said}_read"))).drop(f"_{gold}_read", f"_{said}_read")
 
 
 def rerank(hits: DataFrame, roles: Column, asked: Column, boost: float = 0.25, at: Column | None = None, recency: float = 0.2) -> DataFrame:

@@ -178,12 +178,13 @@ def d4_time_profile(spark, d) -> DataFrame:
 
 def d9_date_equivalence(spark, d) -> DataFrame:
     """Whether a gold date of an order, told as a day, month or year by its priority, and a line's ship date are one."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     told = lambda layout: F.date_format("o_orderdate", layout)
     urgent = F.col("o_orderpriority")
     gold = F.when(urgent < "2", told("d MMMM yyyy")).when(urgent < "3", told("MMMM yyyy")).when(urgent < "4", told("yyyy")).otherwise(told("yyyy-MM-dd"))
-    return rows.select("l_orderkey", "l_linenumber", times.same_date(gold, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("same"))
+    orders = table(spark, d, "orders").select("o_orderkey", gold.alias("gold"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("said"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return times.same_dates(rows, "gold", "said", texts=orders.select("gold").union(lines.select("said"))).select("l_orderkey", "l_linenumber", "same")
 
 
 def d10_dialog_order(spark, d) -> DataFrame:
