@@ -355,3 +355,12 @@ def test_dates_of_texts_are_read_once(spark):
 def test_a_piece_of_a_sentence_is_read_once(spark):
     plan = spark.range(1).select(T.ruled_sentences(F.lit("a").substr(F.lit(1), F.col("id").cast("int"))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 2
+
+
+def test_terms_of_a_batch_are_counted_in_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"w{(i * j) % 7}" for j in range(i % 9)]) for i in range(100)], "doc_id long, tokens array<string>").coalesce(1)
+    asked = spark.createDataFrame([(q, [f"w{q}"]) for q in range(7)], "query_id long, tokens array<string>")
+    rows = lambda: sorted(map(tuple, retrieval.bm25(docs, asked, k=None).collect()))
+    whole = rows()
+    monkeypatch.setattr(retrieval, "COUNTED_ROWS", 3)
+    assert rows() == whole and whole
