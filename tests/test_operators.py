@@ -364,3 +364,46 @@ def test_terms_of_a_batch_are_counted_in_slices(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(retrieval, "COUNTED_ROWS", 3)
     assert rows() == whole and whole
+
+
+def test_strips_of_vectors_keep_all_that_may_lead():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    score = rng.random((5, 9000)).astype(np.float32)
+    score[1] = 0.5
+    score[2, 7:] = -np.inf
+    sure = rng.random(score.shape) < 0.5
+    asked = []
+
+    def scored(cols, which=None):
+        asked.append(cols.stop - cols.start)
+        return score[:, cols], None if which is None else which[:, cols]
+
+    row, at = retrieval._leads(5, 9000, 4, 1e-5, scored)
+    assert max(asked) <= retrieval.STRIP
+    for i in range(5):
+        best = np.sort(score[i][score[i] > -np.inf])[::-1][:4]
+        assert set(at[row == i]) == set(np.flatnonzero(score[i] >= best[-1] - 1e-5))
+    row, at = retrieval._leads(5, 9000, 4, 1e-5, lambda cols: scored(cols, sure))
+    for i in range(5):
+        best = np.sort(score[i][sure[i] & (score[i] > -np.inf)])[::-1][:4]
+        assert set(np.flatnonzero(score[i] >= (best[-1] if len(best) == 4 else -1e30) - 1e-5)) == set(at[row == i])
+
+
+def test_searches_in_single_precision_agree_with_double(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "STRIP", 16)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 3)
+    v = np.abs(np.random.default_rng(8).normal(size=(120, 6)))
+    v[60:90] = v[3] * (1 + 1e-7 * np.arange(30)[:, None])  # nearer than single precision tells
+    v[100], v[101] = 0.0, 1e-9
+    odd = [(500, [1.0, 2.0]), (501, [float("nan")] + [1.0] * 5), (502, [None] + [1.0] * 5), (503, [-1.0] * 6), (0, [0.5] * 6)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + odd, "doc_id long, v array<double>").coalesce(1)
+    asked = rows.where("doc_id % 20 = 0 or doc_id in (61, 101, 501, 503)").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    order = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    found = lambda: (order(retrieval.dense(rows, asked, 5)), order(retrieval.vigilance(rows.withColumnRenamed("v", "a"), asked.withColumnRenamed("q", "q_a"), {"a": 0.5}, 5)))
+    quick = found()
+    monkeypatch.setattr(retrieval, "_usual", lambda length: 0)  # nothing is of the usual kind: all in double precision
+    assert str(quick) == str(found()) and len(quick[0]) > 30
