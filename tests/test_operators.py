@@ -407,3 +407,34 @@ def test_searches_in_single_precision_agree_with_double(spark, monkeypatch):
     quick = found()
     monkeypatch.setattr(retrieval, "_usual", lambda length: 0)  # nothing is of the usual kind: all in double precision
     assert str(quick) == str(found()) and len(quick[0]) > 30
+
+
+def test_token_overlap_is_worked_out_once_by_sorting(spark):
+    import random
+    from collections import Counter
+
+    from tidemark.operators import metrics
+
+    r = random.Random(4)
+    pairs = [([r.choice("abcdefgh") for _ in range(r.randrange(12))], [r.choice("abcdefgh") for _ in range(r.randrange(12))]) for _ in range(60)]
+    pairs += [(["x"] * 3000 + ["y"], ["y"] * 2 + ["x"] * 2500), (["a", None, "a"], [None, "a"]), (None, ["a"])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a array<string>, b array<string>")
+    out = df.select("i", metrics.overlap(F.col("a"), F.col("b")).alias("n"), metrics.token_f1(F.col("a"), F.col("b")).alias("f1"))
+    for row in out.collect():
+        a, b = pairs[row["i"]]
+        if a is None:
+            assert row["n"] is None and row["f1"] == 0
+            continue
+        n = sum((Counter(x for x in a if x) & Counter(x for x in b if x)).values())
+        assert row["n"] == n and abs(row["f1"] - (2 * n / (len(a) + len(b)) if n else 0)) < 1e-9
+    plan = df.select(metrics.token_f1(F.col("a"), F.col("b")).alias("f1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1
+
+
+def test_judged_summary_counts_rows_once(spark):
+    rows = spark.createDataFrame([("adversarial", 1, "wrong"), ("user", 1, "equivalent"), ("user", 2, "wrong"), (None, 2, "equivalent")], "question_type string, sample_id long, label string")
+    out = answers.rescored_summary(rows)
+    got = {(r["level"], r["value"]): (r["n"], r["score"]) for r in out.collect()}
+    assert got[("overall", None)] == (4, 0.5) and got[("non_adversarial", None)] == (3, 2 / 3) and got[("sample", "2")] == (2, 0.5) and got[("type", "user")] == (2, 0.5)
+    assert "parquet" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["level"], r["n"]) for r in answers.rescored_summary(rows.limit(0)).collect()] == [("non_adversarial", 0)]

@@ -25,14 +25,23 @@ def set_scores(chosen: Column, gold: Column, convention: str = "null") -> dict[s
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    """Size of the multiset intersection of two token arrays: both are sorted as one, and a token of b meets one of a that is
+    left of its kind."""
+    marked = lambda xs, side: F.transform(F.array_compact(xs), lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("both"))
+
+    def met(s: Column, x: Column) -> Column:
+        left = F.when(s["t"].eqNullSafe(x["t"]), s["left"]).otherwise(0)
+        own = x["side"] == 0
+        return F.struct(x["t"].alias("t"), F.when(own, left + 1).otherwise(F.greatest(left - 1, F.lit(0))).alias("left"), (s["both"] + F.when(~own & (left > 0), 1).otherwise(0)).alias("both"))
+
+    return F.aggregate(F.array_sort(F.concat(marked(a, 0), marked(b, 1))), start, met, lambda s: s["both"])
 
 
 def token_f1(predicted: Column, gold: Column) -> Column:
-    both, n, m = overlap(predicted, gold), F.size(predicted), F.size(gold)
-    return F.when(both > 0, 2.0 * (both / n) * (both / m) / (both / n + both / m)).otherwise(0.0)
+    n, m = F.size(predicted), F.size(gold)
+    score = lambda both: F.when(both > 0, 2.0 * (both / n) * (both / m) / (both / n + both / m)).otherwise(0.0)
+    return F.element_at(F.transform(F.array(overlap(predicted, gold)), score), 1)  # the overlap is worked out once
 
 
 def bleu1(predicted: Column, gold: Column) -> Column:

@@ -115,7 +115,8 @@ def date_constraint(text: Column) -> Column:
         coarse = lambda name, x: _let(x, lambda d: F.when(d.isNotNull(), found(name, F.array(d))))
         return F.coalesce(_let(_days(t), days), coarse("month", month), coarse("year", year), _let(near(t), days))
 
-    return _let(F.regexp_replace(clean_text(text), r"^(?:around|approximately|about) ", ""), named)
+    # every date holds its year as it stands: texts without one are not read further
+    return F.when(text.rlike(_YEAR), _let(F.regexp_replace(clean_text(text), r"^(?:around|approximately|about) ", ""), named))
 
 
 def same_date(gold: Column, said: Column) -> Column:

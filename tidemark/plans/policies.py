@@ -12,7 +12,6 @@ from ..operators import answers, metrics, policies, retrieval
 from ..operators.lineage import cut
 from .common import table
 from .retrieval import _PLAIN, _corpus
-from .scores import _pairs
 
 #: What the policy queries ask for.
 LIMITS = {"backoff": 3, "seeds": 4, "most": 8, "most_events": 5}
@@ -120,8 +119,7 @@ def _judged(spark, d) -> DataFrame:
     t = table(spark, d, "conversations")
     before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold_answer"))
     rows = t.select("conv_id", "turn", F.col("text").alias("hypothesis"), F.when(F.col("role") == "tool", "adversarial").otherwise(F.col("role")).alias("question_type")).join(before, ["conv_id", "turn"])
-    f1 = _pairs(spark, d).select("conv_id", "turn", metrics.token_f1(F.col("said"), F.col("gold")).alias("answer_f1"))
-    return rows.join(f1, ["conv_id", "turn"])
+    return cut(rows.withColumn("answer_f1", metrics.token_f1(plain_tokens(F.col("hypothesis")), plain_tokens(F.col("gold_answer")))))
 
 
 def m17_judgment(spark, d) -> DataFrame:
