@@ -196,3 +196,25 @@ def test_states_of_picks_in_rounds(spark):
     claims = spark.createDataFrame([("c1", "e1"), ("c2", "e2"), ("c3", "e2")], "claim_id string, event_id string")
     support = spark.createDataFrame([("s1", "c1"), ("s2", "c2"), ("s3", "c3"), ("s2", "c1"), ("s4", "c2")], "state_id string, claim_id string")
     assert rows(policies.coverage_states(picks, claims, support), "query_id", "place", "state_id") == [(1, 1, "s2"), (1, 2, "s1"), (1, 3, "s3"), (1, 4, "s4")]
+
+
+def test_a_shortlist_holds_all_that_claim_policies_choose(spark):
+    import random
+
+    r = random.Random(6)
+    docs = [(i, i // 2, ["occurred_at"] if i % 3 else [], "u", "v") for i in range(80)]
+    claims = spark.createDataFrame(docs, "claim_id long, event_id long, roles array<string>, subject string, dimension string")
+    hits = spark.createDataFrame([(q, i, float(r.randrange(9))) for q in (1, 2, 3) for i in range(80)], "query_id long, doc_id long, score double").cache()
+    scopes = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(80)], "claim_id long, scope_id string")
+    routed = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "query_id long, scope_id string")
+    asked = spark.createDataFrame([(1, ["occurred_at"]), (2, [])], "query_id long, asked array<string>")
+    relations = spark.createDataFrame([(i, i + 1) for i in range(79)], "src long, dst long")
+    states = spark.createDataFrame([(i // 4, i) for i in range(80)], "state_id long, claim_id long")
+    wide = hits.join(claims.select(F.col("claim_id").alias("doc_id"), "roles"), "doc_id").join(scopes.select(F.col("claim_id").alias("doc_id"), F.array("scope_id").alias("scope_ids")), "doc_id")
+    short = policies.shortlist(wide, routed, asked, 6).cache()
+    assert short.count() <= 3 * 4 * 6 < hits.count()
+    for p in policies.CLAIM_POLICIES:
+        given = (p, claims, hits, scopes, routed, asked, relations, states)
+        limits = {"backoff": 2, "seeds": 3, "most": 6, "most_events": 4}
+        a, b = policies.claim_policy(*given, **limits), policies.claim_policy(*given, **limits, short=short)
+        assert rows(a[0], "query_id", "rank", "claim_id") == rows(b[0], "query_id", "rank", "claim_id") != [] and rows(a[1], "query_id", "state_id") == rows(b[1], "query_id", "state_id")

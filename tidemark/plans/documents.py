@@ -50,9 +50,9 @@ def t11_scope_documents(spark, d) -> DataFrame:
     return documents.scope_documents(g["scopes"], g["event_scopes"], g["events"], g["claims"])
 
 
-def _memory(spark, d) -> dict[str, DataFrame]:
-    """Documents as claims, four a state, with relations between neighbours of one state; the tables of `_inputs` with what expansion reads."""
-    g = _inputs(spark, d)
+def _memory(spark, d, k: int | None = None) -> dict[str, DataFrame]:
+    """Documents as claims, four a state, with relations between neighbours of one state; the tables of `_inputs` (with the best k hits of a question) with what expansion reads."""
+    g = _inputs(spark, d, k)
     docs = table(spark, d, "documents")
     terms = cut(docs.select(F.col("doc_id").alias("claim_id"), F.array_distinct(plain_tokens(F.col("text"))).alias("terms")))
     g["claims"] = g["claims"].join(terms, "claim_id")
@@ -80,7 +80,7 @@ def _told(pack: expansion.Expansion) -> DataFrame:
 
 def j1_relation_expansion(spark, d) -> DataFrame:
     """The best three documents of each question as seed events, expanded over relations and states and closed within 8 events and 4 states."""
-    g = _memory(spark, d)
+    g = _memory(spark, d, 3)
     best = retrieval.top(g["hits"], 3, ["query_id"], [F.desc("score"), F.col("doc_id")])
     seeds = best.groupBy("query_id", F.expr("cast(doc_id div 2 as string)").alias("id")).agg(F.min("rank").alias("rank")).select("query_id", F.lit("event").alias("kind"), "id", "rank")
     return _told(_expanded(g, seeds, 8, 4))

@@ -17,18 +17,29 @@ from .retrieval import _PLAIN, _corpus
 LIMITS = {"backoff": 3, "seeds": 4, "most": 8, "most_events": 5}
 
 
-def _inputs(spark, d) -> dict[str, DataFrame]:
-    """Two neighbours by id share an event, four a state; texts in English hold a time role that every third question asks for."""
+def _inputs(spark, d, k: int | None = None) -> dict[str, DataFrame]:
+    """Two neighbours by id share an event, four a state; texts in English hold a time role that every third question asks for.
+
+    Hits are all of a question, or its best k. `wide` are hits with what policies ask of their documents: scoring carries
+    these columns along with the id, so that hits, which are many a document, never meet the documents by a join.
+    """
     docs = table(spark, d, "documents")
     id_ = F.col("doc_id").alias("claim_id")
-    hits = cut(retrieval.bm25(*_corpus(spark, d), k=None))
+    corpus, asking = _corpus(spark, d)
+    corpus = docs.select(F.struct("doc_id", "source", "lang").alias("doc_id"), plain_tokens(F.col("text")).alias("tokens")) if k is None else corpus
+    wide = cut(retrieval.bm25(corpus, asking, k=k))
+    if k is None:
+        wide = wide.select("query_id", "doc_id.doc_id", "score", "doc_id.source", "doc_id.lang")
+    hits = wide.select("query_id", "doc_id", "score")
     roles = F.when(F.col("lang") == "en", F.array(F.lit("occurred_at"))).otherwise(F.array().cast("array<string>"))
     asked = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("occurred_at"), F.lit("started_at"))).otherwise(F.array().cast("array<string>"))
-    sums = hits.join(docs.select("doc_id", F.col("source").alias("scope_id")), "doc_id").groupBy("query_id", "scope_id").agg(F.round(F.sum("score"), 4).alias("score"))
+    known = wide if k is None else hits.join(docs.select("doc_id", "source", "lang"), "doc_id")
+    sums = known.groupBy("query_id", F.col("source").alias("scope_id")).agg(F.round(F.sum("score"), 4).alias("score"))
     next_ = docs.select((F.col("doc_id") - 1).alias("src"), F.col("doc_id").alias("dst"))
     return {
         "claims": docs.select(id_, F.expr("doc_id div 2").alias("event_id"), roles.alias("roles"), F.col("source").alias("subject"), F.col("lang").alias("dimension")),
         "hits": hits,
+        "wide": known.select("query_id", "doc_id", "score", F.array("source").alias("scope_ids"), roles.alias("roles")),
         "scopes": docs.select(id_, F.col("source").alias("scope_id")),
         "routed": policies.route_scopes(sums, docs.select(F.col("source").alias("scope_id"), F.lower("source").alias("semantic_key")).distinct(), 2),
         "asked": table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("asked")),
@@ -37,8 +48,16 @@ def _inputs(spark, d) -> dict[str, DataFrame]:
     }
 
 
+def _policy_inputs(spark, d) -> dict[str, DataFrame]:
+    """The tables of `_inputs` for claim policies, with the hits that they choose among found once for all of them."""
+    g = _inputs(spark, d)
+    g["routed"] = cut(g["routed"])
+    g["short"] = cut(policies.shortlist(g.pop("wide"), g["routed"], g["asked"], max(LIMITS["backoff"], LIMITS["seeds"], LIMITS["most"])))
+    return g
+
+
 def _all_policies(spark, d) -> dict[str, tuple[DataFrame, DataFrame]]:
-    given = _inputs(spark, d)
+    given = _policy_inputs(spark, d)
     return {p: policies.claim_policy(p, **given, **LIMITS) for p in policies.CLAIM_POLICIES}
 
 
@@ -65,7 +84,7 @@ def r6_anchored_routing(spark, d) -> DataFrame:
 
 def e1_packing(spark, d) -> DataFrame:
     """What the last claim policy finds, packed into at most 4 claims, 1 state and 3 events a question."""
-    g = _inputs(spark, d)
+    g = _policy_inputs(spark, d)
     kept, states = policies.claim_policy("scope-claim-time-state", **g, **LIMITS)
     kept = cut(kept)
     events = kept.groupBy("query_id", "event_id").agg(F.min("rank").alias("rank"))
