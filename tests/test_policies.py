@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 from tidemark import plans
 from tidemark.functions.text import ruled_sentences
-from tidemark.operators import policies
+from tidemark.operators import graph, policies
 from tidemark.sources import records
 
 from .conftest import SF
@@ -218,3 +218,57 @@ def test_a_shortlist_holds_all_that_claim_policies_choose(spark):
         limits = {"backoff": 2, "seeds": 3, "most": 6, "most_events": 4}
         a, b = policies.claim_policy(*given, **limits), policies.claim_policy(*given, **limits, short=short)
         assert rows(a[0], "query_id", "rank", "claim_id") == rows(b[0], "query_id", "rank", "claim_id") != [] and rows(a[1], "query_id", "state_id") == rows(b[1], "query_id", "state_id")
+
+
+def _reached(seeds, claims, relations, states, routed, event_scopes):
+    """scoped_expansion of plain rows, a question at a time."""
+    out = set()
+    for q in {q for q, _ in seeds}:
+        scopes = {s for p, s in routed if p == q}
+        todo = [("claim", c) for p, e in seeds if p == q for c, of in claims if of == e]
+        seen = set(todo)
+        while todo:
+            kind, x = todo.pop()
+            if kind == "claim":
+                near = [("claim", b) for a, b in relations if a == x] + [("claim", a) for a, b in relations if b == x] + [("state", s) for s, scope, c in states if c == x and scope in scopes]
+            else:
+                near = [("claim", c) for s, _, c in states if s == x]
+            fresh = set(near) - seen
+            seen |= fresh
+            todo += fresh
+        events = {e for p, e in seeds if p == q} | {e for c, e in claims if ("claim", c) in seen}
+        out |= {(q, kind, str(x)) for kind, x in seen} | {(q, "event", str(e)) for e, scope in event_scopes if e in events and scope in scopes}
+    return out
+
+
+def _expanded(spark, seeds, claims, relations, states, routed, event_scopes):
+    table = lambda rows_, kinds: spark.createDataFrame(rows_, kinds)
+    found = policies.scoped_expansion(
+        table(seeds, "query_id long, event_id long"), table(claims, "claim_id long, event_id long"), table(relations, "src long, dst long"),
+        table(states, "state_id string, scope_id string, claim_id long"), table(routed, "query_id long, scope_id string"), table(event_scopes, "event_id long, scope_id string"),
+    )
+    out = rows(found, "query_id", "kind", "id")
+    assert len(out) == len(set(out))
+    return set(out)
+
+
+def test_scoped_expansion_by_brute_force(spark):
+    # "a" is routed for all, "b" and "c" for some, "d" for none; states have claims in several scopes, so some steps lead one way only.
+    draw = lambda *key: int(hashlib.md5(repr(key).encode()).hexdigest(), 16)
+    claims = [(i, i // 2) for i in range(160)]
+    relations = [(i, draw("r", i) % 160) for i in range(0, 160, 5)]
+    states = [(f"s{draw('s', i, j) % 90}", "abcd"[draw("t", i, j) % 4], i) for i in range(160) for j in range(draw("n", i) % 2)]
+    routed = [(q, "a") for q in range(6)] + [(q, "b") for q in (0, 1)] + [(q, "c") for q in (1, 2)]
+    seeds = [(q, draw("e", q, j) % 80) for q in range(6) for j in range(2)]
+    event_scopes = [(i, "abcd"[draw("v", i) % 4]) for i in range(80)]
+    assert _expanded(spark, seeds, claims, relations, states, routed, event_scopes) == _reached(seeds, claims, relations, states, routed, event_scopes)
+
+
+def test_scoped_expansion_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    written, cut = [], policies.cut
+    for module in (policies, graph):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(1) or cut(df))
+    n = 120
+    got = _expanded(spark, [(1, 0)], [(i, i) for i in range(n)], [(i, i + 1) for i in range(0, n - 1, 2)], [(f"s{i}", "a", j) for i in range(1, n - 1, 2) for j in (i, i + 1)], [(1, "a")], [(n - 1, "a")])
+    assert got == {(1, "claim", str(i)) for i in range(n)} | {(1, "state", f"s{i}") for i in range(1, n - 1, 2)} | {(1, "event", str(n - 1))}
+    assert len(written) < 60

@@ -55,6 +55,31 @@ def reachable(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp): one id of its component, the same for all, for every id that undirected links (a, b) of unlike ends touch.
+
+    A round maps each id to the neighbour, or itself, that comes first by a hash drawn anew, and keeps links between what
+    is left; by chance about half of the ids go, on chains too, so all rounds together cost little more than the first.
+    The maps are then joined from the last, the smallest, back.
+    """
+    sides = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = cut(links.where("a <> b").select(*sides("a", "b")).distinct())
+    moves = []
+    while not links.isEmpty():
+        drawn = lambda c, n=len(moves): F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("id"))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        moves.append(cut(both.groupBy("a").agg(F.min(drawn("b")).alias("near")).select(F.col("a").alias("id"), F.least("near", drawn("a"))["id"].alias("comp"))))
+        to = lambda c: moves[-1].select(F.col("id").alias(c), F.col("comp").alias(f"{c}_to"))
+        links = cut(links.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to").select(*sides("a_to", "b_to")).distinct())
+    if not moves:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    labels = moves.pop()
+    while moves:
+        last = labels.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+        labels = cut(moves.pop().join(last, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+    return labels
+
+
 def closed(states: DataFrame, kept: DataFrame) -> DataFrame:
     """States of (state_id, claim_id) rows all of whose claims are kept: relational division by an anti join."""
     missing = states.join(kept, "claim_id", "left_anti").select("state_id").distinct()
