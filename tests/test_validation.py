@@ -1,7 +1,12 @@
 """Graph validation: one sound graph, and a copy of it for each fault, all checked in one run."""
 
 import pytest
+from pyspark.sql import functions as F
+from tidemark.operators import validation
 from tidemark.operators.validation import graph_problems
+from tidemark.plans.validation import event_graph
+
+from .conftest import SF
 
 FIELDS = "id node_type node_id time_role value subject time_value facet_key source_event_id dialog_id status primary_claim_id current_after canonical_subject subject_key state_domain slot_type state_target state_dimension dimension_source dimension_reason fact_type temporal_status intent answer".split()
 LISTS = ["support_claim_ids", "support_event_ids", "scope_ids"]
@@ -158,3 +163,15 @@ def test_every_rule_is_met(found):
 def test_empty_graph(spark):
     none = spark.createDataFrame([], "id string, node_type string"), spark.createDataFrame([], "type string, src string, dst string")
     assert graph_problems(*none).count() == 0
+
+
+def test_windows_and_groups_of_the_event_graph_are_worked_out_once(spark):
+    for table in event_graph(spark, SF):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "max_by" not in plan
+
+
+def test_a_rule_with_several_details_gives_a_row_for_each(spark):
+    df = spark.createDataFrame([("x", "", None), ("y", "1", " "), ("z", "1", "2")], "id string, a string, b string")
+    got = validation._told(df, F.col("id"), ("empty", F.lit(True), validation._missing(("a", "b"))), ("null", F.col("b").isNull(), ""))
+    assert sorted(map(tuple, got.collect())) == [("empty", "x", "a"), ("empty", "x", "b"), ("empty", "y", "b"), ("null", "x", "")]

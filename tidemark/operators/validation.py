@@ -59,28 +59,19 @@ def _blank(c: str) -> Column:
     return F.trim(_text(c)) == ""
 
 
-def _told(df: DataFrame, id_: Column, *rules: tuple[str, Column, Column | str | _Each]) -> DataFrame:
-    """A row for each rule (name, fault, detail) that a row of df breaks."""
-    found = F.flatten(F.array(*[_broken(*rule) for rule in rules]))
-    return df.select(id_.alias("id"), F.explode(found).alias("p")).select("p.rule", "id", "p.detail")
+def _told(df: DataFrame, id_: Column, *rules: tuple[str, Column, Column | str | list[tuple[Column, Column]]]) -> DataFrame:
+    """A row for each rule (name, fault, detail) that a row of df breaks, or for each of a rule's (fault, detail) in a list.
 
-
-def _broken(name: str, fault: Column, detail: Column | str | _Each) -> Column:
-    """(rule, detail) of one rule where it is broken, as an array."""
-    each = detail.column if isinstance(detail, _Each) else F.array(F.lit(detail) if isinstance(detail, str) else detail)
-    rows = F.transform(each, lambda x: F.struct(F.lit(name).alias("rule"), F.coalesce(x.cast("string"), F.lit("")).alias("detail")))
-    return F.when(fault, rows).otherwise(F.array().cast("array<struct<rule: string, detail: string>>"))
-
-
-class _Each:
-    """A detail that is an array: the rule is broken once for each of its elements."""
-
-    def __init__(self, column: Column):
-        self.column = column
+    Rows without a fault go by plain conditions before anything is built of them.
+    """
+    each = [(name, fault & more, text) for name, fault, detail in rules for more, text in (detail if isinstance(detail, list) else [(F.lit(True), F.lit(detail) if isinstance(detail, str) else detail)])]
+    found = F.array(*[F.when(fault, F.struct(F.lit(name).alias("rule"), F.coalesce(text.cast("string"), F.lit("")).alias("detail"))) for name, fault, text in each])
+    faulty = df.where(reduce(lambda x, y: x | y, [F.coalesce(fault, F.lit(False)) for _, fault, _ in each]))
+    return faulty.select(id_.alias("id"), F.explode(found).alias("p")).where("p is not null").select("p.rule", "id", "p.detail")
 
 
-def _missing(fields: tuple[str, ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(_blank(c), F.lit(c)) for c in fields]))
+def _missing(fields: tuple[str, ...]) -> list[tuple[Column, Column]]:
+    return [(_blank(c), F.lit(c)) for c in fields]
 
 
 def _by_row(nodes: DataFrame) -> list[DataFrame]:
@@ -90,7 +81,7 @@ def _by_row(nodes: DataFrame) -> list[DataFrame]:
     claim_lasts = is_("claim") & F.col("lasts")
     whole = (~_blank("state_domain")) & (~_blank("state_target"))
     dimension = whole & (_text("state_dimension") != F.concat("state_domain", F.lit(":"), "state_target"))
-    support, unlike = F.col("support_claim_ids"), F.array_compact(F.array(*[F.when(_text(c) != said, F.concat_ws("=", F.lit(c), _text(c))) for c, said in STATE_SAYS.items()]))
+    support, unlike = F.col("support_claim_ids"), [(_text(c) != said, F.concat_ws("=", F.lit(c), _text(c))) for c, said in STATE_SAYS.items()]
     return [
         _told(
             nodes, F.col("id"),
@@ -100,7 +91,7 @@ def _by_row(nodes: DataFrame) -> list[DataFrame]:
             ("claim_time_role_unsupported", is_("claim") & (role != "") & ~role.isin(*TIME_ROLES, "current_after"), role),
             ("claim_time_role_missing", is_("claim") & (time != "") & (role == ""), time),
             ("claim_time_value_missing", is_("claim") & (role != "") & (time == ""), role),
-            ("claim_state_field_missing", claim_lasts, _Each(_missing(IDENTITY))),
+            ("claim_state_field_missing", claim_lasts, _missing(IDENTITY)),
             ("claim_state_domain_mismatch", claim_lasts & ~_blank("state_domain") & (F.col("state_domain") != F.col("due_domain")), _text("state_domain")),
             ("claim_state_dimension_mismatch", claim_lasts & dimension, _text("state_dimension")),
             ("claim_slot_type_invalid", claim_lasts & ~_text("slot_type").isin("single", "object_scoped"), _text("slot_type")),
@@ -108,14 +99,14 @@ def _by_row(nodes: DataFrame) -> list[DataFrame]:
         ),
         _told(
             nodes.where("node_type = 'state'"), F.col("id"),
-            ("state_semantics_invalid", F.lit(True), _Each(unlike)),
+            ("state_semantics_invalid", F.lit(True), unlike),
             ("state_status_invalid", ~_text("status").isin(*STATUSES), _text("status")),
             ("state_support_not_list", support.isNull(), ""),
             ("state_support_missing", F.coalesce(F.size(F.coalesce(support, F.array().cast("array<string>"))) == 0, F.lit(True)), ""),
             ("state_support_duplicate", F.size(support) != F.size(F.array_distinct(support)), ""),
             ("state_support_events_not_list", F.col("support_event_ids").isNull(), ""),
             ("state_primary_not_supported", ~F.coalesce(F.array_contains(support, F.col("primary_claim_id")), F.lit(False)), _text("primary_claim_id")),
-            ("state_identity_field_missing", F.lit(True), _Each(_missing(IDENTITY))),
+            ("state_identity_field_missing", F.lit(True), _missing(IDENTITY)),
             ("state_dimension_mismatch", dimension, _text("state_dimension")),
             ("state_scope_missing", F.coalesce(F.size("scope_ids") < 1, F.lit(True)), ""),
         ),
@@ -177,7 +168,7 @@ def _by_support(nodes: DataFrame, edges: DataFrame, supported: DataFrame) -> lis
     drawn = edges.where("type = 'SUPPORTS'").select(F.col("src").alias("claim"), F.col("dst").alias("state")).distinct()
     met = cut(listed.join(claims, "claim", "left").join(drawn.withColumn("drawn", F.lit(True)), ["claim", "state"], "left"))
     is_claim = F.coalesce(F.col("node.node_type") == "claim", F.lit(False))
-    unlike = F.array_compact(F.array(*[F.when(~F.col(f"node.{c}").eqNullSafe(F.col(f"state_{c}")), F.concat_ws(":", "claim", F.lit(c))) for c in compare]))
+    unlike = [(~F.col(f"node.{c}").eqNullSafe(F.col(f"state_{c}")), F.concat_ws(":", "claim", F.lit(c))) for c in compare]
     in_order = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(is_claim & (F.col("node.source_event_id") != ""), F.struct("at", F.col("node.source_event_id").alias("e"))))), lambda x: x["e"]))
     due = states.select(F.col("id").alias("state"), F.coalesce("support_event_ids", F.array().cast("array<string>")).alias("own")).join(met.groupBy("state").agg(in_order.alias("due")), "state", "left")
     due = due.withColumn("due", F.coalesce("due", F.array().cast("array<string>")))
@@ -186,14 +177,14 @@ def _by_support(nodes: DataFrame, edges: DataFrame, supported: DataFrame) -> lis
     counts = nodes.where("node_type = 'claim'").select("id", "lasts").join(supported.groupBy(F.col("claim").alias("id")).agg(F.count_distinct("state").alias("n")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     own = ("subject", "value", *IDENTITY)
     primary = states.select("id", "primary_claim_id", *[F.col(c).alias(f"state_{c}") for c in own]).join(nodes.select(F.col("id").alias("primary_claim_id"), F.struct("node_type", *own).alias("node")), "primary_claim_id", "left")
-    differ = [F.when(~F.col(f"node.{c}").eqNullSafe(F.col(f"state_{c}")), F.lit(c)) for c in ("value", *IDENTITY)]
-    differ.append(F.when(F.coalesce("node.canonical_subject", F.lit("")) != F.coalesce("state_subject", F.lit("")), F.lit("subject")))
+    differ = [(~F.col(f"node.{c}").eqNullSafe(F.col(f"state_{c}")), F.lit(c)) for c in ("value", *IDENTITY)]
+    differ.append((F.coalesce("node.canonical_subject", F.lit("")) != F.coalesce("state_subject", F.lit("")), F.lit("subject")))
     return [
         _told(
             met, F.col("state"),
             ("state_support_invalid", ~is_claim, F.col("claim")),
             ("state_support_edge_missing", is_claim & F.col("drawn").isNull(), F.col("claim")),
-            ("state_support_identity_mismatch", F.col("node").isNotNull(), _Each(unlike)),
+            ("state_support_identity_mismatch", F.col("node").isNotNull(), unlike),
         ),
         _told(due, F.col("state"), ("state_support_events_mismatch", F.col("own") != F.col("due"), F.concat_ws(" for ", F.array_join("own", ","), F.array_join("due", ",")))),
         _told(events, F.col("state"), ("state_support_event_invalid", ~F.coalesce(F.col("node_type") == "event", F.lit(False)), F.col("e"))),
@@ -202,7 +193,7 @@ def _by_support(nodes: DataFrame, edges: DataFrame, supported: DataFrame) -> lis
         _told(
             primary, F.col("id"),
             ("state_primary_invalid", ~F.coalesce(F.col("node.node_type") == "claim", F.lit(False)), F.coalesce("primary_claim_id", F.lit(""))),
-            ("state_primary_field_mismatch", F.col("node").isNotNull(), _Each(F.array_compact(F.array(*differ)))),
+            ("state_primary_field_mismatch", F.col("node").isNotNull(), differ),
         ),
     ]
 
@@ -255,9 +246,10 @@ def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     counts as such where a state declares the claim and the edge is drawn. Empty tables give no rows. An edge's id is its
     type and ends. Lists inside a state (claims, events, scopes) are bounded by that state.
     """
-    role = time_role(F.col("time_role"), F.col("time_value"))
+    of_claim = lambda x: F.when(F.col("node_type") == "claim", x)
     own = _whole(nodes, ("id", "node_type"), _TEXTS, _LISTS, GOLD)
-    own = own.withColumns({"lasts": lasting(facet(F.col("facet_key")), role, F.col("value")), "due_domain": domain(facet(F.col("facet_key")), F.col("value"))})
+    own = own.withColumns({"_facet": of_claim(facet(F.col("facet_key"))), "_role": of_claim(time_role(F.col("time_role"), F.col("time_value")))})
+    own = own.withColumns({"lasts": of_claim(lasting(F.col("_facet"), F.col("_role"), F.col("value"))), "due_domain": of_claim(domain(F.col("_facet"), F.col("value")))}).drop("_facet", "_role")
     own = cut(own)
     drawn = cut(_whole(edges, ("type", "src", "dst"), ("time_role", "reason"), ("evidence_event_ids",)).drop("gold").distinct())
     declared = own.where("node_type = 'state'").select(F.col("id").alias("state"), F.explode("support_claim_ids").alias("claim"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import validation
+from ..operators.lineage import cut
 from .common import table
 
 
@@ -29,17 +30,17 @@ def _claims(spark, d) -> DataFrame:
 
 def event_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as `validation.graph_problems` reads them."""
-    claims = _claims(spark, d)
+    claims = cut(_claims(spark, d))
     identity = list(validation.IDENTITY)
     along = Window.partitionBy("scope").orderBy("ts", "event_id")
-    homes = claims.where("home").withColumns({"next": F.lead("id").over(along), "next_event": F.lead("event").over(along), "next_value": F.lead("value").over(along)})
+    homes = cut(claims.where("home").withColumns({"next": F.lead("id").over(along), "next_event": F.lead("event").over(along), "next_value": F.lead("value").over(along)}))
     one = homes.select(F.col("state").alias("id"), F.when(F.col("value") >= 200, "ambiguous").when(F.col("next").isNotNull(), "historical").otherwise("current").alias("status"), F.array("id").alias("support_claim_ids"), F.array("event").alias("support_event_ids"), F.col("id").alias("primary_claim_id"), F.col("day").alias("current_after"), F.array("scope").alias("scope_ids"), F.col("canonical_subject").alias("subject"), F.col("value").cast("string").alias("value"), *identity)
     last = F.struct("ts", "event_id")
     many = claims.where("not home and state is not null").groupBy(F.col("state").alias("id")).agg(
         F.lit("current").alias("status"), F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "id"))), lambda x: x["id"]).alias("support_claim_ids"), F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))), lambda x: x["event"]).alias("support_event_ids"),
         F.max_by("id", last).alias("primary_claim_id"), F.max_by("day", last).alias("current_after"), F.array(F.max("scope")).alias("scope_ids"), F.max_by("canonical_subject", last).alias("subject"), F.max_by(F.col("value").cast("string"), last).alias("value"), *[F.max_by(c, last).alias(c) for c in identity],
     )
-    states = one.unionByName(many).withColumns({"node_type": F.lit("state"), "node_id": F.col("id"), "fact_type": F.lit("state"), "temporal_status": F.lit("ongoing"), "intent": F.lit("none")})
+    states = cut(one.unionByName(many)).withColumns({"node_type": F.lit("state"), "node_id": F.col("id"), "fact_type": F.lit("state"), "temporal_status": F.lit("ongoing"), "intent": F.lit("none")})
     events = table(spark, d, "events")
     kind = lambda df, name: df.withColumns({"node_type": F.lit(name), "node_id": F.col("id")})
     days = events.select(F.date_format("ts", "yyyy-MM-dd").alias("value")).distinct()
